@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, topk, warc_store
+from . import exact_dedup, mixing, packing, simhash, substring_dedup, topk, warc_store
 from ._shared import table
 
 
+def public_tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc_store.write_archive(table(spark, sf_dir, "pages"), least_revisit_bytes=0)
     return warc_store.read_archive(archive).select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
@@ -20,6 +26,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"), shingle=4, seed=42, radius=4)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50)
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     # floor() of a value that is not finite would be a number: such vectors go out first
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -27,6 +42,13 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    tokenizer = tokenizer or public_tokenizer("byte_bpe_50k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer, most=2048, end_id=0).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -80,7 +102,10 @@ def queries():
     return {
         "op2_warc": op2_warc,
         "op3_mixing": op3_mixing,
+        "op6_simhash": op6_simhash,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_topk": op8_topk,
+        "op9_packing": op9_packing,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
