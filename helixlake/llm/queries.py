@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, simhash, substring_dedup, topk, warc_store
+from . import exact_dedup, langid, mixing, packing, pii, simhash, substring_dedup, topk, toxicity, warc_store
 from ._shared import table
 
 
@@ -15,6 +15,10 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc_store.write_archive(table(spark, sf_dir, "pages"), least_revisit_bytes=0)
     return warc_store.read_archive(archive).select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
@@ -26,6 +30,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"), shingle=4, seed=42, radius=4)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -100,8 +112,11 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 def queries():
     return {
+        "op1_langid": op1_langid,
         "op2_warc": op2_warc,
         "op3_mixing": op3_mixing,
+        "op4_toxicity": op4_toxicity,
+        "op5_pii": op5_pii,
         "op6_simhash": op6_simhash,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_topk": op8_topk,
