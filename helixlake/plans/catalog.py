@@ -1,11 +1,766 @@
-"""The registered queries of the sequence engine and their DuckDB equivalents."""
+"""The registered queries of the sequence engine and their DuckDB equivalents.
+
+Every query runs over whole tables. ``K`` and ``LEAST`` are the k-mer size and the
+shortest edge of the graph queries.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import sequence as S
+from ..operators import align, blocks, intervals, kmers, multiple, postprocess, reports, simplify, utilities, variants
+from ..session import stored
+from ..sources import fixtures
+
+K, LEAST, REACH = 30, 60, 150
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+# ---- common table expressions of the oracles -------------------------------------------------
+
+_SEQS = """seqs AS (SELECT CAST(doc_id AS INTEGER) AS chr, CAST(doc_id % 2 AS INTEGER) AS file_idx,
+  'seq|' || doc_id || '|' || source || '|d' || doc_id || '.1|x' AS description,
+  CASE WHEN doc_id % 5 = 0 THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE s END AS seq
+  FROM (SELECT doc_id, source, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS s FROM documents))"""
+_KMERS = f"""{_SEQS},
+strands AS (SELECT chr, 0 AS strand, seq FROM seqs UNION ALL SELECT chr, 1, reverse(translate(seq, 'ACGT', 'TGCA')) FROM seqs),
+places AS (SELECT chr, strand, seq, unnest(range(0, length(seq) - {K} + 1)) AS pos FROM strands WHERE length(seq) >= {K}),
+kmers AS (SELECT chr, strand, pos, substr(seq, pos + 1, {K}) AS kmer,
+  CASE WHEN pos = 0 THEN '#' ELSE substr(seq, pos, 1) END AS prev,
+  CASE WHEN pos + {K} = length(seq) THEN '#' ELSE substr(seq, pos + {K} + 1, 1) END AS next FROM places)"""
+_VERTICES = f"""{_KMERS},
+ext AS (SELECT kmer, count(*) AS n, count(DISTINCT prev) AS np, count(DISTINCT next) AS nn,
+  bool_or(prev = '#') AS pe, bool_or(next = '#') AS ne FROM kmers GROUP BY kmer),
+vertices AS (SELECT kmer, n, row_number() OVER (ORDER BY kmer) - 1 AS vertex FROM ext
+  WHERE (np > 1 OR pe OR nn > 1 OR ne) AND (n > 1 OR pe OR ne))"""
+_INSTANCES = f"""{_VERTICES},
+inst AS (SELECT chr, strand, pos, vertex, next FROM kmers JOIN vertices USING (kmer))"""
+_EDGES = f"""{_INSTANCES},
+steps AS (SELECT *, lead(vertex) OVER o AS end_vertex, lead(pos) OVER o AS stop FROM inst WINDOW o AS (PARTITION BY chr, strand ORDER BY pos)),
+edges AS (SELECT s.chr, strand, vertex AS start_vertex, end_vertex,
+  CASE WHEN strand = 0 THEN pos ELSE length(seq) - stop - {K} END AS actual_pos, stop - pos + {K} AS actual_len, next AS first_char
+  FROM steps s JOIN seqs USING (chr) WHERE stop IS NOT NULL)"""
+_GROUPS = f"""{_EDGES},
+groups AS (SELECT start_vertex, end_vertex, first_char, count(*) AS multiplicity, count(*) FILTER (strand = 0) AS n_positive,
+  min(actual_len) AS min_len, max(actual_len) AS max_len FROM edges WHERE actual_len >= {LEAST}
+  GROUP BY ALL HAVING count(*) >= 2 AND count(*) FILTER (strand = 0) >= 1)"""
+_BRANCHES = f"""{_INSTANCES},
+often AS (SELECT vertex FROM inst GROUP BY vertex HAVING count(*) > 1),
+pairs AS (SELECT a.chr, a.strand, a.pos, a.vertex, a.next AS first_char, b.vertex AS meet, b.pos AS m_pos
+  FROM inst a JOIN inst b ON a.chr = b.chr AND a.strand = b.strand AND b.pos > a.pos AND b.pos - a.pos < {REACH}
+  WHERE a.vertex IN (SELECT vertex FROM often)),
+seen AS (SELECT *, max(CASE WHEN meet = vertex THEN 1 ELSE 0 END) OVER (PARTITION BY chr, strand, pos ORDER BY m_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS again FROM pairs),
+branch AS (SELECT chr, strand, pos, vertex, first_char, meet, min(m_pos - pos) AS step FROM seen WHERE again = 0 GROUP BY ALL),
+bulge AS (SELECT vertex, meet, count(*) AS n_branches, count(DISTINCT first_char) AS n_letters FROM branch WHERE first_char <> '#'
+  GROUP BY ALL HAVING count(DISTINCT first_char) > 1)"""
+_INTERVALS = """iv AS (SELECT l_suppkey AS seq_id, l_partkey AS block_id, l_orderkey % 5000 AS "start",
+  l_orderkey % 5000 + CAST(l_quantity AS BIGINT) AS "end", CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS sign FROM lineitem)"""
+_ISLANDS = f"""{_INTERVALS},
+mark AS (SELECT *, CASE WHEN "start" > max("end") OVER (PARTITION BY seq_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  OR row_number() OVER (PARTITION BY seq_id ORDER BY "start", "end") = 1 THEN 1 ELSE 0 END AS new FROM iv),
+num AS (SELECT *, sum(new) OVER (PARTITION BY seq_id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM mark),
+islands AS (SELECT seq_id, min("start") AS island_start, max("end") AS island_end, count(*) AS n FROM num GROUP BY seq_id, island)"""
+_BLOCKS = """biv AS (SELECT l_suppkey AS seq_id, l_partkey % 4000 + 1 AS block_id, (l_orderkey * 37 + l_linenumber * 811 + l_partkey * 7) % 100000 AS "start",
+  (l_orderkey * 37 + l_linenumber * 811 + l_partkey * 7) % 100000 + CAST(l_quantity AS BIGINT) % 30 + 20 AS "end", CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS sign FROM lineitem),
+bmark AS (SELECT *, CASE WHEN "start" > max("end") OVER (PARTITION BY seq_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  OR row_number() OVER (PARTITION BY seq_id ORDER BY "start", "end") = 1 THEN 1 ELSE 0 END AS new FROM biv),
+bnum AS (SELECT *, sum(new) OVER (PARTITION BY seq_id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM bmark),
+bislands AS (SELECT seq_id, min("start") AS island_start, max("end") AS island_end FROM bnum GROUP BY seq_id, island),
+firsts AS (SELECT seq_id, "start", min(struct_pack(b := block_id, s := sign)) AS m FROM biv GROUP BY ALL),
+blocks AS (SELECT CAST(m.b AS INTEGER) AS block_id, m.s AS sign, CAST(i.seq_id AS INTEGER) AS chr,
+  CAST(island_start AS INTEGER) AS "start", CAST(island_end AS INTEGER) AS "end" FROM bislands i JOIN firsts f ON i.seq_id = f.seq_id AND i.island_start = f."start")"""
+_ALIGNED = f"""{_SEQS},
+aligned AS (SELECT CAST(chr AS BIGINT) AS pair_id,
+  array_to_string(list_transform(range(1, length(seq) + 1), lambda i: CASE WHEN i % 307 = 0 THEN '-' ELSE substr(seq, i, 1) END), '') AS a,
+  array_to_string(list_transform(range(1, length(seq) + 1), lambda i: CASE WHEN i % 97 = 0 THEN translate(substr(seq, i, 1), 'ACGT', 'CGTA')
+    WHEN i % 211 = 0 THEN '-' ELSE substr(seq, i, 1) END), '') AS b FROM seqs WHERE length(seq) > 0)"""
+_COLUMNS = f"""{_ALIGNED},
+cells AS (SELECT pair_id, a, b, unnest(range(0, length(a))) AS col FROM aligned),
+cols AS (SELECT pair_id, col, substr(a, col + 1, 1) AS x, substr(b, col + 1, 1) AS y, substr(a, col + 1, 1) = substr(b, col + 1, 1) AS same FROM cells)"""
+_SEGMENTS = f"""{_COLUMNS},
+turn AS (SELECT *, CASE WHEN lag(same) OVER o = same THEN 0 ELSE 1 END AS t FROM cols WINDOW o AS (PARTITION BY pair_id ORDER BY col)),
+run AS (SELECT *, sum(t) OVER (PARTITION BY pair_id ORDER BY col ROWS UNBOUNDED PRECEDING) AS r FROM turn),
+runs AS (SELECT pair_id, min(col) AS "start", max(col) + 1 AS "end", bool_and(same) AS same FROM run GROUP BY pair_id, r),
+soft AS (SELECT pair_id, "start", "end", same AND NOT (same AND "end" - "start" < 30 AND "start" > 0 AND lead("start") OVER o IS NOT NULL) AS same
+  FROM runs WINDOW o AS (PARTITION BY pair_id ORDER BY "start")),
+turn2 AS (SELECT *, CASE WHEN lag(same) OVER o = same THEN 0 ELSE 1 END AS t FROM soft WINDOW o AS (PARTITION BY pair_id ORDER BY "start")),
+run2 AS (SELECT *, sum(t) OVER (PARTITION BY pair_id ORDER BY "start" ROWS UNBOUNDED PRECEDING) AS r FROM turn2),
+segments AS (SELECT pair_id, min("start") AS "start", max("end") AS "end", bool_and(same) AS same FROM run2 GROUP BY pair_id, r)"""
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.sequences_from_documents(spark, sf_dir)
+
+
+# ---- sequences and k-mers --------------------------------------------------------------------
+
+
+@query("seq_stats", f"WITH {_SEQS} SELECT chr + 1 AS seq_id, CAST(length(seq) AS INTEGER) AS size, description FROM seqs")
+def seq_stats(spark, sf):
+    return reports.sequence_list(_seqs(spark, sf))
+
+
+@query("reverse_complement", f"WITH {_SEQS} SELECT chr, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM seqs")
+def reverse_complement(spark, sf):
+    return _seqs(spark, sf).select("chr", S.reverse_complement("seq").alias("rc"))
+
+
+@query(
+    "identifiers",
+    f"""WITH {_SEQS}, t AS (SELECT chr, description, translate(description, '|.', '  ') AS flat, string_split(description, '|') AS p FROM seqs)
+SELECT chr, CASE WHEN len(list_filter(string_split(flat, ' '), lambda x: x <> '')) = 5 THEN list_filter(string_split(flat, ' '), lambda x: x <> '')[4] ELSE flat END AS stripped,
+CASE WHEN len(p) = 5 THEN string_split(p[4], '.')[1] ELSE description END AS accession FROM t""",
+)
+def identifiers(spark, sf):
+    return _seqs(spark, sf).select("chr", S.stripped_id("description").alias("stripped"), S.accession("description").alias("accession"))
+
+
+@query("kmer_spectrum", f"WITH {_KMERS}, c AS (SELECT kmer, count(*) AS n FROM kmers GROUP BY kmer) SELECT n AS occurrences, count(*) AS n_kmers FROM c GROUP BY n")
+def kmer_spectrum(spark, sf):
+    return kmers.kmers(_seqs(spark, sf), K).groupBy("kmer").agg(F.count(F.lit(1)).alias("occurrences")).groupBy("occurrences").agg(F.count(F.lit(1)).alias("n_kmers"))
+
+
+@query("extension_sets", f"WITH {_KMERS} SELECT kmer, count(*) AS n, CAST(count(DISTINCT prev) AS INTEGER) AS n_prev, CAST(count(DISTINCT next) AS INTEGER) AS n_next FROM kmers GROUP BY kmer")
+def extension_sets(spark, sf):
+    e = kmers.extension_sets(kmers.kmers(_seqs(spark, sf), K))
+    return e.select("kmer", "n", F.bit_count("prev_mask").alias("n_prev"), F.bit_count("next_mask").alias("n_next"))
+
+
+@query("bifurcations", f"WITH {_VERTICES} SELECT kmer, n, vertex FROM vertices")
+def bifurcations(spark, sf):
+    return kmers.vertices(kmers.kmers(_seqs(spark, sf), K)).select("kmer", "n", "vertex")
+
+
+@query("bifurcation_instances", f"WITH {_INSTANCES} SELECT chr, strand, CAST(pos AS INTEGER) AS pos, vertex FROM inst")
+def bifurcation_instances(spark, sf):
+    windows = stored(kmers.kmers(_seqs(spark, sf), K), "kmers")
+    return kmers.vertex_instances(windows, kmers.vertices(windows)).select("chr", "strand", "pos", "vertex")
+
+
+@query("vertex_degrees", f"WITH {_INSTANCES} SELECT vertex, count(*) AS n, count(*) FILTER (strand = 0) AS n_positive, count(DISTINCT chr) AS n_chr FROM inst GROUP BY vertex")
+def vertex_degrees(spark, sf):
+    windows = stored(kmers.kmers(_seqs(spark, sf), K), "kmers")
+    inst = kmers.vertex_instances(windows, kmers.vertices(windows))
+    return inst.groupBy("vertex").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("strand") == 0).alias("n_positive"), F.countDistinct("chr").alias("n_chr"))
+
+
+@query(
+    "condensed_edges",
+    f"""WITH {_EDGES} SELECT chr, strand, start_vertex, end_vertex, CAST(actual_pos AS INTEGER) AS actual_pos, CAST(actual_len AS INTEGER) AS actual_len,
+CAST(actual_pos AS INTEGER) AS orig_pos, CAST(actual_len AS INTEGER) AS orig_len, first_char FROM edges""",
+)
+def condensed_edges(spark, sf):
+    return kmers.graph(_seqs(spark, sf), K)[2]
+
+
+@query(
+    "raw_kmer_edges",
+    f"""WITH {_KMERS}, e AS (SELECT strand, kmer, lead(kmer) OVER (PARTITION BY chr, strand ORDER BY pos) AS next_kmer FROM kmers)
+SELECT kmer, next_kmer, count(*) AS n, count(*) FILTER (strand = 0) AS n_positive FROM e WHERE next_kmer IS NOT NULL GROUP BY ALL""",
+)
+def raw_kmer_edges(spark, sf):
+    e = kmers.plain_edges(kmers.kmers(_seqs(spark, sf), K))
+    return e.groupBy("kmer", "next_kmer").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("strand") == 0).alias("n_positive"))
+
+
+@query(
+    "graph_dot",
+    f"""WITH {_EDGES} SELECT format('{{}} -> {{}} [color="{{}}", label="chr={{}} pos={{}} len={{}} orpos={{}} orlen={{}} ch=''{{}}''"];',
+start_vertex, end_vertex, CASE WHEN strand = 0 THEN 'blue' ELSE 'red' END, chr, actual_pos, actual_len, actual_pos, actual_len, first_char) AS value FROM edges""",
+)
+def graph_dot(spark, sf):
+    return reports.dot_edges(kmers.graph(_seqs(spark, sf), K)[2])
+
+
+_RANK_K = 12
+_RANK_KMERS = _KMERS.replace(f"- {K} +", f"- {_RANK_K} +").replace(f">= {K}", f">= {_RANK_K}").replace(f"pos + 1, {K})", f"pos + 1, {_RANK_K})").replace(f"pos + {K} ", f"pos + {_RANK_K} ")
+
+
+@query("substring_ranks", f"WITH {_RANK_KMERS} SELECT chr, strand, CAST(pos AS INTEGER) AS pos, CAST(dense_rank() OVER (ORDER BY kmer) - 1 AS BIGINT) AS rank FROM kmers")
+def substring_ranks(spark, sf):
+    return kmers.substring_ranks(_seqs(spark, sf), _RANK_K).select("chr", "strand", "pos", "rank")
+
+
+# ---- groups and blocks -----------------------------------------------------------------------
+
+
+@query("edge_groups", f"WITH {_GROUPS} SELECT start_vertex, end_vertex, first_char, multiplicity, n_positive, CAST(min_len AS INTEGER) AS min_len, CAST(max_len AS INTEGER) AS max_len FROM groups")
+def edge_groups(spark, sf):
+    return blocks.edge_groups(kmers.graph(_seqs(spark, sf), K)[2], LEAST)
+
+
+@query("group_priority", f"WITH {_GROUPS} SELECT start_vertex, end_vertex, first_char, multiplicity, row_number() OVER (ORDER BY multiplicity DESC, start_vertex, end_vertex, first_char) AS priority FROM groups")
+def group_priority(spark, sf):
+    g = blocks.prioritised(blocks.edge_groups(kmers.graph(_seqs(spark, sf), K)[2], LEAST))
+    return g.select("start_vertex", "end_vertex", "first_char", "multiplicity", "priority")
+
+
+def _blocks(spark, sf, **options):
+    seqs = _seqs(spark, sf)
+    return seqs, stored(blocks.find_disjoint_blocks(kmers.graph(seqs, K)[2], seqs, LEAST, **options), "blocks")
+
+
+@query("block_coords")
+def block_coords(spark, sf):
+    return blocks.coordinates(_blocks(spark, sf)[1])
+
+
+@query("block_trim")
+def block_trim(spark, sf):
+    return blocks.coordinates(_blocks(spark, sf, trim_k=15)[1])
+
+
+@query("block_reports")
+def block_reports(spark, sf):
+    seqs, found = _blocks(spark, sf)
+    return reports.gff(found, seqs)
+
+
+@query("block_pipeline")
+def block_pipeline(spark, sf):
+    from .pipeline import find_blocks
+
+    return blocks.coordinates(find_blocks(_seqs(spark, sf), stages=[(15, 60), (30, 150)], min_block_size=LEAST, max_iterations=1).blocks)
+
+
+@query("bulge_candidates", f"WITH {_BRANCHES} SELECT vertex, meet, n_branches, n_letters FROM bulge")
+def bulge_candidates(spark, sf):
+    windows = stored(kmers.kmers(_seqs(spark, sf), K), "kmers")
+    inst = stored(kmers.vertex_instances(windows, kmers.vertices(windows)), "instances")
+    return simplify.bulge_candidates(simplify.branches(inst, REACH))
+
+
+@query(
+    "bulge_winners",
+    f"""WITH {_BRANCHES},
+own AS (SELECT b.* FROM branch b JOIN bulge USING (vertex, meet) WHERE first_char <> '#'),
+mult AS (SELECT vertex, count(*) AS m FROM inst GROUP BY vertex),
+inn AS (SELECT chr, strand, pos AS i_pos, m FROM inst JOIN mult USING (vertex)),
+sc AS (SELECT o.chr, o.strand, o.pos, o.vertex, o.meet, max(m) AS score FROM own o JOIN inn i ON o.chr = i.chr AND o.strand = i.strand AND i_pos > o.pos AND i_pos < o.pos + o.step GROUP BY ALL),
+scored AS (SELECT o.*, coalesce(score, 0) AS score FROM own o LEFT JOIN sc USING (chr, strand, pos, vertex, meet)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY vertex, meet ORDER BY score DESC, strand, chr, pos) AS rk FROM scored),
+win AS (SELECT vertex, meet, chr AS w_chr, strand AS w_strand, pos AS w_pos, step AS w_step, first_char AS w_char FROM ranked WHERE rk = 1)
+SELECT vertex, meet, chr, strand, CAST(pos AS INTEGER) AS pos, first_char, CAST(step AS INTEGER) AS step, score, w_chr, w_strand, CAST(w_pos AS INTEGER) AS w_pos, CAST(w_step AS INTEGER) AS w_step, w_char
+FROM ranked JOIN win USING (vertex, meet) WHERE rk > 1 AND first_char <> w_char""",
+)
+def bulge_winners(spark, sf):
+    windows = stored(kmers.kmers(_seqs(spark, sf), K), "kmers")
+    inst = stored(kmers.vertex_instances(windows, kmers.vertices(windows)), "instances")
+    found = stored(simplify.branches(inst, REACH), "branches")
+    return simplify.bulge_winners(simplify.scored_branches(found, inst, REACH)).select("vertex", "meet", "chr", "strand", "pos", "first_char", "step", "score", "w_chr", "w_strand", "w_pos", "w_step", "w_char")
+
+
+@query("bulge_collapse")
+def bulge_collapse(spark, sf):
+    return simplify.simplify(_seqs(spark, sf), K, REACH, max_iterations=1).select("chr", F.length("seq").alias("size"), F.size("orig").alias("n_places"))
+
+
+# ---- intervals -------------------------------------------------------------------------------
+
+
+@query("interval_islands", f"WITH {_ISLANDS} SELECT seq_id, island_start, island_end, n FROM islands")
+def interval_islands(spark, sf):
+    return intervals.islands(fixtures.intervals_from_lineitem(spark, sf), ["seq_id"])
+
+
+@query("interval_coverage", f"WITH {_ISLANDS} SELECT seq_id, CAST(sum(island_end - island_start) AS BIGINT) AS covered FROM islands GROUP BY seq_id")
+def interval_coverage(spark, sf):
+    return intervals.covered_length(fixtures.intervals_from_lineitem(spark, sf), ["seq_id"])
+
+
+@query(
+    "interval_complement",
+    f"""WITH {_ISLANDS}, ext AS (SELECT s_suppkey AS seq_id, 6000 AS size FROM supplier),
+before AS (SELECT seq_id, coalesce(lag(island_end) OVER (PARTITION BY seq_id ORDER BY island_start), 0) AS gap_start, island_start AS gap_end FROM islands),
+after AS (SELECT ext.seq_id, coalesce(max(island_end), 0) AS gap_start, any_value(size) AS gap_end FROM ext LEFT JOIN islands USING (seq_id) GROUP BY ext.seq_id)
+SELECT seq_id, CAST(gap_start AS BIGINT) AS gap_start, CAST(gap_end AS BIGINT) AS gap_end FROM (FROM before UNION ALL FROM after) WHERE gap_end - gap_start > 2""",
+)
+def interval_complement(spark, sf):
+    extents = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("seq_id"), F.lit(6000).alias("size"))
+    return intervals.complement(fixtures.intervals_from_lineitem(spark, sf), extents, ["seq_id"], 2)
+
+
+@query(
+    "nearest_neighbor_block",
+    f"""WITH {_BLOCKS} SELECT block_id, chr, "start", "end", lag("end") OVER o AS previous_end, lead("start") OVER o AS next_start FROM blocks WINDOW o AS (PARTITION BY chr ORDER BY "start", "end")""",
+)
+def nearest_neighbor_block(spark, sf):
+    return intervals.neighbours(fixtures.blocks_from_lineitem(spark, sf), ["chr"]).select("block_id", "chr", "start", "end", "previous_end", "next_start")
+
+
+@query(
+    "interval_overlap_join",
+    f"""WITH {_INTERVALS}, small AS (SELECT * FROM iv WHERE block_id % 7 = 0 AND sign = -1)
+SELECT a.seq_id, a.block_id, a."start", a."end", b.block_id AS r_block_id, b."start" AS r_start, b."end" AS r_end
+FROM iv a JOIN small b ON a.seq_id = b.seq_id AND a."start" < b."end" AND b."start" < a."end" """,
+)
+def interval_overlap_join(spark, sf):
+    iv = fixtures.intervals_from_lineitem(spark, sf)
+    other = iv.where("block_id % 7 = 0 and sign = -1").drop("sign")
+    return intervals.range_join(iv.drop("sign"), other, ["seq_id"], 64)
+
+
+@query(
+    "coverage_report",
+    f"""WITH {_BLOCKS}, deg AS (SELECT block_id, count(*) AS degree FROM blocks GROUP BY block_id),
+rows_ AS (SELECT degree, chr, "start", "end", block_id FROM blocks JOIN deg USING (block_id) UNION ALL SELECT 0, chr, "start", "end", block_id FROM blocks),
+len_ AS (SELECT degree, chr, sum("end" - "start") AS covered FROM rows_ GROUP BY ALL),
+cnt AS (SELECT degree, count(DISTINCT block_id) AS n_blocks FROM rows_ GROUP BY degree),
+ext AS (SELECT CAST(s_suppkey AS INTEGER) AS chr, 100100 AS size FROM supplier),
+pct AS (SELECT degree, chr, covered * 100.0::DOUBLE / size AS percent FROM len_ JOIN ext USING (chr)
+  UNION ALL SELECT degree, NULL, sum(covered) * 100.0::DOUBLE / (SELECT sum(size) FROM ext) FROM len_ GROUP BY degree)
+SELECT nullif(degree, 0) AS degree, chr, n_blocks, round(percent, 6) AS percent FROM pct JOIN cnt USING (degree)""",
+)
+def coverage_report(spark, sf):
+    extents = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").cast("int").alias("chr"), F.lit(fixtures.BLOCK_SPACE).alias("size"))
+    return intervals.coverage_by_degree(fixtures.blocks_from_lineitem(spark, sf), extents)
+
+
+# ---- permutations, gluing, unique blocks -----------------------------------------------------
+
+
+@query("permutations", f"""WITH {_BLOCKS} SELECT chr, list(sign * block_id ORDER BY "start", "end", sign * block_id) AS permutation FROM blocks GROUP BY chr""")
+def permutations(spark, sf):
+    return postprocess.permutations(fixtures.blocks_from_lineitem(spark, sf))
+
+
+_STRIPES = f"""{_BLOCKS}, st AS (SELECT block_id AS first_block, CASE WHEN sign > 0 THEN coalesce(lead(sign * block_id) OVER o, 1073741823)
+  ELSE coalesce(-lag(sign * block_id) OVER o, 1073741823) END AS second_block FROM blocks WINDOW o AS (PARTITION BY chr ORDER BY "start", "end", block_id))"""
+
+
+@query("stripe_table", f"WITH {_STRIPES} SELECT first_block, second_block FROM st")
+def stripe_table(spark, sf):
+    return postprocess.stripes(fixtures.blocks_from_lineitem(spark, sf))
+
+
+@query(
+    "stripe_glue_round",
+    f"""WITH {_STRIPES}, g AS (SELECT first_block, count(*) AS n, min(second_block) AS second_block, max(second_block) AS mx FROM st GROUP BY first_block)
+SELECT a.first_block, a.second_block, a.n FROM g a JOIN g b ON abs(a.second_block) = b.first_block AND a.n = b.n
+WHERE a.second_block = a.mx AND a.second_block <> 1073741823 AND abs(a.second_block) <> a.first_block""",
+)
+def stripe_glue_round(spark, sf):
+    return postprocess.glue_candidates(postprocess.stripes(fixtures.blocks_from_lineitem(spark, sf)))
+
+
+@query("stripe_glue")
+def stripe_glue(spark, sf):
+    return postprocess.glue_stripes(fixtures.blocks_from_lineitem(spark, sf), most_rounds=20)
+
+
+@query(
+    "shared_only_blocks",
+    f"""WITH {_BLOCKS} SELECT block_id FROM blocks GROUP BY block_id HAVING count(*) = 2 AND count(DISTINCT chr) = 2""",
+)
+def shared_only_blocks(spark, sf):
+    return blocks.shared_by_all(fixtures.blocks_from_lineitem(spark, sf), 2)
+
+
+def _sided(spark, sf):
+    return spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").cast("int").alias("chr"), (F.col("s_suppkey") % 2).cast("int").alias("file_idx"))
+
+
+_UNIQUE = f"""{_BLOCKS}, sided AS (SELECT *, chr % 2 AS file_idx FROM blocks),
+uniq AS (SELECT block_id FROM sided GROUP BY block_id HAVING count(*) FILTER (file_idx = 0) = 1 AND count(*) FILTER (file_idx <> 0) = 1)"""
+
+
+@query(
+    "unique_blocks",
+    f"""WITH {_UNIQUE} SELECT r.block_id, r.chr AS r_chr, r."start" AS r_start, r."end" AS r_end, a.chr AS a_chr, a."start" AS a_start, a."end" AS a_end, r.sign AS r_sign, a.sign * r.sign AS a_sign
+FROM sided r JOIN sided a USING (block_id) JOIN uniq USING (block_id) WHERE r.file_idx = 0 AND a.file_idx <> 0""",
+)
+def unique_blocks(spark, sf):
+    return postprocess.unique_blocks(fixtures.blocks_from_lineitem(spark, sf), _sided(spark, sf))
+
+
+@query(
+    "boundary_windows",
+    f"""WITH {_BLOCKS}, nb AS (SELECT *, lag("end") OVER o AS pe, lead("start") OVER o AS ns FROM blocks WINDOW o AS (PARTITION BY chr ORDER BY "start", "end"))
+SELECT block_id, chr, "start", "end", sign, least(CASE WHEN pe IS NOT NULL THEN greatest(pe, "start" - 16) + 1 WHEN "start" >= 16 THEN "start" - 15 ELSE 0 END, "start") AS left_from, least("start" + 16, 100100) AS left_to,
+greatest("end" - 15, 0) AS right_from, CASE WHEN ns IS NOT NULL THEN least(ns, "end" + 16) ELSE least("end" + 16, 100100) END AS right_to FROM nb""",
+)
+def boundary_windows(spark, sf):
+    seqs = _sided(spark, sf).withColumn("seq", F.repeat(F.lit("A"), F.lit(fixtures.BLOCK_SPACE)))
+    return postprocess.boundary_windows(fixtures.blocks_from_lineitem(spark, sf), seqs, 16)
+
+
+@query(
+    "repeat_matches",
+    f"""WITH {_BLOCKS}, nb AS (SELECT *, chr % 2 AS file_idx, lag(sign * block_id) OVER o AS l, lead(sign * block_id) OVER o AS r FROM blocks WINDOW o AS (PARTITION BY chr ORDER BY "start", "end", block_id)),
+t AS (SELECT *, CASE WHEN sign > 0 THEN l ELSE -r END AS b, CASE WHEN sign > 0 THEN r ELSE -l END AS a FROM nb)
+SELECT x.block_id, x.chr AS r_chr, x."start" AS r_start, y.chr AS a_chr, y."start" AS a_start FROM t x JOIN t y ON x.block_id = y.block_id AND x.a = y.a AND x.b = y.b WHERE x.file_idx = 0 AND y.file_idx <> 0""",
+)
+def repeat_matches(spark, sf):
+    return postprocess.match_repeats(fixtures.blocks_from_lineitem(spark, sf), _sided(spark, sf))
+
+
+@query("boundary_correction")
+def boundary_correction(spark, sf):
+    seqs, found = _blocks(spark, sf)
+    return postprocess.correct_boundaries(found, seqs, LEAST)
+
+
+# ---- reports ---------------------------------------------------------------------------------
+
+
+@query(
+    "block_gff",
+    f"""WITH {_BLOCKS} SELECT 'S' || chr AS seqname, 'helixlake' AS source, 'conserved_block' AS feature, "start" + 1 AS "start", "end", '.' AS score, CASE WHEN sign > 0 THEN '+' ELSE '-' END AS strand, '.' AS frame, CAST(block_id AS VARCHAR) AS attribute FROM blocks""",
+)
+def block_gff(spark, sf):
+    seqs = _sided(spark, sf).withColumn("description", F.concat(F.lit("S"), F.col("chr").cast("string")))
+    return reports.gff(fixtures.blocks_from_lineitem(spark, sf), seqs)
+
+
+@query(
+    "block_coordinates",
+    f"""WITH {_BLOCKS} SELECT block_id, chr + 1 AS seq_id, CASE WHEN sign > 0 THEN '+' ELSE '-' END AS strand, CASE WHEN sign > 0 THEN "start" + 1 ELSE "end" END AS "start", CASE WHEN sign > 0 THEN "end" ELSE "start" + 1 END AS "end", "end" - "start" AS length FROM blocks""",
+)
+def block_coordinates(spark, sf):
+    return blocks.coordinates(fixtures.blocks_from_lineitem(spark, sf))
+
+
+@query(
+    "block_sequences",
+    f"""WITH {_SEQS}, p AS (SELECT chr, CASE WHEN chr % 3 = 0 THEN -1 ELSE 1 END AS sign, substr(seq, 1, 200) AS own, least(200, length(seq)) AS e, description FROM seqs WHERE length(seq) > 0)
+SELECT chr AS block_id, chr, 0 AS "start", 'Seq="' || description || '",Strand=''' || CASE WHEN sign > 0 THEN '+' ELSE '-' END || ''',Block_id=' || chr || ',Start=' || CASE WHEN sign > 0 THEN 1 ELSE e END || ',End=' || CASE WHEN sign > 0 THEN e ELSE 1 END AS header,
+rtrim(regexp_replace(CASE WHEN sign > 0 THEN own ELSE reverse(translate(own, 'ACGT', 'TGCA')) END, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10)) AS body FROM p""".replace("\\\\1", "\\1"),
+)
+def block_sequences(spark, sf):
+    seqs = _seqs(spark, sf)
+    found = seqs.where("length(seq) > 0").select(F.col("chr").alias("block_id"), F.when(F.col("chr") % 3 == 0, -1).otherwise(1).alias("sign"), "chr", F.lit(0).alias("start"), F.least(F.lit(200), F.length("seq")).alias("end"))
+    return reports.block_sequences(found, seqs)
+
+
+@query(
+    "circos_links",
+    f"""WITH {_BLOCKS}, n AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY chr, "start") AS i FROM blocks)
+SELECT 'block_' || lpad(CAST(row_number() OVER (ORDER BY a.block_id, a.i, b.i) - 1 AS VARCHAR), 8, '0') AS link_id, a.block_id, a.chr AS chr1, a."start" AS start1, a."end" AS end1, b.chr AS chr2, b."start" AS start2, b."end" AS end2,
+CAST(a.block_id % 25 AS INTEGER) AS colour FROM n a JOIN n b ON a.block_id = b.block_id AND a.i < b.i""",
+)
+def circos_links(spark, sf):
+    return reports.links(fixtures.blocks_from_lineitem(spark, sf))
+
+
+@query("circos_highlights", f"""WITH {_BLOCKS} SELECT chr, "start", "end", CASE WHEN sign > 0 THEN 'green' ELSE 'red' END AS colour FROM blocks""")
+def circos_highlights(spark, sf):
+    return reports.highlights(fixtures.blocks_from_lineitem(spark, sf))
+
+
+@query("circos_karyotype", f"WITH {_SEQS}, {_BLOCKS} SELECT chr, 'seq' || (chr + 1) AS name, 'd' || chr AS label, CAST(length(seq) AS INTEGER) AS size FROM seqs WHERE chr IN (SELECT chr FROM blocks)")
+def circos_karyotype(spark, sf):
+    return reports.karyotype(_seqs(spark, sf), fixtures.blocks_from_lineitem(spark, sf)).withColumn("label", F.concat(F.lit("d"), F.col("chr").cast("string")))
+
+
+@query(
+    "d3_imports",
+    f"""WITH {_BLOCKS}, n AS (SELECT block_id, block_id || '.' || chr || '.' || "start" AS name, "end" - "start" AS size FROM blocks),
+l AS (SELECT block_id, list(name ORDER BY name) AS names FROM n GROUP BY block_id)
+SELECT name, size, list_filter(names, lambda x: x <> name) AS imports FROM n JOIN l USING (block_id)""",
+)
+def d3_imports(spark, sf):
+    return reports.diagram(fixtures.blocks_from_lineitem(spark, sf))
+
+
+@query(
+    "stage_tree",
+    f"""WITH {_BLOCKS}, s AS (SELECT CAST(block_id % 3 AS INTEGER) AS stage, block_id, chr, "start", "end" + 40 AS "end" FROM blocks)
+SELECT DISTINCT p.stage, p.block_id, c.block_id AS child_id FROM s p JOIN s c ON p.stage = c.stage + 1 AND p.chr = c.chr AND p."start" < c."end" AND c."start" < p."end" """,
+)
+def stage_tree(spark, sf):
+    found = fixtures.blocks_from_lineitem(spark, sf).select((F.col("block_id") % 3).cast("int").alias("stage"), "block_id", "chr", "start", (F.col("end") + 40).alias("end"))
+    return blocks.stage_tree(found, 256)
+
+
+@query(
+    "contig_unmapped",
+    f"""WITH {_BLOCKS}, perm AS (SELECT chr, list(sign * block_id ORDER BY "start", "end") AS p FROM blocks GROUP BY chr),
+q AS (SELECT chr, CASE WHEN chr % 2 = 0 THEN p[2:4] ELSE list_transform(list_reverse(p[1:2] || [3, -3]), lambda x: -x) END AS q FROM perm)
+SELECT chr, q AS permutation FROM q WHERE NOT EXISTS (SELECT 1 FROM perm r WHERE len(q.q) = 0 OR
+  len(list_filter(range(1, len(r.p) - len(q.q) + 2), lambda i: r.p[i:i + len(q.q) - 1] = q.q)) > 0 OR
+  len(list_filter(range(1, len(r.p) - len(q.q) + 2), lambda i: r.p[i:i + len(q.q) - 1] = list_transform(list_reverse(q.q), lambda x: -x))) > 0)""",
+)
+def contig_unmapped(spark, sf):
+    perm = stored(postprocess.permutations(fixtures.blocks_from_lineitem(spark, sf)), "permutations")
+    even = F.slice("permutation", 2, 3)
+    odd = S.reverse_permutation(F.concat(F.slice("permutation", 1, 2), F.array(F.lit(3), F.lit(-3))))
+    contigs = perm.select(F.col("chr").alias("name"), F.when(F.col("chr") % 2 == 0, even).otherwise(odd).alias("permutation"))
+    return reports.unmapped_contigs(perm, contigs).select(F.col("name").alias("chr"), "permutation")
+
+
+# ---- variants --------------------------------------------------------------------------------
+
+
+@query("alignment_segments", f"""WITH {_SEGMENTS} SELECT pair_id, CAST("start" AS INTEGER) AS "start", CAST("end" AS INTEGER) AS "end", same FROM segments""")
+def alignment_segments(spark, sf):
+    return variants.segments(variants.columns(fixtures.aligned_from_documents(spark, sf)))
+
+
+@query(
+    "coord_map",
+    f"""WITH {_COLUMNS} SELECT pair_id, CAST(col AS INTEGER) AS col, CAST(coalesce(sum(CASE WHEN x <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ref_offset FROM cols""",
+)
+def coord_map(spark, sf):
+    return variants.columns(fixtures.aligned_from_documents(spark, sf)).select("pair_id", "col", "ref_offset")
+
+
+@query(
+    "variants_from_alignment",
+    f"""WITH {_SEGMENTS}, around AS (SELECT *, lag("start") OVER o AS ps, lag("end") OVER o AS pe, lead("start") OVER o AS ns, lead("end") OVER o AS ne FROM segments WINDOW o AS (PARTITION BY pair_id ORDER BY "start")),
+v AS (SELECT *, CASE WHEN "start" = 0 OR ("end" - "start" = 1 AND substr(a, CAST("start" + 1 AS BIGINT), 1) <> '-' AND substr(b, CAST("start" + 1 AS BIGINT), 1) <> '-') THEN 0 ELSE 1 END AS shift
+  FROM around JOIN aligned USING (pair_id) WHERE NOT same)
+SELECT pair_id, CAST(length(replace(substr(a, 1, CAST("start" AS BIGINT)), '-', '')) - shift AS INTEGER) AS "offset",
+replace(substr(a, CAST("start" - shift + 1 AS BIGINT), CAST("end" - "start" + shift AS BIGINT)), '-', '') AS ref, replace(substr(b, CAST("start" - shift + 1 AS BIGINT), CAST("end" - "start" + shift AS BIGINT)), '-', '') AS alt,
+coalesce(substr(a, CAST(greatest(ps, pe - 30) + 1 AS BIGINT), CAST(least(pe - ps, 30) AS BIGINT)), '') AS before, coalesce(substr(a, CAST(ns + 1 AS BIGINT), CAST(least(ne - ns, 30) AS BIGINT)), '') AS after FROM v""",
+)
+def variants_from_alignment(spark, sf):
+    return variants.from_alignments(fixtures.aligned_from_documents(spark, sf))
+
+
+def _two_sided(spark, sf):
+    """Blocks of the interval fixture with made-up sequences of one letter by position."""
+    letters = F.repeat(F.lit("ACGTTGCA"), F.lit(12513))
+    return fixtures.blocks_from_lineitem(spark, sf), _sided(spark, sf).withColumn("seq", letters)
+
+
+_GAPS = f"""{_BLOCKS}, sided AS (SELECT *, chr % 2 AS file_idx FROM blocks),
+two AS (SELECT block_id FROM sided GROUP BY block_id HAVING count(DISTINCT file_idx) = 2),
+cov AS (SELECT chr, "start", "end" FROM sided JOIN two USING (block_id)),
+ext AS (SELECT CAST(s_suppkey AS INTEGER) AS chr FROM supplier),
+gaps AS (SELECT chr, coalesce(lag("end") OVER (PARTITION BY chr ORDER BY "start"), 0) AS gap_start, "start" AS gap_end FROM cov
+  UNION ALL SELECT ext.chr, coalesce(max("end"), 0), 100104 FROM ext LEFT JOIN cov USING (chr) GROUP BY ext.chr)"""
+
+
+@query("uncovered_segments", f"""WITH {_GAPS} SELECT chr, CAST(chr % 2 AS INTEGER) AS file_idx, CAST(gap_start AS BIGINT) AS gap_start, CAST(gap_end AS BIGINT) AS gap_end FROM gaps WHERE gap_end - gap_start > 20""")
+def uncovered_segments(spark, sf):
+    found, seqs = _two_sided(spark, sf)
+    return variants.uncovered(found, seqs, 20).select("chr", "file_idx", "gap_start", "gap_end")
+
+
+@query(
+    "uncovered_insertions",
+    f"""WITH {_GAPS}, big AS (SELECT chr, gap_start, gap_end, substr(repeat('ACGTTGCA', 12513), CAST(gap_start + 1 AS BIGINT), CAST(gap_end - gap_start AS BIGINT)) AS own FROM gaps WHERE gap_end - gap_start > 10),
+uniq AS (SELECT block_id FROM sided GROUP BY block_id HAVING count(*) FILTER (file_idx = 0) = 1 AND count(*) FILTER (file_idx <> 0) = 1 AND min("end" - "start") >= 10),
+anch AS (SELECT a.chr, a."end" AS gap_start, r.chr AS r_chr, CASE WHEN a.sign = r.sign THEN r."end" ELSE r."start" END AS r_pos FROM sided r JOIN sided a USING (block_id) JOIN uniq USING (block_id) WHERE r.file_idx = 0 AND a.file_idx <> 0)
+SELECT chr, CAST(gap_start AS INTEGER) AS pos, CAST(NULL AS INTEGER) AS contig, CAST(NULL AS INTEGER) AS assembly_pos, CASE WHEN gap_start > 0 THEN substr(repeat('ACGTTGCA', 12513), CAST(gap_start AS BIGINT), 1) ELSE '' END || own AS ref,
+  CASE WHEN gap_start > 0 THEN substr(repeat('ACGTTGCA', 12513), CAST(gap_start AS BIGINT), 1) END AS alt FROM big WHERE chr % 2 = 0
+UNION ALL SELECT r_chr, r_pos, chr, CAST(gap_start AS INTEGER), substr(repeat('ACGTTGCA', 12513), CAST(r_pos AS BIGINT), 1), substr(repeat('ACGTTGCA', 12513), CAST(r_pos AS BIGINT), 1) || own
+  FROM big JOIN anch USING (chr, gap_start) WHERE chr % 2 <> 0 AND r_pos > 0""",
+)
+def uncovered_insertions(spark, sf):
+    found, seqs = _two_sided(spark, sf)
+    return variants.large_indels(found, seqs, 10)[0].drop("block_id")
+
+
+@query("variant_pipeline")
+def variant_pipeline(spark, sf):
+    from .pipeline import call_variants
+
+    return call_variants(_seqs(spark, sf), min_block_size=LEAST, stages=[(30, 150)], max_iterations=0).variants
+
+
+# ---- alignment -------------------------------------------------------------------------------
+
+
+@query("codon_translation")
+def codon_translation(spark, sf):
+    return _seqs(spark, sf).select("chr", *[F.get(S.six_frames("seq"), i).alias(f"frame{i}") for i in range(6)])
+
+
+@query(
+    "window_identity",
+    f"""WITH {_COLUMNS}, w AS (SELECT pair_id, col, sum(CASE WHEN same AND x <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY col ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS hits, count(*) OVER (PARTITION BY pair_id ORDER BY col ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS n FROM cols),
+good AS (SELECT pair_id, col AS s, col + 50 AS e FROM w WHERE n = 50 AND hits >= 49),
+m AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY pair_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) OR row_number() OVER (PARTITION BY pair_id ORDER BY s) = 1 THEN 1 ELSE 0 END AS new FROM good),
+g AS (SELECT *, sum(new) OVER (PARTITION BY pair_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS r FROM m)
+SELECT pair_id, CAST(min(s) AS INTEGER) AS "start", CAST(max(e) AS INTEGER) AS "end" FROM g GROUP BY pair_id, r""",
+)
+def window_identity(spark, sf):
+    return utilities.conserved_windows(variants.columns(fixtures.aligned_from_documents(spark, sf)), 50, 0.98)
+
+
+@query(
+    "project_alignment",
+    f"""WITH {_COLUMNS} SELECT pair_id, string_agg(x, '' ORDER BY col) AS a, string_agg(y, '' ORDER BY col) AS b FROM cols WHERE NOT (x = '-' AND y = '-') GROUP BY pair_id""",
+)
+def project_alignment(spark, sf):
+    return utilities.projected(fixtures.aligned_from_documents(spark, sf))
+
+
+@query(
+    "consensus_column",
+    f"""WITH {_COLUMNS}, l AS (SELECT col, x AS base FROM cols WHERE x <> '-' UNION ALL SELECT col, y FROM cols WHERE y <> '-'),
+c AS (SELECT col, base, count(*) AS n FROM l GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY col) AS total, row_number() OVER (PARTITION BY col ORDER BY n DESC, base) AS r FROM c)
+SELECT CAST(col AS INTEGER) AS col, CASE WHEN n * 10 >= total * 6 THEN base ELSE 'N' END AS consensus, base AS most_frequent, n, CAST(total AS BIGINT) AS total FROM t WHERE r = 1""",
+)
+def consensus_column(spark, sf):
+    return multiple.consensus(multiple.stacked(fixtures.aligned_from_documents(spark, sf)))
+
+
+def _hits(spark, sf):
+    line = spark.read.parquet(f"{sf}/lineitem.parquet")
+    s1, n = F.col("l_orderkey") % 2000, F.col("l_quantity").cast("int")
+    s2 = (F.col("l_partkey") * 7 + F.col("l_orderkey")) % 2000
+    return line.select(F.col("l_suppkey").alias("pair_id"), s1.cast("int").alias("s1"), (s1 + n).cast("int").alias("e1"), s2.cast("int").alias("s2"), (s2 + n).cast("int").alias("e2"), (F.col("l_quantity") * 1.0).alias("score"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("strand"))
+
+
+_HITS = """hits AS (SELECT l_suppkey AS pair_id, CAST(l_orderkey % 2000 AS INTEGER) AS s1, CAST(l_orderkey % 2000 + CAST(l_quantity AS INTEGER) AS INTEGER) AS e1,
+  CAST((l_partkey * 7 + l_orderkey) % 2000 AS INTEGER) AS s2, CAST((l_partkey * 7 + l_orderkey) % 2000 + CAST(l_quantity AS INTEGER) AS INTEGER) AS e2, l_quantity AS score,
+  CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS strand FROM lineitem)"""
+
+
+@query("anchor_chain")
+def anchor_chain(spark, sf):
+    return align.chained(_hits(spark, sf))
+
+
+@query("pair_similarity", f"WITH {_HITS} SELECT pair_id, round(sum(score) / sum(e1 - s1), 6) AS similarity, count(*) AS n FROM hits GROUP BY pair_id")
+def pair_similarity(spark, sf):
+    return multiple.similarity(_hits(spark, sf)).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("anchor_bounds", f"WITH {_HITS} SELECT pair_id, min(s1) AS from1, max(e1) AS to1, min(s2) AS from2, max(e2) AS to2 FROM hits GROUP BY pair_id")
+def anchor_bounds(spark, sf):
+    return utilities.bounds(_hits(spark, sf))
+
+
+@query(
+    "hit_containment",
+    f"""WITH {_HITS}, o AS (SELECT *, max(e2) OVER (PARTITION BY pair_id ORDER BY s2, e2 DESC, s1, score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hits)
+SELECT pair_id, s2, e2, count(*) AS n FROM o WHERE reach IS NULL OR e2 > reach GROUP BY ALL""",
+)
+def hit_containment(spark, sf):
+    return utilities.not_contained(_hits(spark, sf)).groupBy("pair_id", "s2", "e2").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "fragment_transition_score",
+    f"""WITH {_HITS}, t AS (SELECT pair_id, s1, s2, e1, e2, score, lag(score) OVER o AS p, s1 - lag(e1) OVER o AS d1, s2 - lag(e2) OVER o AS d2 FROM hits WINDOW o AS (PARTITION BY pair_id ORDER BY s1, s2, e1, e2, score))
+SELECT pair_id, s1, s2, round(p - 50 - 0.05 * least(abs(d1), abs(d2)) - 0.1 * greatest(abs(d1), abs(d2)) - 0.05 * (greatest(abs(d1), abs(d2)) - least(abs(d1), abs(d2))), 6) AS total FROM t WHERE p IS NOT NULL""",
+)
+def fragment_transition_score(spark, sf):
+    order = Window.partitionBy("pair_id").orderBy("s1", "s2", "e1", "e2", "score")
+    rows = _hits(spark, sf).select("*", F.lag("score").over(order).alias("p"), (F.col("s1") - F.lag("e1").over(order)).alias("d1"), (F.col("s2") - F.lag("e2").over(order)).alias("d2")).where("p is not null")
+    return rows.select("pair_id", "s1", "s2", F.round(align.transition_score(F.col("p"), F.col("d1"), F.col("d2")), 6).alias("total"))
+
+
+@query(
+    "anchor_boxes",
+    f"""WITH {_HITS}, c AS (SELECT pair_id, s1, max(e1) AS e1, min(s2) AS s2, max(e2) AS e2 FROM hits WHERE strand = '+' AND s2 >= s1 AND s2 < s1 + 50 GROUP BY ALL),
+g AS (SELECT pair_id, coalesce(lag(e1) OVER o, 0) AS f1, s1 AS t1, coalesce(lag(e2) OVER o, 0) AS f2, s2 AS t2 FROM c WINDOW o AS (PARTITION BY pair_id ORDER BY s1))
+SELECT pair_id, f1, t1, f2, t2 FROM g WHERE t1 - f1 > 5 AND t2 - f2 > 5 AND (t1 - f1) * (t2 - f2) >= 10""",
+)
+def anchor_boxes(spark, sf):
+    near = _hits(spark, sf).where("strand = '+' and s2 >= s1 and s2 < s1 + 50").groupBy("pair_id", "s1").agg(F.max("e1").alias("e1"), F.min("s2").alias("s2"), F.max("e2").alias("e2"))
+    return utilities.open_boxes(near)
+
+
+@query(
+    "strand_summary",
+    f"""WITH {_HITS}, t AS (SELECT *, lag(strand) OVER o AS before, lag(s2) OVER o AS p2 FROM hits WINDOW o AS (PARTITION BY pair_id ORDER BY s1, s2, e1, e2, score, strand))
+SELECT pair_id, count(*) AS n, count(*) FILTER (strand = '-') AS n_minus, count(*) FILTER (before <> strand) AS n_switches, count(*) FILTER (s2 < p2) AS n_jumps_back FROM t GROUP BY pair_id""",
+)
+def strand_summary(spark, sf):
+    return utilities.strand_summary(_hits(spark, sf))
+
+
+@query(
+    "seed_matches",
+    f"""WITH {_SEQS}, w AS (SELECT chr, file_idx, unnest(range(0, length(seq) - 11)) AS pos, seq FROM seqs WHERE length(seq) >= 12),
+k AS (SELECT chr, file_idx, pos, substr(seq, pos + 1, 12) AS word FROM w), c AS (SELECT word, count(*) FILTER (file_idx = 0) AS n0, count(*) FILTER (file_idx <> 0) AS n1 FROM k GROUP BY word)
+SELECT word, n0, n1, n0 * n1 AS n_pairs FROM c WHERE n0 > 0 AND n1 > 0""",
+)
+def seed_matches(spark, sf):
+    return utilities.word_matches(_seqs(spark, sf), 12)
+
+
+@query("local_alignment")
+def local_alignment(spark, sf):
+    seqs = _seqs(spark, sf).where("length(seq) > 0")
+    heads = seqs.select("chr", F.substring("seq", 1, 100).alias("s"))
+    rows = heads.join(heads.select((F.col("chr") + 1).alias("chr"), F.col("s").alias("t")), "chr")
+    return rows.select("chr", align.local_alignment_udf("s", "t").alias("r")).select("chr", "r.*")
+
+
+@query("global_alignment")
+def global_alignment(spark, sf):
+    seqs = _seqs(spark, sf).where("length(seq) > 0")
+    heads = seqs.select(F.col("chr").cast("long").alias("pair_id"), F.substring("seq", 1, 100).alias("a"))
+    pairs = heads.join(heads.select((F.col("pair_id") + 1).alias("pair_id"), F.col("a").alias("b")), "pair_id")
+    return align.align_pairs(pairs)
+
+
+@query("multiple_alignment")
+def multiple_alignment(spark, sf):
+    seqs = _seqs(spark, sf).where("length(seq) >= 20")
+    rows = seqs.select((F.col("chr") / 4).cast("long").alias("group_id"), F.col("chr").alias("row"), F.substring("seq", 1, 60).alias("seq"))
+    return multiple.align_groups(rows)
+
+
+@query(
+    "pairwise_column_score",
+    f"""WITH {_COLUMNS}, s AS (SELECT pair_id, col, CASE WHEN x = '-' OR y = '-' THEN -2 WHEN same THEN 1 ELSE -1 END AS v FROM cols),
+p AS (SELECT pair_id, col, sum(v) OVER (PARTITION BY pair_id ORDER BY col ROWS UNBOUNDED PRECEDING) AS c FROM s),
+m AS (SELECT pair_id, col, c, least(0, min(c) OVER (PARTITION BY pair_id ORDER BY col ROWS UNBOUNDED PRECEDING)) AS low FROM p)
+SELECT pair_id, CAST(max(c - low) AS BIGINT) AS best FROM m GROUP BY pair_id""",
+)
+def pairwise_column_score(spark, sf):
+    return utilities.best_local_run(variants.columns(fixtures.aligned_from_documents(spark, sf)))
+
+
+@query(
+    "range_cut",
+    f"""WITH {_SEQS}, r AS (SELECT chr, CAST(chr % 7 AS INTEGER) AS f, CAST(chr % 7 + 40 AS INTEGER) AS t, chr % 3 = 0 AS flip FROM seqs)
+SELECT chr, f AS from_, least(t, length(seq)) - f AS n, CASE WHEN flip THEN reverse(translate(substr(seq, f + 1, t - f), 'ACGT', 'TGCA')) ELSE substr(seq, f + 1, t - f) END AS cut FROM seqs JOIN r USING (chr) WHERE length(seq) > f""",
+)
+def range_cut(spark, sf):
+    seqs = _seqs(spark, sf)
+    ranges = seqs.select("chr", (F.col("chr") % 7).cast("int").alias("from_"), (F.col("chr") % 7 + 40).cast("int").alias("to_"), (F.col("chr") % 3 == 0).alias("flip"))
+    return utilities.cut_ranges(seqs, ranges)
+
+
+@query(
+    "letter_position_map",
+    f"""WITH {_COLUMNS}, m AS (SELECT pair_id, sum(CASE WHEN x <> '-' THEN 1 ELSE 0 END) OVER o AS pa, sum(CASE WHEN y <> '-' THEN 1 ELSE 0 END) OVER o AS pb, x FROM cols WINDOW o AS (PARTITION BY pair_id ORDER BY col ROWS UNBOUNDED PRECEDING))
+SELECT pair_id, CAST(pa AS BIGINT) AS letter_a, CAST(pb AS BIGINT) AS letter_b FROM m WHERE x <> '-'""",
+)
+def letter_position_map(spark, sf):
+    return utilities.letter_map(variants.columns(fixtures.aligned_from_documents(spark, sf)))
+
+
+@query(
+    "contig_groups",
+    f"""WITH {_ISLANDS} SELECT seq_id, row_number() OVER (PARTITION BY seq_id ORDER BY island_start) AS group_no, island_start, island_end, n FROM islands""",
+)
+def contig_groups(spark, sf):
+    return utilities.contig_groups(fixtures.intervals_from_lineitem(spark, sf), ["seq_id"])
+
+
+@query("event_order_stream", """SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, count(*) AS n FROM events GROUP BY ALL""")
+def event_order_stream(spark, sf):
+    from ..streaming.events import hourly_counts
+
+    return hourly_counts(spark, sf)
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
