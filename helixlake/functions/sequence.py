@@ -63,17 +63,18 @@ def without_gaps(body) -> Column:
     return F.replace(_col(body), F.lit("-"), F.lit(""))
 
 
-def codon_table() -> Column:
-    """The standard genetic code, codons in the order T, C, A, G of each letter."""
-    codons = [a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"]
-    return F.create_map(*[F.lit(x) for pair in zip(codons, _STANDARD, strict=True) for x in pair])
+def amino_acid(codon) -> Column:
+    """The standard genetic code, codons in the order T, C, A, G of each letter; else X."""
+    c = _col(codon)
+    number = F.conv(F.translate(c, "TCAG", "0123"), 4, 10).cast("int")
+    return F.when(c.rlike("^[TCAG]{3}$"), F.substring(F.lit(_STANDARD), number + 1, F.lit(1))).otherwise(F.lit("X"))
 
 
 def translated(seq, frame: int = 0) -> Column:
-    """Amino acids of a frame (0 to 2) of the sequence as it is; a codon with N is X."""
+    """Amino acids of a frame (0 to 2) of the sequence as it is."""
     s = _col(seq)
     count = F.floor((F.length(s) - frame) / 3).cast("int")
-    amino = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.coalesce(F.element_at(codon_table(), F.substring(s, i * 3 + frame + 1, F.lit(3))), F.lit("X")))
+    amino = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: amino_acid(F.substring(s, i * 3 + frame + 1, F.lit(3))))
     return F.when(count > 0, F.array_join(amino, "")).otherwise(F.lit(""))
 
 

@@ -24,7 +24,7 @@ _SQL: dict[str, str] = {}
 # ---- common table expressions of the oracles -------------------------------------------------
 
 _SEQS = """seqs AS (SELECT CAST(doc_id AS INTEGER) AS chr, CAST(doc_id % 2 AS INTEGER) AS file_idx,
-  'seq|' || doc_id || '|' || source || '|d' || doc_id || '.1|x' AS description,
+  'gi|' || doc_id || '|' || source || '|d' || doc_id || '.1|' AS description,
   CASE WHEN doc_id % 5 = 0 THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE s END AS seq
   FROM (SELECT doc_id, source, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS s FROM documents))"""
 _KMERS = f"""{_SEQS},
@@ -464,7 +464,7 @@ def circos_highlights(spark, sf):
 
 @query("circos_karyotype", f"WITH {_SEQS}, {_BLOCKS} SELECT chr, 'seq' || (chr + 1) AS name, 'd' || chr AS label, CAST(length(seq) AS INTEGER) AS size FROM seqs WHERE chr IN (SELECT chr FROM blocks)")
 def circos_karyotype(spark, sf):
-    return reports.karyotype(_seqs(spark, sf), fixtures.blocks_from_lineitem(spark, sf)).withColumn("label", F.concat(F.lit("d"), F.col("chr").cast("string")))
+    return reports.karyotype(_seqs(spark, sf), fixtures.blocks_from_lineitem(spark, sf))
 
 
 @query(
@@ -577,7 +577,16 @@ def variant_pipeline(spark, sf):
 # ---- alignment -------------------------------------------------------------------------------
 
 
-@query("codon_translation")
+def _frame(s: str, f: int) -> str:
+    base = lambda j: f"(strpos('TCAG', substr({s}, i * 3 + {f + j + 1}, 1)) - 1)"
+    at = f"1 + 16 * {base(0)} + 4 * {base(1)} + {base(2)}"
+    return f"array_to_string(list_transform(range(0, (length({s}) - {f}) // 3), lambda i: substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', {at}, 1)), '')"
+
+
+_FRAMES = ", ".join(f"{_frame(s, f)} AS frame{3 * n + f}" for n, s in enumerate(("seq", "rc")) for f in range(3))
+
+
+@query("codon_translation", f"WITH {_SEQS}, r AS (SELECT chr, seq, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM seqs) SELECT chr, {_FRAMES} FROM r")
 def codon_translation(spark, sf):
     return _seqs(spark, sf).select("chr", *[F.get(S.six_frames("seq"), i).alias(f"frame{i}") for i in range(6)])
 

@@ -19,7 +19,7 @@ def sequences_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("int").alias("chr"),
         (F.col("doc_id") % 2).cast("int").alias("file_idx"),
-        F.concat(F.lit("seq|"), F.col("doc_id").cast("string"), F.lit("|"), F.col("source"), F.lit("|d"), F.col("doc_id").cast("string"), F.lit(".1|x")).alias("description"),
+        F.concat(F.lit("gi|"), F.col("doc_id").cast("string"), F.lit("|"), F.col("source"), F.lit("|d"), F.col("doc_id").cast("string"), F.lit(".1|")).alias("description"),
         F.when(F.col("doc_id") % 5 == 0, reverse_complement(bases)).otherwise(bases).alias("seq"),
     )
 
