@@ -88,16 +88,17 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A row stays if it is the kept row of its group. Rows that repeat with the
     same id and text are the same document: one of them stays.
     """
-    columns = docs.columns
     decided = exact_dedup(docs, id_col, text_col)
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     lost = (
         decided.where(F.col("group_size") > 1)
-        .groupBy(key(id_col).alias("_key"), F.col("text_sha256").alias("_sha"))
-        .agg(F.count_if("kept").alias("_kept"), F.count(F.lit(1)).alias("_all"))
-        .where("_kept < _all")
-        .select("_key", "_sha", (F.col("_kept") > 0).alias("_some"))
+        .groupBy(key(id_col).alias("key"), F.col("text_sha256").alias("sha"))
+        .agg(F.count_if("kept").alias("kept"), F.count(F.lit(1)).alias("all"))
+        .where("kept < all")
+        .select("key", "sha", (F.col("kept") > 0).alias("some"))
     )
-    rows = docs.withColumns({"_key": key(id_col), "_sha": F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)}).join(written(lost, "exact-lost"), ["_key", "_sha"], "left")
-    nth = F.row_number().over(Window.partitionBy("_key", "_sha").orderBy("_key"))
-    return rows.withColumn("_nth", nth).where("_some is null or (_some and _nth = 1)").select(*columns)
+    # The row goes through as a struct, so no column of it can clash with these.
+    rows = docs.select(F.struct("*").alias("row"), key(id_col).alias("key"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha"))
+    nth = F.row_number().over(Window.partitionBy("key", "sha").orderBy("key"))
+    joined = rows.join(written(lost, "exact-lost"), ["key", "sha"], "left").withColumn("nth", nth)
+    return joined.where("some is null or (some and nth = 1)").select("row.*")

@@ -226,5 +226,6 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     one with the smallest doc_id. Rows that share an id stay or go together."""
     groups = near_groups(docs, **options)
     keep = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    lost = written(groups.groupBy(F.col("doc_id").alias("_lost")).agg(F.bool_or(keep).alias("_keep")).where("not _keep").select("_lost"), "near-lost")
-    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_lost")), "left_anti")
+    name = next(n for n in (f"_lost{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    lost = groups.groupBy(F.col("doc_id").alias(name)).agg(F.bool_or(keep).alias("kept")).where("not kept").select(name)
+    return docs.join(written(lost, "near-lost"), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
