@@ -217,6 +217,55 @@ def test_links_find_every_near_pair(spark, radius, segments):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize(("radius", "wide", "route"), [(12, 26, 8), (11, 20, 6), (3, 6, 8)])
+def test_wide_links_find_every_near_pair(spark, radius, wide, route):
+    rng = random.Random(radius)
+    prints = set()
+    for _ in range(50):
+        base = rng.getrandbits(128)
+        prints.add(base)
+        for _ in range(8):
+            f = base
+            for b in rng.sample(range(128), rng.randint(0, wide + 4)):
+                f ^= 1 << b
+            prints.add(f)
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    pair = {f: (signed(f & (2**64 - 1)), signed(f >> 64)) for f in prints}
+    links = simhash.wide_links(spark.createDataFrame(list(pair.values()), "fp long, fp1 long"), radius, wide, 4, route)
+    got = {tuple(r.node): tuple(r.root) for r in simhash.components(links).collect()}
+    root = {f: f for f in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in prints:
+        for b in prints:
+            if ((a ^ b) & (2**64 - 1)).bit_count() <= radius and (a ^ b).bit_count() <= wide:
+                root[find(a)] = find(b)
+    mine, want = defaultdict(set), defaultdict(set)
+    for f in prints:
+        mine[got.get(pair[f], pair[f])].add(f)
+        want[find(f)].add(f)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = random.Random(21)
+    rows, kept = [], set()
+    for g in range(40):
+        base = words(g, 150, 5000).split()
+        kept.add(g * 10)
+        for j in range(4):
+            t = list(base)
+            for _ in range(j):
+                t[rng.randrange(150)] = f"new{rng.random()}"
+            rows.append((g * 10 + j, " ".join(t)))
+    got = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept <= got and len(got - kept) <= 4  # up to three of 150 words changed
+
+
 def test_components_close_long_chains(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(chain).collect()}
@@ -458,7 +507,7 @@ def test_pipeline(spark, tokenizer):
     for d, t in kept["toxicity"]:
         best[t] = max(d, best.get(t, d))
     assert sorted(kept["exact_dedup"]) == sorted((d, t) for t, d in best.items())
-    comp = simhash.near_groups(spark.createDataFrame(kept["exact_dedup"], "doc_id long, text string"), shingle=5, radius=7, segments=4).collect()
+    comp = simhash.alike_groups(spark.createDataFrame(kept["exact_dedup"], "doc_id long, text string")).collect()
     assert {d for d, _ in kept["simhash_near_dedup"]} == {r.component_id for r in comp}
     assert set(kept["mixing"]) <= set(kept["simhash_near_dedup"]) and max(Counter(kept["mixing"]).values()) <= 3
     got = p.STAGES[-1][1](spark, before, SF).collect()
