@@ -24,12 +24,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the row with the smallest doc_id stays.
-
-    Five-word shingles; texts with a similarity of 0.8 differ in 7 to 10 of the 64
-    bits on average, unrelated ones in 32.
-    """
-    return simhash.drop_near_copies(docs, shingle=5, radius=7, segments=4)
+    """Of each component of near copies the row with the smallest doc_id stays."""
+    return simhash.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
