@@ -94,6 +94,16 @@ SELECT doc_id, size, source_size, target,
 FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
 """
 
+_OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos, len(ws) AS n FROM d),
+k AS (SELECT *, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS key FROM w),
+f AS (SELECT doc_id, word, pos, n, pos + 49 <= n AND min(doc_id) OVER (PARTITION BY key) < doc_id AS hit FROM k),
+c AS (SELECT *, max(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+g AS (SELECT doc_id, sum(gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0), '') AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
+
 _OP8_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -126,4 +136,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_warc": _OP2_SQL, "op3_mixing": _OP3_SQL, "op8_topk": _OP8_SQL, "op10_exact_dedup": _OP10_SQL}
+    return {"op2_warc": _OP2_SQL, "op3_mixing": _OP3_SQL, "op7_substring_dedup": _OP7_SQL, "op8_topk": _OP8_SQL, "op10_exact_dedup": _OP10_SQL}
