@@ -119,6 +119,13 @@ def word_matches(seqs: DataFrame, k: int) -> DataFrame:
     return found.where("n0 > 0 and n1 > 0").withColumn("n_pairs", F.col("n0") * F.col("n1"))
 
 
+def seed_values(seqs: DataFrame, k: int) -> DataFrame:
+    """word, n, value: what a letter of each word is worth, the more the rarer it is."""
+    words = kmers(seqs, k).where("strand = 0").groupBy(F.col("kmer").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    places = seqs.agg(F.sum(F.greatest(F.length("seq") - (k - 1), F.lit(0))).cast("long").alias("places"))
+    return words.crossJoin(F.broadcast(places)).select("word", "n", F.round(F.log(F.col("places") / F.col("n")) / k, 6).alias("value"))
+
+
 def cut_ranges(seqs: DataFrame, ranges: DataFrame) -> DataFrame:
     """(chr, from_, to_, flip) to chr, from_, n, cut: parts of sequences, reversed on demand."""
     rows = ranges.join(seqs.select("chr", "seq"), "chr").where(F.length("seq") > F.col("from_"))

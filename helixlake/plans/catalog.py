@@ -767,6 +767,183 @@ def event_order_stream(spark, sf):
     return hourly_counts(spark, sf)
 
 
+# ---- more of the same relations --------------------------------------------------------------
+
+
+@query("strand_view", f"WITH {_SEQS} SELECT chr, 0 AS strand, seq FROM seqs UNION ALL SELECT chr, 1, reverse(translate(seq, 'ACGT', 'TGCA')) FROM seqs")
+def strand_view(spark, sf):
+    return kmers.strands(_seqs(spark, sf))
+
+
+@query("hit_merge", f"""WITH {_HITS}, dg AS (SELECT *, s2 - s1 AS dia FROM hits WHERE e2 - s2 = e1 - s1),
+m AS (SELECT *, CASE WHEN s1 > max(e1) OVER (PARTITION BY pair_id, dia ORDER BY s1, e1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) OR row_number() OVER (PARTITION BY pair_id, dia ORDER BY s1, e1) = 1 THEN 1 ELSE 0 END AS new FROM dg),
+g AS (SELECT *, sum(new) OVER (PARTITION BY pair_id, dia ORDER BY s1, e1 ROWS UNBOUNDED PRECEDING) AS g FROM m)
+SELECT pair_id, min(s1) AS s1, max(e1) AS e1, min(s1) + dia AS s2, max(e1) + dia AS e2, max(score) AS score FROM g GROUP BY pair_id, dia, g""")
+def hit_merge(spark, sf):
+    return multiple.merged_hits(_hits(spark, sf).drop("strand"))
+
+
+@query("hit_swap", f"WITH {_HITS} SELECT pair_id, s2 AS s1, e2 AS e1, s1 AS s2, e1 AS e2, score, strand FROM hits")
+def hit_swap(spark, sf):
+    return utilities.swapped(_hits(spark, sf))
+
+
+@query("hit_reflect", f"WITH {_HITS} SELECT pair_id, s1, e1, s2, e2, score, strand, false AS mirrored FROM hits UNION ALL SELECT pair_id, s1, e1, 2100 - e2, 2100 - s2, score, strand, true FROM hits")
+def hit_reflect(spark, sf):
+    sizes = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("pair_id"), F.lit(2100).alias("size2"))
+    return utilities.reflected(_hits(spark, sf), sizes)
+
+
+@query("hit_regions", f"""WITH {_HITS}, r AS (SELECT s_suppkey AS pair_id, s_suppkey % 500 AS a1, s_suppkey % 500 + 900 AS b1, 100 AS a2, 1500 AS b2 FROM supplier)
+SELECT DISTINCT pair_id, s1, e1, s2, e2, score, strand FROM hits JOIN r USING (pair_id) WHERE s1 >= a1 AND e1 <= b1 AND s2 >= a2 AND e2 <= b2""")
+def hit_regions(spark, sf):
+    k = F.col("s_suppkey")
+    regions = spark.read.parquet(f"{sf}/supplier.parquet").select(k.alias("pair_id"), (k % 500).alias("a1"), (k % 500 + 900).alias("b1"), F.lit(100).alias("a2"), F.lit(1500).alias("b2"))
+    return utilities.in_regions(_hits(spark, sf), regions)
+
+
+@query("hit_crop", f"WITH {_HITS} SELECT pair_id, s1 - 300 AS s1, e1 - 300 AS e1, s2, e2, score, strand FROM hits WHERE s1 >= 300 AND e1 <= 900")
+def hit_crop(spark, sf):
+    return multiple.cropped(_hits(spark, sf), 300, 900)
+
+
+@query("overlap_box", f"WITH {_HITS} SELECT coalesce(min(s1), -1) AS from1, coalesce(max(e1), -1) AS to1, coalesce(min(s2), -1) AS from2, coalesce(max(e2), -1) AS to2 FROM hits")
+def overlap_box(spark, sf):
+    return utilities.overlap_box(_hits(spark, sf))
+
+
+@query("hit_text", f"""WITH {_HITS} SELECT format('a{{}} {{}} {{}}; b{{}} {{}} {{}}; score = {{:.6f}} ({{}})', pair_id, s1, e1, pair_id, s2, e2, score, strand) AS value FROM hits""")
+def hit_text(spark, sf):
+    from ..sources.sinks import hit_lines
+
+    return hit_lines(_hits(spark, sf).withColumn("name1", F.concat(F.lit("a"), F.col("pair_id").cast("string"))).withColumn("name2", F.concat(F.lit("b"), F.col("pair_id").cast("string"))))
+
+
+@query("hit_text_round_trip", f"WITH {_HITS} SELECT 'a' || pair_id AS name1, s1, e1, 'b' || pair_id AS name2, s2, e2, score, strand FROM hits")
+def hit_text_round_trip(spark, sf):
+    from ..sources.fasta import read_hits
+
+    return read_hits(hit_text(spark, sf))
+
+
+@query("stage_cover", f"""WITH {_BLOCKS}, s AS (SELECT block_id, chr, "start", "end" + 40 AS "end", CAST("start" % 3 AS INTEGER) AS stage, chr % 2 AS side FROM blocks),
+two AS (SELECT block_id FROM s GROUP BY block_id HAVING count(DISTINCT side) = 2), r AS (SELECT s.* FROM s JOIN two USING (block_id)),
+cuts AS (SELECT chr, "start" AS c FROM r UNION SELECT chr, "end" FROM r), pc AS (SELECT chr, c AS "start", lead(c) OVER (PARTITION BY chr ORDER BY c) AS "end" FROM cuts)
+SELECT p.chr, p."start", p."end", arg_max(r.block_id, r.stage * 100000 + r.block_id) AS block_id FROM pc p JOIN r ON p.chr = r.chr AND p."start" < r."end" AND r."start" < p."end" WHERE p."end" IS NOT NULL GROUP BY ALL""")
+def stage_cover(spark, sf):
+    found = fixtures.blocks_from_lineitem(spark, sf).select("block_id", "chr", "start", (F.col("end") + 40).alias("end"), (F.col("start") % 3).cast("int").alias("stage"))
+    return variants.last_cover(found, _sided(spark, sf))
+
+
+@query("letter_extract", f"""WITH {_COLUMNS}, n AS (SELECT *, sum(CASE WHEN x <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY col ROWS UNBOUNDED PRECEDING) AS a FROM cols)
+SELECT pair_id, string_agg(y, '' ORDER BY col) AS letters FROM n WHERE a BETWEEN 90 AND 230 AND y <> '-' GROUP BY pair_id""")
+def letter_extract(spark, sf):
+    return utilities.extracted(variants.columns(fixtures.aligned_from_documents(spark, sf)), 90, 230)
+
+
+@query("overlay_letters", f"""WITH {_COLUMNS}, o AS (SELECT CAST(chr AS BIGINT) AS pair_id, translate(seq, 'ACGT', 'acgt') AS t FROM seqs),
+n AS (SELECT *, sum(CASE WHEN x <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY col ROWS UNBOUNDED PRECEDING) AS a FROM cols)
+SELECT pair_id, string_agg(CASE WHEN x = '-' THEN '-' ELSE substr(t, CAST(a AS BIGINT), 1) END, '' ORDER BY col) AS row FROM n JOIN o USING (pair_id) GROUP BY pair_id""")
+def overlay_letters(spark, sf):
+    own = _seqs(spark, sf).select(F.col("chr").cast("long").alias("pair_id"), F.translate("seq", "ACGT", "acgt").alias("seq"))
+    return utilities.overlaid(variants.columns(fixtures.aligned_from_documents(spark, sf)), own)
+
+
+@query("mask_ranges", f"""WITH {_SEQS} SELECT chr, array_to_string(list_transform(range(1, length(seq) + 1), lambda i: CASE WHEN (i - 1 >= chr % 11 AND i - 1 < chr % 11 + 5) OR (i - 1 >= 30 AND i - 1 < 33) THEN 'N' ELSE substr(seq, i, 1) END), '') AS seq FROM seqs""")
+def mask_ranges(spark, sf):
+    seqs = _seqs(spark, sf).select("chr", "seq")
+    a = (F.col("chr") % 11).cast("int")
+    ranges = seqs.select("chr", F.explode(F.array(F.struct(a.alias("from_"), (a + 5).alias("to_")), F.struct(F.lit(30).alias("from_"), F.lit(33).alias("to_")))).alias("r")).select("chr", "r.*")
+    return utilities.masked_ranges(seqs, ranges)
+
+
+_SAM_BLOCKS = """p AS (SELECT chr, chr AS block_id, CASE WHEN chr % 3 = 0 THEN -1 ELSE 1 END AS sign, least(chr % 9, length(seq)) AS s, least(150, length(seq)) AS e, seq, description FROM seqs WHERE length(seq) > 10)"""
+
+
+def _own_blocks(seqs):
+    return seqs.where("length(seq) > 10").select(F.col("chr").alias("block_id"), F.when(F.col("chr") % 3 == 0, -1).otherwise(1).alias("sign"), "chr", (F.col("chr") % 9).cast("int").alias("start"), F.least(F.lit(150), F.length("seq")).alias("end"))
+
+
+@query("block_sam", f"""WITH {_SEQS}, {_SAM_BLOCKS} SELECT CAST(block_id AS VARCHAR) AS qname, CASE WHEN sign > 0 THEN 0 ELSE 16 END AS flag, 'd' || chr AS rname, CAST(s + 1 AS INTEGER) AS pos, 255 AS mapq, CAST(e - s AS VARCHAR) || 'M' AS cigar,
+'*' AS rnext, 0 AS pnext, 0 AS tlen, substr(seq, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)) AS seq, '*' AS qual FROM p""")
+def block_sam(spark, sf):
+    seqs = _seqs(spark, sf)
+    return reports.sam(_own_blocks(seqs), seqs)
+
+
+@query("permutation_text", f"""WITH {_SEQS}, {_BLOCKS}, l AS (SELECT chr, string_agg(CASE WHEN sign > 0 THEN '+' ELSE '-' END || block_id, ' ' ORDER BY "start", "end") AS ids FROM blocks GROUP BY chr)
+SELECT chr, '>' || description || chr(10) || ids || ' $' AS value FROM l JOIN seqs USING (chr)""")
+def permutation_text(spark, sf):
+    from ..sources.sinks import permutation_lines
+
+    return permutation_lines(fixtures.blocks_from_lineitem(spark, sf), _seqs(spark, sf))
+
+
+@query("fasta_text", f"""WITH {_SEQS} SELECT chr, '>' || description || chr(10) || rtrim(regexp_replace(seq, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10)) AS value FROM seqs""")
+def fasta_text(spark, sf):
+    from ..sources.sinks import fasta_lines
+
+    return fasta_lines(_seqs(spark, sf))
+
+
+@query("coordinate_text", f"""WITH {_BLOCKS}, r AS (SELECT block_id, chr, "start", (chr + 1) || chr(9) || CASE WHEN sign > 0 THEN '+' || chr(9) || ("start" + 1) || chr(9) || "end" ELSE '-' || chr(9) || "end" || chr(9) || ("start" + 1) END || chr(9) || ("end" - "start") AS row FROM blocks)
+SELECT block_id, 'Block #' || block_id || chr(10) || concat_ws(chr(9), 'Seq_id', 'Strand', 'Start', 'End', 'Length') || chr(10) || string_agg(row, chr(10) ORDER BY chr, "start", row) || chr(10) || repeat('-', 80) AS value FROM r GROUP BY block_id""")
+def coordinate_text(spark, sf):
+    from ..sources.sinks import coordinate_lines
+
+    return coordinate_lines(fixtures.blocks_from_lineitem(spark, sf))
+
+
+@query("coordinate_text_round_trip", f"""WITH {_BLOCKS} SELECT block_id, sign, chr, "start", "end" FROM blocks""")
+def coordinate_text_round_trip(spark, sf):
+    from ..sources.fasta import read_block_coordinates
+
+    return read_block_coordinates(coordinate_text(spark, sf).select("value"))
+
+
+@query(
+    "vcf_records",
+    f"""WITH found AS ({_SQL["variants_from_alignment"]}) SELECT CAST(pair_id AS INTEGER) AS chr,
+concat_ws(chr(9), pair_id, "offset" + 1, '.', coalesce(nullif(ref, ''), '.'), coalesce(nullif(alt, ''), '.'), '.', '.', '.') AS value FROM found""",
+)
+def vcf_records(spark, sf):
+    from ..sources.sinks import vcf_lines
+
+    found = variants.from_alignments(fixtures.aligned_from_documents(spark, sf))
+    rows = found.select(F.col("pair_id").cast("int").alias("chr"), (F.col("offset") + 1).alias("pos"), "ref", "alt")
+    return vcf_lines(rows, "reference").where("part = 1").select("chr", "value")
+
+
+@query("breakend_records", f"""WITH {_GAPS}, big AS (SELECT chr, gap_start, gap_end - gap_start AS n, substr(repeat('ACGTTGCA', 12513), CAST(gap_start + 1 AS BIGINT), CAST(gap_end - gap_start AS BIGINT)) AS alt FROM gaps WHERE gap_end - gap_start > 60 AND chr % 2 <> 0),
+o AS (SELECT *, row_number() OVER (ORDER BY chr, gap_start, alt) - 1 AS i FROM big)
+SELECT 'ref' AS chrom, 1 AS pos, 'bnd_' || (2 * i + side) AS id, 'A' AS ref, CASE WHEN side = 0 THEN 'A[' || chr || ':' || (gap_start + 1) || '[' ELSE ']' || chr || ':' || (gap_start + 1 + n) || ']A' END AS alt, 'IMPRECISE;SVTYPE=BND;CIPOS=0,100104' AS info
+FROM o CROSS JOIN (SELECT unnest([0, 1]) AS side)""")
+def breakend_records(spark, sf):
+    found, seqs = _two_sided(spark, sf)
+    gaps = variants.uncovered(found, seqs, 60).where("file_idx <> 0").join(seqs.select("chr", "seq"), "chr")
+    rows = gaps.select(F.col("chr").alias("contig"), F.col("gap_start").cast("int").alias("assembly_pos"), F.substring("seq", F.col("gap_start") + 1, F.col("gap_end") - F.col("gap_start")).alias("alt"))
+    return variants.breakends(rows, "ref", "A", 100_104)
+
+
+@query("maf_text", f"""WITH {_ALIGNED}, r AS (SELECT pair_id AS block_id, 's ref 0 ' || length(replace(a, '-', '')) || ' + ' || length(replace(a, '-', '')) || ' ' || a AS l FROM aligned
+  UNION ALL SELECT pair_id, 's asm ' || (length(a) + 50 - 7 - length(replace(b, '-', ''))) || ' ' || length(replace(b, '-', '')) || ' - ' || (length(a) + 50) || ' ' || b FROM aligned)
+SELECT block_id, 'a' || chr(10) || string_agg(l, chr(10) ORDER BY l) || chr(10) AS value FROM r GROUP BY block_id""")
+def maf_text(spark, sf):
+    from ..sources.sinks import maf_lines
+
+    pairs = fixtures.aligned_from_documents(spark, sf)
+    ref = pairs.select(F.col("pair_id").alias("block_id"), F.lit("ref").alias("name"), F.lit(0).alias("start"), F.lit("+").alias("strand"), F.length(S.without_gaps("a")).alias("size"), F.col("a").alias("body"))
+    asm = pairs.select(F.col("pair_id").alias("block_id"), F.lit("asm").alias("name"), F.lit(7).alias("start"), F.lit("-").alias("strand"), (F.length("a") + 50).alias("size"), F.col("b").alias("body"))
+    return maf_lines(ref.unionByName(asm))
+
+
+@query("seed_value", f"""WITH {_SEQS}, t AS (SELECT CAST(sum(greatest(length(seq) - 11, 0)) AS BIGINT) AS places FROM seqs),
+w AS (SELECT substr(seq, unnest(range(1, length(seq) - 10)), 12) AS word FROM seqs WHERE length(seq) >= 12), c AS (SELECT word, count(*) AS n FROM w GROUP BY word)
+SELECT word, n, round(ln(places / n) / 12, 6) AS value FROM c, t""")
+def seed_value(spark, sf):
+    return utilities.seed_values(_seqs(spark, sf), 12)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
