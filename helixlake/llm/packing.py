@@ -28,8 +28,10 @@ _PLACE = _PIECE + ", sequence_id long, `offset` long"
 
 #: White space just before a blank or a line break: splitting there could change ids.
 _UNSAFE = re.compile(r"\s[ \n]")
-#: Chunks that one worker remembers, about 100 MB.
-_REMEMBER = 400_000
+#: Chunks of each of the two generations that one worker remembers, about 100 MB.
+_REMEMBER = 600_000
+#: Marks that a chunk may end in after its letters; the pre-tokenizer splits there.
+_MARKS = frozenset(".,;:!?")
 
 
 @remembered
@@ -42,28 +44,63 @@ def _tokenizer(path: str):
     return t
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
 class TokenIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     The byte-level pre-tokenizer always ends a token before a blank or a line
     break that follows another character than white space. So a text's ids are
     those of the chunks between such places, and a chunk is encoded once and
-    remembered. Texts with longer runs of white space are encoded whole.
+    remembered. A run of letters is one token of the pre-tokenizer and goes to the
+    model itself. Texts with longer runs of white space are encoded whole.
     """
 
     def __init__(self, path: str):
-        self.encode = lambda texts: [array("I", e.ids).tobytes() for e in _tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+        tokenizer = _tokenizer(path)
+        letters = _byte_letters()
+        self.encode = lambda texts: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        tokenize = tokenizer.model.tokenize
+        self.word = lambda w: array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]).tobytes()
+        self.mark = dict(zip(sorted(_MARKS), self.encode(sorted(_MARKS)), strict=True))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, new: set[str]) -> None:
+        known, older, hard = self.known, self.older, []
+        for c in new:
+            if (ids := older.get(c)) is not None:
+                known[c] = ids
+            elif c.isalpha():
+                known[c] = self.word(" " + c)
+            elif c[-1:] in self.mark and (stem := c[:-1]).isalpha():
+                if (ids := known.get(stem) or older.get(stem)) is None:
+                    ids = known[stem] = self.word(" " + stem)
+                known[c] = ids + self.mark[c[-1]]
+            elif c[:1] == "\n" and c[1:].isalpha():
+                known[c] = self.newline + self.word(c[1:])
+            else:
+                hard.append(c)
+        known.update(zip(hard, self.encode([c if c[:1] == "\n" else " " + c for c in hard]), strict=True))
+
+    @property
+    def newline(self) -> bytes:
+        if "\n" not in self.known:
+            self.known["\n"] = self.encode(["\n"])[0]
+        return self.known["\n"]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > _REMEMBER:
+            self.older, self.known = self.known, {}
         known = self.known
-        if len(known) > _REMEMBER:
-            known.clear()
         # A chunk's key is its text without the blank before it.
         chunks = [None if _UNSAFE.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        new = set().union(*(c[1:] for c in chunks if c)).difference(known)
-        new = list(new)
-        known.update(zip(new, self.encode([c if c[:1] == "\n" else " " + c for c in new]), strict=True))
+        self._learn(set().union(*(c[1:] for c in chunks if c)).difference(known))
         whole = [t if c is None else c[0] for t, c in zip(texts, chunks, strict=True)]
         first = self.encode(whole)
         return [f if c is None else f + b"".join(map(known.__getitem__, c[1:])) for f, c in zip(first, chunks, strict=True)]
