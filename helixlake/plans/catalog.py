@@ -360,7 +360,7 @@ def stripe_glue_round(spark, sf):
 
 @query("stripe_glue")
 def stripe_glue(spark, sf):
-    return postprocess.glue_stripes(fixtures.blocks_from_lineitem(spark, sf), most_rounds=20)
+    return postprocess.glue_stripes(fixtures.blocks_from_lineitem(spark, sf))
 
 
 @query(

@@ -111,6 +111,44 @@ def test_gluing_joins_blocks_that_always_follow_each_other(spark):
     assert out == [(1, -1, 1, 0, 19), (1, 1, 0, 0, 20), (2, 1, 0, 30, 40), (2, 1, 2, 0, 10)]
 
 
+def plain_glue(rows):
+    """Smallest block first, one pair at a time."""
+    perms = defaultdict(list)
+    for b, sign, c, s, e in sorted(rows, key=lambda r: (r[2], r[3])):
+        perms[c].append([b, sign, s, e])
+    while True:
+        follow = defaultdict(list)
+        for p in perms.values():
+            for i, (b, sign, _, _) in enumerate(p):
+                j = i + sign
+                follow[b].append(sign * p[j][0] * p[j][1] if 0 <= j < len(p) else None)
+        pick = next((b for b in sorted(follow) if len(set(follow[b])) == 1 and follow[b][0] is not None and abs(follow[b][0]) != b and len(follow[abs(follow[b][0])]) == len(follow[b])), None)
+        if pick is None:
+            break
+        other = abs(follow[pick][0])
+        for c, p in perms.items():
+            out = []
+            for i, (b, sign, s, e) in enumerate(p):
+                if b == pick:
+                    out.append([b, sign, s, p[i + 1][3]] if sign > 0 else [b, sign, p[i - 1][2], e])
+                elif b != other:
+                    out.append([b, sign, s, e])
+            perms[c] = out
+    ids = {b: i + 1 for i, b in enumerate(sorted({x[0] for p in perms.values() for x in p}))}
+    return sorted((ids[b], sign, c, s, e) for c, p in perms.items() for b, sign, s, e in p)
+
+
+def test_gluing_equals_one_pair_at_a_time():
+    for seed in range(3000):
+        rng = random.Random(seed)
+        n, rows = rng.randint(2, 6), []
+        for c in range(rng.randint(1, 3)):
+            rows += [(rng.randint(1, n), rng.choice([1, -1]), c, 10 * i, 10 * i + 7) for i in range(rng.randint(0, 7))]
+        got = postprocess.glue_rows(rows)
+        ids = {b: i + 1 for i, b in enumerate(sorted({r[0] for r in got}))}
+        assert sorted((ids[r[0]], *r[1:]) for r in got) == plain_glue(rows)
+
+
 def test_islands_and_complement(spark):
     iv = spark.createDataFrame([(1, 0, 5), (1, 5, 7), (1, 9, 12), (2, 3, 4)], "k int, `start` int, `end` int")
     got = sorted(tuple(r) for r in intervals.islands(iv, ["k"]).collect())
