@@ -63,20 +63,20 @@ def exact_dedup(
     narrow = written(hashed.groupBy("_id", "_len", "_prefix", "text_sha256", "_alike").agg(F.count(F.lit(1)).alias("_copies")), "exact-dedup")
     groups = narrow.where("_alike").groupBy(F.col("text_sha256").alias("_sha")).agg(F.max("_id").alias("_keep"), F.sum("_copies").alias("_size")).where("_size > 1")
     groups = written(groups, "exact-groups")
+    # Rows that are alone have no digest to join on: they go past the join, else all
+    # their nulls would meet in one task.
+    alike = narrow.where("_alike").join(groups, F.col("text_sha256") == F.col("_sha"), "left").select(
+        "_id", F.when(F.col("_sha").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("keep_id"), F.coalesce("_size", "_copies").alias("group_size"), "text_sha256", "_copies"
+    )
+    alone = narrow.where("not _alike").select("_id", F.col("_id").alias("keep_id"), F.col("_copies").alias("group_size"), "text_sha256", "_copies")
     return (
-        narrow.join(groups, F.col("_alike") & (F.col("text_sha256") == F.col("_sha")), "left")
+        alike.unionAll(alone)
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
         .select(
             F.col("_id").alias(id_col),
-            F.when(F.col("_sha").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("keep_id"),
-            F.when(F.col("_sha").isNull(), F.col("_copies")).otherwise(F.col("_size")).cast("long").alias("group_size"),
-            "text_sha256",
-            F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy"),
-        )
-        .select(
-            id_col,
             "keep_id",
             "group_size",
-            ((F.col("_copy") == 1) & F.col(id_col).eqNullSafe(F.col("keep_id"))).alias("kept"),
+            ((F.col("_copy") == 1) & F.col("_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
             "text_sha256",
         )
     )
