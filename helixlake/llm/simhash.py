@@ -8,6 +8,10 @@ the values of a small Hamming ball around it; the larger value of a pair probes
 for the smaller, so every pair meets once per segment. Full distances settle the
 matches. A bucket of near copies gives a star of links, not all its pairs, and
 components are closed by alternating star contractions over written tables.
+
+``alike_groups`` holds to a similarity of shingles instead, which fingerprints only
+estimate: its candidates share a hash of the few that such texts must share, and
+each is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -339,18 +343,171 @@ def near_groups(docs: DataFrame, shingle: int = 4, seed: int = 42, radius: int =
     return _labelled(prints, F.col("fp"), lambda nodes: near_links(nodes.select(F.col("node").alias("fp")), radius, segments))
 
 
-def alike_groups(docs: DataFrame, shingle: int = 5, seeds: tuple[int, int] = (42, 43), radius: int = 12, wide_radius: int = 26) -> DataFrame:
-    """(doc_id, fp, fp1, component_id): texts whose shingles have a similarity of about 0.8 or more.
+def _shingle_sets(shingle: int, seed: int, common: np.ndarray):
+    """Rows (doc_id, node, shingles): a text's distinct shingle hashes, those of
+    ``common`` last and the others by value; equal sets have equal nodes."""
+    at = np.argsort(common)
+    known = common[at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            words = Words(_LOWER[data], offsets)
+            joined = words.data.tobytes()
+            node, sets = [], []
+            for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+                size = min(b - a, shingle)  # a shorter text is one shingle
+                starts, ends = (words.start[a : b - size + 1].tolist(), words.end[a + size - 1 : b].tolist()) if size else ([], [])
+                own = np.unique(np.array([xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts, ends, strict=True)], np.uint64))
+                node.append(xxh64_intdigest(own.tobytes(), seed))
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    own = own[np.argsort(np.where(known[place] == own, at[place], -1), kind="stable")]
+                sets.append(own.tobytes())
+            nodes = pa.array(np.array(node, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array(sets, pa.binary())], names=["doc_id", "node", "shingles"])
+
+    return run
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        node, group = (batch.column(i).to_numpy() for i in (0, 2))
+        sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        size = np.array([len(x) for x in sets], np.int64)
+        # Sets of similarity 4/5 share at least ceil(4 n / 5) of their n, so also one of these first.
+        n = np.where(size > 0, size - (4 * size + 4) // 5 + 1, 0)
+        if most is not None:
+            n = np.minimum(n, most)
+        token = np.concatenate([x[:k] for x, k in zip(sets, n.tolist(), strict=True)]) if len(sets) else np.zeros(0, np.int64)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        columns = [token, np.repeat(node, n), np.repeat(size, n).astype(np.int32), place.astype(np.int32), np.repeat(group, n)]
+        for k in range(0, len(token), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], names=["token", "node", "n", "place", "grp"])
+
+
+def _alike_pairs(chain: bool):
+    """Rows sorted by (token, n, node): pairs of a token's sets that may have similarity 4/5.
+
+    ``chain``: of each set only the pairs with its successor and its token's first.
+    """
+
+    def paired(token: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, grp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])  # an equal set once
+        token, node, n, place, grp = (x[new] for x in (token, node, n, place, grp))
+        edges = np.flatnonzero(np.diff(token)) + 1
+        starts, ends = np.concatenate([[0], edges]), np.append(edges, len(token))
+        sizes = ends - starts
+
+        def kept(left, right):
+            both = n[left] + n[right]
+            shared = np.minimum(n[left] - place[left], n[right] - place[right])  # at most, if this is their first common one
+            ok = (grp[left] != grp[right]) & (9 * shared >= 4 * both)
+            a, b = node[left[ok]], node[right[ok]]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+        row = np.arange(len(token))
+        end, first = np.repeat(ends, sizes), np.repeat(starts, sizes)
+        if chain:
+            then, far = row[row + 1 < end], row[row > first + 1]
+            yield kept(np.concatenate([then, first[far]]), np.concatenate([then + 1, far]))
+            return
+        count = end - row - 1
+        row, count = row[count > 0], count[count > 0]
+        sums = np.cumsum(count)
+        k = 0
+        while k < len(row):
+            to = max(k + 1, int(np.searchsorted(sums, (sums[k - 1] if k else 0) + _PAIRS, "right")))
+            left = np.repeat(row[k:to], count[k:to])
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count[k:to]) - count[k:to], count[k:to])
+            k = to
+            yield kept(left, right)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = tuple(c.to_numpy() for c in batch.columns)
+            if held and new[0][-1] == held[0][0][0]:  # a token that goes on
+                held.append(new)
+                continue
+            columns = [np.concatenate(x) for x in zip(*held, new, strict=True)] if held else list(new)
+            cut = int(np.flatnonzero(np.diff(columns[0]))[-1]) + 1 if columns[0][0] != columns[0][-1] else 0
+            if cut:
+                yield from paired(*(c[:cut] for c in columns))
+            held = [tuple(c[cut:] for c in columns)]
+        if held:
+            yield from paired(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
 
-    At a Jaccard similarity of 0.8 the expected angle between the shingle sets makes
-    15 % of the bits differ: 9.7 of 64, 19.3 of 128. Two independent fingerprints
-    are taken, the first finds matches within ``radius`` bits, and both together
-    must differ in at most ``wide_radius``: unrelated texts pass once in 10^12 pairs.
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ok = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            shared = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+            ok.append(72 * shared >= 4 * (len(x) + len(y)))  # shared / (all - shared) >= 4/5
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _alike_links(sets: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Links (a < b) of similarity 4/5: without ``groups`` some, with (node, root)
+    every one whose ends have different roots."""
+    chain = groups is None
+    own = sets.select("node", "shingles", F.col("node").alias("grp")) if chain else sets.join(groups, "node", "left").select("node", "shingles", F.coalesce("root", "node").alias("grp"))
+    rows = own.mapInArrow(lambda batches: _prefixes(batches, 8 if chain else None), "token long, node long, n int, place int, grp long")
+    dealt = rows.repartition("token").sortWithinPartitions("token", "n", "node")
+    pairs = written(dealt.mapInArrow(_alike_pairs(chain), "a long, b long").distinct(), "alike-pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    needed = sets.select("node", "shingles").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    joined = pairs.join(needed.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(needed.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    links = written(joined.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "alike-links")
+    forget(pairs)
+    return links
+
+
+def jaccard_links(sets: DataFrame) -> DataFrame:
+    """Links (a < b) between the nodes of ``sets`` (node, shingles) that connect all
+    whose sets have a Jaccard similarity of 4/5 or more, and no others.
+
+    Two such sets share one of their first n - ceil(4n/5) + 1 hashes in any common
+    order. Sets of a hash are first linked as chains; then all pairs of a hash whose
+    ends these links leave apart are compared, so large groups are not squared.
+    """
+    some = _alike_links(sets, None)
+    return some.unionByName(_alike_links(sets, written(components(some), "alike-roots")))
+
+
+def alike_groups(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
+    """(doc_id, component_id): texts whose sets of shingles have a Jaccard similarity of 0.8 or more.
+
+    Linked are exactly the pairs of this similarity; component_id is the smallest
+    doc_id that links reach. Words and shorter texts as in ``fingerprints``, each
+    shingle once; null and wordless texts are alike. Shingles that a sample of the
+    texts repeats are compared last, which saves pairs and changes no result.
     Nulls, repeats and empty tables as in ``near_groups``.
     """
-    prints = fingerprints(docs, shingle, seeds[0], seeds[1:])
-    node = F.struct(F.col("fp").alias("a0"), F.col("fp1").alias("a1"))
-    return _labelled(prints, node, lambda nodes: wide_links(nodes.select(F.col("node.a0").alias("fp"), F.col("node.a1").alias("fp1")), radius, wide_radius))
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    schema = "doc_id long, node long, shingles binary"
+    none = np.zeros(0, np.uint64)
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(64)) == 0).mapInArrow(_shingle_sets(shingle, seed, none), schema)
+    shingles = sample.mapInArrow(_set_hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    common = [r["h"] for r in shingles.where("n > 1").orderBy(F.desc("n"), "h").limit(100_000).collect()]
+    order = np.array(common[::-1], np.int64).view(np.uint64)  # the most common last
+    sets = written(texts.mapInArrow(_shingle_sets(shingle, seed, order), schema), "shingle-sets")
+    return _labelled(sets.select("doc_id", "node"), F.col("node"), lambda nodes: jaccard_links(sets))
+
+
+def _set_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+        for k in range(0, len(h), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(h[k : k + 100_000])], names=["h"])
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:

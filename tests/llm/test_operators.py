@@ -266,6 +266,39 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept <= got and len(got - kept) <= 4  # up to three of 150 words changed
 
 
+def test_alike_groups_are_those_of_exact_similarity(spark):
+    rng = random.Random(5)
+    rows = []
+    for g in range(30):
+        base = words(900 + g, rng.choice([3, 12, 40, 200]), 3000).split()
+        for j in range(12):
+            t = list(base)
+            for _ in range(rng.randint(0, len(t) // 12 + 1)):
+                k = rng.randrange(len(t))
+                t[k : k + rng.randint(0, 1)] = [f"v{rng.randint(0, 9)}"]
+            rows.append((100 * g + j, " ".join(t)))
+    rows += [(9000 + i, t) for i, t in enumerate([None, "", " \t", "one", "ONE", "one two"])]
+    rows += [(9500 + i, words(7, 60) + " " + words(2000 + i, 5)) for i in range(60)]  # a common passage
+    sets = {}
+    for d, t in rows:
+        w = brute.WORD.findall(brute.lower_ascii(t or ""))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in simhash.alike_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: find(d) for d in sets}
+
+
 def test_components_close_long_chains(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(chain).collect()}
