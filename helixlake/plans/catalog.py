@@ -698,27 +698,32 @@ def seed_matches(spark, sf):
     return utilities.word_matches(_seqs(spark, sf), 12)
 
 
+def _spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Few bytes, but much work a row: small tables would be joined into one task."""
+    return rows.repartition(8 * rows.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 @query("local_alignment")
 def local_alignment(spark, sf):
     seqs = _seqs(spark, sf).where("length(seq) > 0")
-    heads = seqs.select("chr", F.substring("seq", 1, 100).alias("s"))
-    rows = heads.join(heads.select((F.col("chr") + 1).alias("chr"), F.col("s").alias("t")), "chr")
-    return rows.select("chr", align.local_alignment_udf("s", "t").alias("r")).select("chr", "r.*")
+    own = seqs.select("chr", F.col("seq").alias("s"))
+    rows = own.join(own.select((F.col("chr") + 1).alias("chr"), F.col("s").alias("t")), "chr")
+    return _spread(rows).select("chr", align.local_alignment_udf("s", "t").alias("r")).select("chr", "r.*")
 
 
 @query("global_alignment")
 def global_alignment(spark, sf):
     seqs = _seqs(spark, sf).where("length(seq) > 0")
-    heads = seqs.select(F.col("chr").cast("long").alias("pair_id"), F.substring("seq", 1, 100).alias("a"))
-    pairs = heads.join(heads.select((F.col("pair_id") + 1).alias("pair_id"), F.col("a").alias("b")), "pair_id")
-    return align.align_pairs(pairs)
+    own = seqs.select(F.col("chr").cast("long").alias("pair_id"), F.col("seq").alias("a"))
+    pairs = own.join(own.select((F.col("pair_id") + 1).alias("pair_id"), F.col("a").alias("b")), "pair_id")
+    return align.align_pairs(_spread(pairs))
 
 
 @query("multiple_alignment")
 def multiple_alignment(spark, sf):
     seqs = _seqs(spark, sf).where("length(seq) >= 20")
-    rows = seqs.select((F.col("chr") / 4).cast("long").alias("group_id"), F.col("chr").alias("row"), F.substring("seq", 1, 60).alias("seq"))
-    return multiple.align_groups(rows)
+    rows = seqs.select((F.col("chr") / 4).cast("long").alias("group_id"), F.col("chr").alias("row"), "seq")
+    return multiple.align_groups(_spread(rows, "group_id"))
 
 
 @query(

@@ -6,7 +6,8 @@ from collections import defaultdict
 import pytest
 
 from helixlake.functions import sequence as S
-from helixlake.operators import blocks, intervals, kmers, postprocess, simplify, variants
+from helixlake.operators import align, blocks, intervals, kmers, postprocess, simplify, variants
+from helixlake.plans import catalog
 from helixlake.plans.pipeline import call_variants, find_blocks
 from helixlake.sources import fasta, sinks, stages
 from pyspark.sql import functions as F
@@ -268,3 +269,17 @@ def test_the_entry_imports_without_the_optional_part():
     import __spark_entry__ as e
 
     assert "edge_groups" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_alignment_queries_hold_whole_sequences(spark):
+    sf = "/root/testdata/sf0.001"
+    seqs = {r.chr: r.seq for r in catalog._seqs(spark, sf).collect() if r.seq}
+    pairs = {r.pair_id: r for r in catalog.queries()["global_alignment"](spark, sf).collect()}
+    assert {p for p in seqs if p - 1 in seqs} == set(pairs)
+    assert all((r.a.replace("-", ""), r.b.replace("-", "")) == (seqs[p], seqs[p - 1]) for p, r in pairs.items())
+    local = {r.chr: r for r in catalog.queries()["local_alignment"](spark, sf).collect()}
+    assert set(local) == set(pairs) and max(r.end1 for r in local.values()) > 100
+    for p in sorted(local, key=lambda p: -local[p].end1)[:5]:
+        assert tuple(local[p])[1:] == align.local_alignment(seqs[p], seqs[p - 1], *align.LOCAL)
+    many = catalog.queries()["multiple_alignment"](spark, sf).collect()
+    assert {r.row: r.body.replace("-", "") for r in many} == {c: s for c, s in seqs.items() if len(s) >= 20}
