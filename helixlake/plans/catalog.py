@@ -571,7 +571,7 @@ def uncovered_insertions(spark, sf):
 def variant_pipeline(spark, sf):
     from .pipeline import call_variants
 
-    return call_variants(_seqs(spark, sf), min_block_size=LEAST, stages=[(30, 150)], max_iterations=0).variants
+    return call_variants(_seqs(spark, sf), min_block_size=LEAST).variants
 
 
 # ---- alignment -------------------------------------------------------------------------------

@@ -283,3 +283,29 @@ def test_alignment_queries_hold_whole_sequences(spark):
         assert tuple(local[p])[1:] == align.local_alignment(seqs[p], seqs[p - 1], *align.LOCAL)
     many = catalog.queries()["multiple_alignment"](spark, sf).collect()
     assert {r.row: r.body.replace("-", "") for r in many} == {c: s for c, s in seqs.items() if len(s) >= 20}
+
+
+def test_block_queries_simplify_in_all_rounds(spark, monkeypatch):
+    from helixlake.plans import pipeline
+
+    class Reached(Exception):
+        pass
+
+    def stop(*_):
+        raise Reached
+
+    seen = []
+
+    def record(seqs, k, distance, max_iterations=4):
+        seen.append((k, distance, max_iterations))
+        return seqs if "orig" in seqs.columns else simplify.with_places(seqs)
+
+    monkeypatch.setattr(pipeline, "simplify", record)
+    monkeypatch.setattr(pipeline, "graph", lambda *_: (None, None, None))
+    monkeypatch.setattr(pipeline, "find_disjoint_blocks", stop)
+    fine = [(k, d, 4) for k, d in stages.stage_list("fine")]
+    for name in ("variant_pipeline",):
+        with pytest.raises(Reached):
+            catalog.queries()[name](spark, "/root/testdata/sf0.001")
+        assert seen == fine
+        seen.clear()
