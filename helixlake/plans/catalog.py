@@ -235,7 +235,7 @@ def block_reports(spark, sf):
 def block_pipeline(spark, sf):
     from .pipeline import find_blocks
 
-    return blocks.coordinates(find_blocks(_seqs(spark, sf), stages=[(15, 60), (30, 150)], min_block_size=LEAST, max_iterations=1).blocks)
+    return blocks.coordinates(find_blocks(_seqs(spark, sf), min_block_size=LEAST).blocks)
 
 
 @query("bulge_candidates", f"WITH {_BRANCHES} SELECT vertex, meet, n_branches, n_letters FROM bulge")
@@ -267,7 +267,7 @@ def bulge_winners(spark, sf):
 
 @query("bulge_collapse")
 def bulge_collapse(spark, sf):
-    return simplify.simplify(_seqs(spark, sf), K, REACH, max_iterations=1).select("chr", F.length("seq").alias("size"), F.size("orig").alias("n_places"))
+    return simplify.simplify(_seqs(spark, sf), K, REACH).select("chr", F.length("seq").alias("size"), F.size("orig").alias("n_places"))
 
 
 # ---- intervals -------------------------------------------------------------------------------

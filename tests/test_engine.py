@@ -304,8 +304,11 @@ def test_block_queries_simplify_in_all_rounds(spark, monkeypatch):
     monkeypatch.setattr(pipeline, "graph", lambda *_: (None, None, None))
     monkeypatch.setattr(pipeline, "find_disjoint_blocks", stop)
     fine = [(k, d, 4) for k, d in stages.stage_list("fine")]
-    for name in ("variant_pipeline",):
+    for name in ("variant_pipeline", "block_pipeline"):
         with pytest.raises(Reached):
             catalog.queries()[name](spark, "/root/testdata/sf0.001")
         assert seen == fine
         seen.clear()
+    monkeypatch.setattr(simplify, "simplify", record)
+    catalog.queries()["bulge_collapse"](spark, "/root/testdata/sf0.001")
+    assert seen == [(catalog.K, catalog.REACH, 4)]
