@@ -155,7 +155,12 @@ def _trained(docs: DataFrame, labels: DataFrame, folds: int, most_docs: int, opt
     order = [F.xxhash64("doc_id"), "doc_id"]
     picked = written(marked.where("label = 0").orderBy(*order).limit(most_docs).unionByName(marked.where("label = 1").orderBy(*order).limit(most_docs)), "toxicity-picked")
     # At most twice most_docs rows of two numbers: a bounded table.
-    return train(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), most_docs, **options)
+    model = train(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), most_docs, **options)
+    every = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(every) == 2:  # the odds of all labels, not of a sample that takes as many rows of each class
+        bad, good = every[1], every[0]
+        model.bias += float(np.log(bad / min(bad, most_docs)) - np.log(good / min(good, most_docs)))
+    return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_docs: int = 4000, **options) -> DataFrame:

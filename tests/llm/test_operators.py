@@ -548,3 +548,10 @@ def test_pipeline(spark, tokenizer):
     want = brute.pieces(kept["mixing"], tokenizer)
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in got) == Counter((*k, x[2]) for k, v in want.items() for x in v)
     assert p.run(spark, SF).count() == len(got)
+
+
+def test_toxicity_odds_do_not_depend_on_the_sample(spark):
+    docs = spark.createDataFrame([(i, "the very same words") for i in range(1100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in range(1100)], "doc_id long, toxic int")
+    whole, few = (toxicity._trained(docs, labels, 5, most, {}).score("the very same words") for most in (4000, 40))
+    assert abs(whole - 1 / 11) < 0.03 and abs(few - whole) < 0.03  # 80 rows of 40 each gave 0.5
