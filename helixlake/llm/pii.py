@@ -107,7 +107,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     found: set[tuple[str, int, int]] = set()
     for kind, patterns in _WIDE.items():
         if kind == "email":
-            low = text if "@" in text else text.lower()
+            low = text.lower()
             tried = [p for p, need in zip(patterns, (("@", "at)", "at]", "at}"), (" dot ",)), strict=True) if any(n in low for n in need)]
         else:
             tried = patterns if digit else []

@@ -555,3 +555,8 @@ def test_toxicity_odds_do_not_depend_on_the_sample(spark):
     labels = spark.createDataFrame([(i, int(i < 100)) for i in range(1100)], "doc_id long, toxic int")
     whole, few = (toxicity._trained(docs, labels, 5, most, {}).score("the very same words") for most in (4000, 40))
     assert abs(whole - 1 / 11) < 0.03 and abs(few - whole) < 0.03  # 80 rows of 40 each gave 0.5
+
+
+def test_spelt_addresses_are_proposed_next_to_others():
+    text = "write to ann@example.com or bob AT host DOT org"
+    assert ("email", text.index("bob"), len(text)) in pii.candidates(text)
