@@ -1,9 +1,11 @@
-"""What the operators share: scratch tables, Arrow batch sizes, words of a batch."""
+"""What the operators share: scratch tables, bounded Arrow batches, words of a batch."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +49,27 @@ def forget(df: DataFrame | None) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
-    """Bounds what one Arrow batch holds, so that long texts do not fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+def release(*tables: DataFrame | None) -> None:
+    """Deletes tables that nothing reads any more, and lets Spark delete the shuffle
+    files of plans that nothing refers to, which it does when garbage is collected."""
+    for t in tables:
+        forget(t)
+    spark = next((t.sparkSession for t in tables if t is not None), None)
+    if spark:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000, mb: int = 16) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds at most ``rows`` rows and, but for a single row, about ``mb`` MB.
+
+    Spark itself bounds what reaches a worker at once (64 MB, or one row); this bounds
+    what an operator expands at once, whatever the session's settings are.
+    """
+    for batch in batches:
+        step = max(1, min(rows, int(batch.num_rows * (mb << 20) / max(1, batch.get_total_buffer_size()))))
+        for k in range(0, batch.num_rows, step):
+            yield batch.slice(k, step)
 
 
 def text_or_empty(column: str = "text"):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import small_batches
+from ._shared import sliced
 
 #: Code points of a text that are counted at once.
 _RUN = 1 << 20
@@ -63,7 +63,7 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to (lang, gram, count), summed over the batch."""
-    for batch in batches:
+    for batch in sliced(batches):
         by_lang: dict[str, list] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             by_lang.setdefault(lang, []).append(gram_counts(text))
@@ -108,7 +108,6 @@ def train_profiles(labelled: DataFrame, size: int = 300, most_docs: int = 1000)
     below a share of the range, so that the sample is the same at every run and
     partitioning. Ties in a profile go to the smaller n-gram.
     """
-    small_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null")
     share = {r["lang"]: min(1.0, most_docs / r["count"]) for r in rows.groupBy("lang").count().collect()}
     if not share:
@@ -127,7 +126,7 @@ def train_profiles(labelled: DataFrame, size: int = 300, most_docs: int = 1000)
 def _predictor(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = model.value
-        for batch in batches:
+        for batch in sliced(batches):
             found = [profiles.predict(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 

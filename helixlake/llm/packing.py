@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, written
+from ._shared import sliced, written
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACE = _PIECE + ", sequence_id long, `offset` long"
@@ -114,7 +114,7 @@ def _tokenise(path: str, most: int, end_id: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _ids.setdefault(path, TokenIds(path))
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             doc, piece, start, length, crc, body = [], [], [], [], [], []
             for k in range(0, len(texts), 250):
@@ -148,7 +148,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int
     are full. Rows that repeat are documents of their own; a null doc_id stays
     null; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(_tokenise(tokenizer, most, end_id, with_ids), _PIECE + (", ids array<int>" if with_ids else ""))
 

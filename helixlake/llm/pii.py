@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches
+from ._shared import sliced
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -311,7 +311,7 @@ def redact(text: str | None) -> str | None:
 def _finder(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = model(seed)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [find(t, trees) for t in batch.column(1).to_pylist()]
             counts = [pa.array([len(b[k]) for b, _ in found], pa.int64()) for k in KINDS]
             sha = pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in found], pa.string())
@@ -327,17 +327,15 @@ def find_pii(docs: DataFrame, seed: int = 7) -> DataFrame:
     span; other columns are ignored, rows that repeat are read each. Nothing is
     shuffled: a row's answer needs its text only.
     """
-    small_batches(docs.sparkSession)
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_finder(seed), schema)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans of text replaced by their kinds."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, batch.schema.field(at), pa.array([redact(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type))
 

@@ -9,9 +9,12 @@ for the smaller, so every pair meets once per segment. Full distances settle the
 matches. A bucket of near copies gives a star of links, not all its pairs, and
 components are closed by alternating star contractions over written tables.
 
-``alike_groups`` holds to a similarity of shingles instead, which fingerprints only
-estimate: its candidates share a hash of the few that such texts must share, and
-each is verified on the whole sets.
+``alike_groups`` holds to a similarity of shingles, which fingerprints only
+estimate. The fingerprints' links are verified on the whole sets of shingles and
+closed first, so that groups of copies are one group before anything is compared
+pair by pair. Pairs that no fingerprint brought together share a hash of the few
+that such texts must share; those between different groups are verified too, so
+that no link of that similarity is lost.
 """
 
 from __future__ import annotations
@@ -25,61 +28,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ._shared import Words, forget, small_batches, text_bytes, written
+from ._shared import Words, forget, release, sliced, text_bytes, written
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 #: Pairs that are compared at once in a bucket task, about 50 MB.
 _PAIRS = 1 << 20
-
-
-def _fingerprinter(shingle: int, seeds: tuple[int, ...]):
-    names = ["doc_id", *(f"fp{i or ''}" for i in range(len(seeds)))]
-
+#: Rows of a bucket up to which all its pairs are compared at once.
+_LARGE = 2048
+#: Shingles whose bits are counted at once, 64 bytes each.
+_RUN = 200_000
+
+
+def _hashed(joined: bytes, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of each joined[start:end]."""
+    out = np.empty(len(starts), np.uint64)
+    for k in range(0, len(starts), _RUN):
+        spans = zip(starts[k : k + _RUN].tolist(), ends[k : k + _RUN].tolist(), strict=True)
+        out[k : k + _RUN] = [xxh64_intdigest(joined[s:e], seed) for s, e in spans]
+    return out
+
+
+def _majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The fingerprints of rows of n (at least 1) hashes each: bits that over half of them have."""
+    end = np.cumsum(n)
+    begin = end - n
+    ones = np.zeros((len(n), 64), np.int64)
+    for k in range(0, len(h), _RUN):
+        own = h[k : k + _RUN]
+        bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        a, b = np.searchsorted(end, k, "right"), np.searchsorted(begin, k + len(own))
+        ones[a:b] += np.add.reduceat(bits, np.maximum(begin[a:b] - k, 0), axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def _shingled(batch: pa.RecordBatch, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of all rows in order, and how many each row has."""
+    data, offsets = text_bytes(batch.column(1))
+    words = Words(_LOWER[data], offsets)
+    count = np.diff(words.first)
+    size = np.minimum(count, shingle)  # a shorter text is one shingle
+    n = np.where(count > 0, count - size + 1, 0)
+    at = np.arange(n.sum()) + np.repeat(words.first[:-1] - (np.cumsum(n) - n), n)
+    return _hashed(words.data.tobytes(), words.start[at], words.end[at + np.repeat(size, n) - 1], seed), n
+
+
+def _fingerprinter(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            words = Words(_LOWER[data], offsets)
-            joined = words.data.tobytes()
-            first = words.first
-            count = np.diff(first)
-            size = np.minimum(count, shingle)  # a shorter text is one shingle
-            shingles = np.where(count > 0, count - size + 1, 0)
-            prints = np.zeros((len(seeds), len(count)), np.uint64)
-            own = np.flatnonzero(shingles)
-            # Rows are taken in runs of bounded size: 64 counters per shingle.
-            run_of = np.cumsum(shingles[own]) // 200_000
-            for r in np.unique(run_of):
-                rows = own[run_of == r]
-                n = shingles[rows]
-                begin = np.concatenate([[0], np.cumsum(n)[:-1]])
-                at = np.arange(n.sum()) - np.repeat(begin, n) + np.repeat(first[rows], n)
-                starts = words.start[at].tolist()
-                ends = words.end[at + np.repeat(size[rows], n) - 1].tolist()
-                for i, seed in enumerate(seeds):
-                    h = np.fromiter((xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts, ends, strict=True)), np.uint64, len(starts))
-                    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
-                    prints[i, rows] = np.packbits(ones * 2 > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p.view(np.int64)) for p in prints)], names=names)
+        for batch in sliced(batches):
+            h, n = _shingled(batch, shingle, seed)
+            fp = np.zeros(len(n), np.uint64)
+            fp[n > 0] = _majority(h, n[n > 0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, more_seeds: tuple[int, ...] = ()) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp) per row; fp is the fingerprint's 64 bits as a signed long.
 
     Words are runs of other characters than blank and U+0009 to U+000D, with A-Z
     lower-cased. Shingles of ``shingle`` words, repeats included, are joined by a
     blank and hashed by XXH64 under ``seed``; a bit is 1 if it is set in over half
     of them. Fewer words are one shingle; no word, or null, is fingerprint 0.
-    ``more_seeds`` add independent fingerprints fp1, fp2, ...
+    Texts of any length are read whole; their bits are counted in runs.
     """
-    small_batches(docs.sparkSession)
-    seeds = (seed, *more_seeds)
-    schema = "doc_id long, " + ", ".join(f"fp{i or ''} long" for i in range(len(seeds)))
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprinter(shingle, seeds), schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprinter(shingle, seed), "doc_id long, fp long")
 
 
 def _ball(width: int, radius: int) -> list[int]:
@@ -107,17 +122,49 @@ def _united(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray
     return root
 
 
-def _bucket_links(radius: int):
-    """Rows sorted by bucket, the table's before the probes: links of each bucket as stars."""
+def _spread(fp: np.ndarray, probe: np.ndarray, radius: int) -> np.ndarray:
+    """For each row of a bucket a near one that found it first, or itself.
+
+    From a row on, all that it is near and nobody has found are found, then they go
+    on. A large group of near copies is found by its first row, so the work is that
+    of the rows that are apart.
+    """
+    root = np.arange(len(fp))
+    left = [np.flatnonzero(~probe), np.flatnonzero(probe)]
+    while len(left[0]):
+        queue = [left[0][0]]
+        left[0] = left[0][1:]
+        while queue:
+            i = queue.pop()
+            for kind in (0,) if probe[i] else (0, 1):  # two probes meet where one is in the table
+                near = np.bitwise_count(fp[left[kind]] ^ fp[i]) <= radius
+                if near.any():
+                    found = left[kind][near]
+                    root[found] = i
+                    queue += found.tolist()
+                    left[kind] = left[kind][~near]
+    return root
+
+
+def _bucket_links(radius: int, direct: bool):
+    """Rows sorted by bucket, the table's before the probes: links of each bucket as stars.
 
-    def linked(bucket: np.ndarray, fp: np.ndarray, probe: np.ndarray):
+    ``direct``: of each row the link to the first that is near itself, which may
+    leave apart what a star joins but names no pair that only others connect.
+    Buckets of over ``_LARGE`` rows give trees of links that do both.
+    """
+
+    def linked(bucket: np.ndarray, fp: np.ndarray, probe: np.ndarray, node: np.ndarray):
         n = len(fp)
-        edges = np.flatnonzero(np.diff(bucket)) + 1
-        ends = np.repeat(np.append(edges, n), np.diff(np.concatenate([[0], edges, [n]])))
-        table = np.flatnonzero(~probe)
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [n]])
+        size = np.diff(edges)
+        ends = np.repeat(edges[1:], size)
+        table = np.flatnonzero(~probe & np.repeat(size <= _LARGE, size))
         partners = ends[table] - table - 1  # a table row meets every row after it in its bucket
         table, partners = table[partners > 0], partners[partners > 0]
         root = np.arange(n)
+        for k in np.flatnonzero(size > _LARGE):
+            root[edges[k] : edges[k + 1]] = edges[k] + _spread(fp[edges[k] : edges[k + 1]], probe[edges[k] : edges[k + 1]], radius)
         k = 0
         sums = np.cumsum(partners)
         while k < len(table):
@@ -129,9 +176,12 @@ def _bucket_links(radius: int):
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(p) - p, p)
             near = np.bitwise_count(fp[left] ^ fp[right]) <= radius
             left, right = left[near], right[near]
-            root = _united(root, left, right)
+            if direct:
+                np.minimum.at(root, right, left)
+            else:
+                root = _united(root, left, right)
         member = np.flatnonzero(root != np.arange(n))
-        a, b = fp[root[member]].view(np.int64), fp[member].view(np.int64)
+        a, b = node[root[member]], node[member]
         other = a != b
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[other]), pa.array(np.maximum(a, b)[other])], names=["a", "b"])
 
@@ -140,15 +190,15 @@ def _bucket_links(radius: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False))
+            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy())
             if held and new[0][-1] == held[0][0][0]:  # a bucket that goes on
                 held.append(new)
                 continue
-            bucket, fp, probe = (np.concatenate(x) for x in zip(*held, new, strict=True))
-            cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
+            columns = [np.concatenate(x) for x in zip(*held, new, strict=True)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last bucket may go on
             if cut:
-                yield linked(bucket[:cut], fp[:cut], probe[:cut])
-            held = [(bucket[cut:], fp[cut:], probe[cut:])]
+                yield linked(*(c[:cut] for c in columns))
+            held = [tuple(c[cut:] for c in columns)]
         if held:
             yield linked(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -169,131 +219,33 @@ def _keys(i: int, segments: int, first: int, width: int, ball: int):
     return F.concat(own, F.transform(F.filter(around, lambda x: x < value), lambda x: key(x, True)))
 
 
-def near_links(nodes: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
+def near_links(nodes: DataFrame, radius: int = 4, segments: int = 3, direct: bool = False) -> DataFrame:
     """Links (a < b) between distinct fingerprints ``fp`` that connect all that
     differ in at most ``radius`` bits, as a star for each bucket's groups.
 
     ``segments`` trades probes for bucket size: a bucket holds about
     N / 2^(64 / segments) fingerprints. Three serve up to some 10^9, two beyond.
+    With a column ``node`` links are between nodes, which may have the same
+    fingerprint. ``direct`` names only pairs that are near themselves, for each row
+    of a bucket at most one.
     """
     keys = [_keys(i, segments, first, width, ball) for i, (first, width, ball) in enumerate(_segments(radius, segments)) if ball >= 0]
-    rows = nodes.select("fp", F.explode(F.concat(*keys)).alias("k")).select(F.col("k.bucket").alias("bucket"), "fp", F.col("k.probe").alias("probe"))
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "probe")
-    return dealt.mapInArrow(_bucket_links(radius), "a long, b long").distinct()
-
-
-def _routed(segments: list[tuple[int, int, int]], route: int, radius: int, wide_radius: int):
-    """Links within coarse buckets of a segment's upper bits; its lower bits are looked up here.
-
-    Rows (bucket, fp, fp1, apart) are sorted by bucket and by how many upper bits a
-    probe has flipped, the table's own rows (0) first.
-    """
-
-    def linked(bucket: int, fp: np.ndarray, fp1: np.ndarray, apart: np.ndarray):
-        first, width, ball = segments[bucket >> route]
-        low_bits = width - route
-        low = ((fp >> np.uint64(first)) & np.uint64((1 << low_bits) - 1)).astype(np.int64)
-        n_table = int(np.searchsorted(apart, 1))
-        order = np.argsort(low[:n_table], kind="stable")
-        rank = np.empty(n_table, np.int64)
-        rank[order] = np.arange(n_table)
-        from_ = np.searchsorted(low[:n_table][order], np.arange((1 << low_bits) + 1))
-        masks = np.array([0, *_ball(low_bits, ball)])
-        flips = np.bitwise_count(masks)
-        root = np.arange(len(fp))
-        for k in range(0, len(fp) if n_table else 0, 4096):
-            rows = np.arange(k, min(k + 4096, len(fp)))
-            row, mask = np.nonzero(apart[rows][:, None] + flips[None, :] <= ball)
-            row = rows[row]
-            key = low[row] ^ masks[mask]
-            start, stop = from_[key], from_[key + 1]
-            own = row < n_table  # a pair of table rows is looked at once
-            start = np.where(own, np.maximum(start, rank[np.minimum(row, n_table - 1)] + 1), start)
-            count = np.maximum(stop - start, 0)
-            row, start, count = row[count > 0], start[count > 0], count[count > 0]
-            sums = np.cumsum(count)
-            at = 0
-            while at < len(row):
-                done = sums[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(sums, done + _PAIRS, "right")))
-                c = count[at:to]
-                left = np.repeat(row[at:to], c)
-                right = order[np.repeat(start[at:to], c) + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)]
-                at = to
-                d = np.bitwise_count(fp[left] ^ fp[right])
-                near = d <= radius
-                left, right, d = left[near], right[near], d[near]
-                near = d + np.bitwise_count(fp1[left] ^ fp1[right]) <= wide_radius
-                root = _united(root, left[near], right[near])
-        member = np.flatnonzero(root != np.arange(len(fp)))
-        up = root[member]
-        other = (fp[member] != fp[up]) | (fp1[member] != fp1[up])
-        member, up = member[other], up[other]
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (fp[up], fp1[up], fp[member], fp1[member])], names=["a0", "a1", "b0", "b1"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def solved():
-            bucket, fp, fp1, apart = (np.concatenate(x) for x in zip(*held, strict=True))
-            return linked(int(bucket[0]), fp.view(np.uint64), fp1.view(np.uint64), apart)
-
-        for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
-            edges = [0, *(np.flatnonzero(np.diff(columns[0])) + 1).tolist(), batch.num_rows]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
-                    continue
-                if held and held[0][0][0] != columns[0][a]:
-                    yield solved()
-                    held = []
-                held.append(tuple(c[a:b] for c in columns))
-        if held:
-            yield solved()
+    node = F.col("node" if "node" in nodes.columns else "fp").alias("node")
+    rows = nodes.select("fp", node, F.explode(F.concat(*keys)).alias("k")).select(F.col("k.bucket").alias("bucket"), "fp", F.col("k.probe").alias("probe"), "node")
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "probe", *(["node"] if direct else []))
+    return dealt.mapInArrow(_bucket_links(radius, direct), "a long, b long").distinct()
 
-    return run
-
-
-def wide_links(nodes: DataFrame, radius: int = 12, wide_radius: int = 26, segments: int = 4, route: int = 8) -> DataFrame:
-    """Links between distinct pairs (fp, fp1) for radii at which balls are large.
 
-    Linked are those that differ in at most ``radius`` bits of fp and in at most
-    ``wide_radius`` of both. Only the upper ``route`` bits of a segment choose a
-    row's bucket: rows are sent to the balls of these bits alone, a few dozen
-    instead of hundreds, and the lower bits are looked up within the bucket.
-    """
-    parts = _segments(radius, segments)
-    keys = []
-    for i, (first, width, ball) in enumerate(parts):
-        upper = F.shiftrightunsigned("fp", first + width - route).bitwiseAND(F.lit((1 << route) - 1))
-        if ball >= 0:
-            keys.append(_upper_keys(upper, i << route, route, ball))
-    rows = nodes.select("fp", "fp1", F.explode(F.concat(*keys)).alias("k")).select(F.col("k.bucket").alias("bucket"), "fp", "fp1", F.col("k.apart").alias("apart"))
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "apart")
-    found = dealt.mapInArrow(_routed(parts, route, radius, wide_radius), "a0 long, a1 long, b0 long, b1 long").distinct()
-    return found.select(F.struct("a0", "a1").alias("a"), F.struct(F.col("b0").alias("a0"), F.col("b1").alias("a1")).alias("b"))
-
-
-def _upper_keys(upper, base: int, route: int, ball: int):
-    """A row's own bucket, and those of smaller upper bits within the ball."""
-    masks = [(m, m.bit_count()) for m in _ball(route, ball)]
-    own = F.array(F.struct((upper + F.lit(base)).alias("bucket"), F.lit(0).alias("apart")))
-    if not masks:
-        return own
-    around = F.transform(F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(d).alias("d")) for m, d in masks]), lambda x: F.struct((x["m"].bitwiseXOR(upper)).alias("bucket"), x["d"].alias("apart")))
-    near = F.filter(around, lambda x: x["bucket"] < upper)
-    return F.concat(own, F.transform(near, lambda x: F.struct((x["bucket"] + F.lit(base)).alias("bucket"), x["apart"].alias("apart"))))
-
-
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); root is its component's least.
 
     Alternating large-star and small-star rounds turn the links into stars. Each
-    round is written, and a round that changes nothing ends the loop.
+    round is written, and a round that changes nothing ends the loop; every other
+    brings some node nearer to its component's least, so the loop does end.
     """
     now = written(links.select("a", "b"), "links")
     state = None
-    for _ in range(most_rounds):
+    while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
@@ -315,7 +267,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if new == state:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         state = new
-    raise RuntimeError(f"components are not closed after {most_rounds} rounds")
 
 
 def _labelled(prints: DataFrame, node, links_of) -> DataFrame:
@@ -327,6 +278,7 @@ def _labelled(prints: DataFrame, node, links_of) -> DataFrame:
     rooted = written(rooted, "fp-rooted")
     named = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "fp-named")
     labels = written(rooted.join(named, "root").select("node", "component_id"), "fp-labels")
+    release(nodes, roots, rooted, named)
     return prints.join(labels, "node").drop("node")
 
 
@@ -343,78 +295,81 @@ def near_groups(docs: DataFrame, shingle: int = 4, seed: int = 42, radius: int =
     return _labelled(prints, F.col("fp"), lambda nodes: near_links(nodes.select(F.col("node").alias("fp")), radius, segments))
 
 
-def _shingle_sets(shingle: int, seed: int, common: np.ndarray):
-    """Rows (doc_id, node, shingles): a text's distinct shingle hashes, those of
-    ``common`` last and the others by value; equal sets have equal nodes."""
+def _sets(batch: pa.RecordBatch, shingle: int, seed: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each row's distinct shingle hashes by value, and a digest of them: the row's node."""
+    h, n = _shingled(batch, shingle, seed)
+    end = np.cumsum(n)
+    sets = [np.unique(h[a:b]) for a, b in zip((end - n).tolist(), end.tolist(), strict=True)]
+    return sets, np.array([xxh64_intdigest(x.tobytes(), seed) for x in sets], np.uint64).view(np.int64)
+
+
+def _set_scan(shingle: int, seed: int, common: np.ndarray):
+    """(doc_id, text, copy) to (doc_id, copy, node, n, fp, prefix): a text's n distinct shingles,
+    their fingerprint, and those of them that a set of similarity 4/5 must share one of.
+
+    The prefix has the first in a common order: hashes of ``common`` last, the
+    others by value. Sets of similarity 4/5 share at least ceil(4 n / 5) of their
+    n, so also one of the first n - ceil(4 n / 5) + 1.
+    """
     at = np.argsort(common)
     known = common[at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            words = Words(_LOWER[data], offsets)
-            joined = words.data.tobytes()
-            node, sets = [], []
-            for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-                size = min(b - a, shingle)  # a shorter text is one shingle
-                starts, ends = (words.start[a : b - size + 1].tolist(), words.end[a + size - 1 : b].tolist()) if size else ([], [])
-                own = np.unique(np.array([xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts, ends, strict=True)], np.uint64))
-                node.append(xxh64_intdigest(own.tobytes(), seed))
+        for batch in sliced(batches):
+            sets, node = _sets(batch, shingle, seed)
+            n = np.array([len(x) for x in sets], np.int64)
+            fp = np.zeros(len(n), np.uint64)
+            if n.any():
+                fp[n > 0] = _majority(np.concatenate(sets), n[n > 0])
+            prefix = []
+            for own in sets:
                 if len(known):
                     place = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     own = own[np.argsort(np.where(known[place] == own, at[place], -1), kind="stable")]
-                sets.append(own.tobytes())
-            nodes = pa.array(np.array(node, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array(sets, pa.binary())], names=["doc_id", "node", "shingles"])
+                prefix.append(own[: len(own) - (4 * len(own) + 4) // 5 + 1].tobytes())
+            columns = [batch.column(0), batch.column(2), pa.array(node), pa.array(n.astype(np.int32)), pa.array(fp.view(np.int64)), pa.array(prefix, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "node", "n", "fp", "prefix"])
 
     return run
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        node, group = (batch.column(i).to_numpy() for i in (0, 2))
-        sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-        size = np.array([len(x) for x in sets], np.int64)
-        # Sets of similarity 4/5 share at least ceil(4 n / 5) of their n, so also one of these first.
-        n = np.where(size > 0, size - (4 * size + 4) // 5 + 1, 0)
-        if most is not None:
-            n = np.minimum(n, most)
-        token = np.concatenate([x[:k] for x, k in zip(sets, n.tolist(), strict=True)]) if len(sets) else np.zeros(0, np.int64)
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        columns = [token, np.repeat(node, n), np.repeat(size, n).astype(np.int32), place.astype(np.int32), np.repeat(group, n)]
-        for k in range(0, len(token), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], names=["token", "node", "n", "place", "grp"])
+def _whole_sets(shingle: int, seed: int):
+    """(node, text) to (node, shingles), for the text that the node is of."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            sets, node = _sets(batch, shingle, seed)
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
+            yield out.filter(pa.array(node == batch.column(0).to_numpy()))
 
-def _alike_pairs(chain: bool):
-    """Rows sorted by (token, n, node): pairs of a token's sets that may have similarity 4/5.
+    return run
 
-    ``chain``: of each set only the pairs with its successor and its token's first.
-    """
 
-    def paired(token: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, grp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])  # an equal set once
-        token, node, n, place, grp = (x[new] for x in (token, node, n, place, grp))
-        edges = np.flatnonzero(np.diff(token)) + 1
-        starts, ends = np.concatenate([[0], edges]), np.append(edges, len(token))
-        sizes = ends - starts
+def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each hash of a prefix: (token, node, at, grp), at: n and the place in the prefix."""
+    for batch in sliced(batches):
+        node, n, group = (batch.column(i).to_numpy() for i in (0, 1, 3))
+        sets = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+        size = np.array([len(x) for x in sets], np.int64)
+        token = np.concatenate(sets) if len(sets) else np.zeros(0, np.int64)
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        columns = [token, np.repeat(node, size), np.repeat(n.astype(np.int64), size) << 32 | place, np.repeat(group, size)]
+        for k in range(0, len(token), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], names=["token", "node", "at", "grp"])
 
-        def kept(left, right):
-            both = n[left] + n[right]
-            shared = np.minimum(n[left] - place[left], n[right] - place[right])  # at most, if this is their first common one
-            ok = (grp[left] != grp[right]) & (9 * shared >= 4 * both)
-            a, b = node[left[ok]], node[right[ok]]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
+def _alike_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (token, at, node): pairs of a token's sets, of different groups, that may
+    have similarity 4/5."""
+
+    def paired(token: np.ndarray, node: np.ndarray, at: np.ndarray, grp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, place = at >> 32, at & 0xFFFFFFFF
+        edges = np.flatnonzero(np.diff(token)) + 1
+        ends = np.append(edges, len(token))
         row = np.arange(len(token))
-        end, first = np.repeat(ends, sizes), np.repeat(starts, sizes)
-        if chain:
-            then, far = row[row + 1 < end], row[row > first + 1]
-            yield kept(np.concatenate([then, first[far]]), np.concatenate([then + 1, far]))
-            return
-        count = end - row - 1
+        # Rows of a token go by n: a partner has at most 5/4 of a row's n.
+        number = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends]))) << 33
+        count = np.searchsorted(number + n, number + n * 5 // 4, "right") - row - 1
         row, count = row[count > 0], count[count > 0]
         sums = np.cumsum(count)
         k = 0
@@ -423,91 +378,123 @@ def _alike_pairs(chain: bool):
             left = np.repeat(row[k:to], count[k:to])
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count[k:to]) - count[k:to], count[k:to])
             k = to
-            yield kept(left, right)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = tuple(c.to_numpy() for c in batch.columns)
-            if held and new[0][-1] == held[0][0][0]:  # a token that goes on
-                held.append(new)
-                continue
-            columns = [np.concatenate(x) for x in zip(*held, new, strict=True)] if held else list(new)
-            cut = int(np.flatnonzero(np.diff(columns[0]))[-1]) + 1 if columns[0][0] != columns[0][-1] else 0
-            if cut:
-                yield from paired(*(c[:cut] for c in columns))
-            held = [tuple(c[cut:] for c in columns)]
-        if held:
-            yield from paired(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            shared = np.minimum(n[left] - place[left], n[right] - place[right])  # at most, if this is their first common one
+            ok = (grp[left] != grp[right]) & (9 * shared >= 4 * (n[left] + n[right]))
+            a, b = node[left[ok]], node[right[ok]]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    return run
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = tuple(c.to_numpy() for c in batch.columns)
+        if held and new[0][-1] == held[0][0][0]:  # a token that goes on
+            held.append(new)
+            continue
+        columns = [np.concatenate(x) for x in zip(*held, new, strict=True)]
+        cut = int(np.flatnonzero(np.diff(columns[0]))[-1]) + 1 if columns[0][0] != columns[0][-1] else 0
+        if cut:
+            yield from paired(*(c[:cut] for c in columns))
+        held = [tuple(c[cut:] for c in columns)]
+    if held:
+        yield from paired(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (root, i, j, a, b, shingles) sorted by cell, its sets (b null) before its pairs:
+    the pairs of similarity 4/5."""
+    cell, sets = None, {}
     for batch in batches:
-        ok = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            shared = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-            ok.append(72 * shared >= 4 * (len(x) + len(y)))  # shared / (all - shared) >= 4/5
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-
-def _alike_links(sets: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """Links (a < b) of similarity 4/5: without ``groups`` some, with (node, root)
-    every one whose ends have different roots."""
-    chain = groups is None
-    own = sets.select("node", "shingles", F.col("node").alias("grp")) if chain else sets.join(groups, "node", "left").select("node", "shingles", F.coalesce("root", "node").alias("grp"))
-    rows = own.mapInArrow(lambda batches: _prefixes(batches, 8 if chain else None), "token long, node long, n int, place int, grp long")
-    dealt = rows.repartition("token").sortWithinPartitions("token", "n", "node")
-    pairs = written(dealt.mapInArrow(_alike_pairs(chain), "a long, b long").distinct(), "alike-pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = sets.select("node", "shingles").join(ends, "node", "left_semi").dropDuplicates(["node"])
-    joined = pairs.join(needed.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(needed.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    links = written(joined.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "alike-links")
-    forget(pairs)
-    return links
-
-
-def jaccard_links(sets: DataFrame) -> DataFrame:
-    """Links (a < b) between the nodes of ``sets`` (node, shingles) that connect all
-    whose sets have a Jaccard similarity of 4/5 or more, and no others.
-
-    Two such sets share one of their first n - ceil(4n/5) + 1 hashes in any common
-    order. Sets of a hash are first linked as chains; then all pairs of a hash whose
-    ends these links leave apart are compared, so large groups are not squared.
+        found = []
+        for r, i, j, a, b, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (r, i, j) != cell:
+                cell, sets = (r, i, j), {}
+            if b is None:
+                sets[a] = np.frombuffer(own, np.uint64)
+            elif a in sets and b in sets:
+                x, y = sets[a], sets[b]
+                every = np.sort(np.concatenate([x, y]), kind="stable")
+                if 9 * int((every[1:] == every[:-1]).sum()) >= 4 * len(every):  # shared / (all - shared) >= 4/5
+                    found.append((a, b))
+        columns = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+
+def verified_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int = 5, seed: int = 42, tile: int = 256) -> DataFrame:
+    """The ``pairs`` (a, b; written) of nodes whose sets have a similarity of 4/5, written.
+
+    ``nodes`` has (node, copy, doc_id), one row of ``texts`` (doc_id, text, copy) that
+    a node is of. Pairs are verified in cells: a group of connected nodes is dealt
+    into tiles of about ``tile``, and a cell has the pairs between two of them. So a
+    set travels once for each tile that it has partners in, not for each pair, and a
+    task holds the sets of two tiles however large a group is.
     """
-    some = _alike_links(sets, None)
-    return some.unionByName(_alike_links(sets, written(components(some), "alike-roots")))
+    rooted = written(components(pairs), "alike-cells")
+    tiles = rooted.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
+    placed = written(rooted.join(tiles, "root").select("node", "root", F.pmod(F.xxhash64("node"), "tiles").alias("tile")), "alike-tiles")
+    ends = [placed.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"), F.col("tile").alias(f"tile_{n}")) for n in "ab"]
+    dealt = pairs.join(ends[0], "a").join(ends[1], "b")
+    cells = written(dealt.select(F.col("root_a").alias("root"), F.least("tile_a", "tile_b").alias("i"), F.greatest("tile_a", "tile_b").alias("j"), "a", "b"), "alike-pairs")
+    needed = nodes.join(rooted.select("node"), "node", "left_semi").select("node", F.col("copy").alias("_copy"), F.col("doc_id").alias("_id"))
+    own = texts.join(needed, (F.col("copy") == F.col("_copy")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    sets = written(own.select("node", "text").mapInArrow(_whole_sets(shingle, seed), "node long, shingles binary"), "alike-sets")
+    members = cells.select("root", "i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = members.join(sets.dropDuplicates(["node"]), "node").select("root", "i", "j", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    rows = held.unionByName(cells.withColumn("shingles", F.lit(None).cast("binary")))
+    met = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", F.col("b").asc_nulls_first())
+    links = written(met.mapInArrow(_verified, "a long, b long"), "alike-links")
+    release(rooted, placed, cells, sets)
+    return links
 
 
-def alike_groups(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
+def alike_groups(docs: DataFrame, shingle: int = 5, seed: int = 42, radius: int = 7, segments: int = 4) -> DataFrame:
     """(doc_id, component_id): texts whose sets of shingles have a Jaccard similarity of 0.8 or more.
 
     Linked are exactly the pairs of this similarity; component_id is the smallest
     doc_id that links reach. Words and shorter texts as in ``fingerprints``, each
-    shingle once; null and wordless texts are alike. Shingles that a sample of the
-    texts repeats are compared last, which saves pairs and changes no result.
+    shingle once; null and wordless texts are alike. ``radius`` and ``segments`` set
+    what the fingerprints find, which is verified and closed first: they change how
+    much is left to compare and no result. Shingles that a sample of the texts
+    repeats are compared last, which saves pairs and changes no result either.
     Nulls, repeats and empty tables as in ``near_groups``.
     """
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    schema = "doc_id long, node long, shingles binary"
-    none = np.zeros(0, np.uint64)
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(64)) == 0).mapInArrow(_shingle_sets(shingle, seed, none), schema)
-    shingles = sample.mapInArrow(_set_hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    common = [r["h"] for r in shingles.where("n > 1").orderBy(F.desc("n"), "h").limit(100_000).collect()]
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("copy"))
+    schema = "doc_id long, copy long, node long, n int, fp long, prefix binary"
+    sample = texts.where(F.pmod("copy", F.lit(64)) == 0).select("doc_id", "text").mapInArrow(_set_hashes(shingle, seed), "h long")
+    common = [r["h"] for r in sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(100_000).collect()]
     order = np.array(common[::-1], np.int64).view(np.uint64)  # the most common last
-    sets = written(texts.mapInArrow(_shingle_sets(shingle, seed, order), schema), "shingle-sets")
-    return _labelled(sets.select("doc_id", "node"), F.col("node"), lambda nodes: jaccard_links(sets))
-
+    scanned = written(texts.mapInArrow(_set_scan(shingle, seed, order), schema), "shingle-sets")
+    one = scanned.groupBy("node").agg(F.min(F.struct("copy", "doc_id")).alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+    nodes = written(one.select("node", "row.copy", "row.doc_id", "n", "fp", "prefix"), "alike-nodes")
+
+    def links_of(_: DataFrame) -> DataFrame:
+        release(scanned)
+        pairs = written(near_links(nodes.select("fp", "node"), radius, segments, direct=True), "simhash-pairs")
+        some = verified_links(pairs, nodes, texts, shingle, seed)
+        release(pairs)
+        groups = written(components(some), "alike-roots")
+        rows = nodes.join(groups, "node", "left").select("node", "n", "prefix", F.coalesce("root", "node").alias("grp")).mapInArrow(_prefix_rows, "token long, node long, at long, grp long")
+        dealt = rows.repartition("token").sortWithinPartitions("token", "at", "node")
+        pairs = written(dealt.mapInArrow(_alike_pairs, "a long, b long").distinct(), "prefix-pairs")
+        del rows, dealt
+        release(groups)
+        rest = verified_links(pairs, nodes, texts, shingle, seed)
+        release(pairs)
+        return some.unionByName(rest)
+
+    return _labelled(scanned.select("doc_id", "node"), F.col("node"), links_of)
+
+
+def _set_hashes(shingle: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            sets, _ = _sets(batch, shingle, seed)
+            h = np.concatenate([x.view(np.int64) for x in sets]) if sets else np.zeros(0, np.int64)
+            for k in range(0, len(h), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(h[k : k + 100_000])], names=["h"])
 
-def _set_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        h = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
-        for k in range(0, len(h), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(h[k : k + 100_000])], names=["h"])
+    return run
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
-from ._shared import Words, small_batches, text_bytes, written
+from ._shared import Words, sliced, text_bytes, written
 
 _ANCHORS = "anchor long, region long, doc long, pos int, before int, after int, sha string"
 _NO_ID = (1 << 63) - 1
@@ -240,7 +240,6 @@ def repeats(docs: DataFrame, window: int = 50, prefix: int = 8, group_regions: i
     exclusive, their union is what is covered; texts (doc, text) of all documents
     that may have spans; plain (doc, n_words, sha) of every row as it is.
     """
-    small_batches(docs.sparkSession)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc")
     rows = docs.select(doc, F.coalesce("text", F.lit("")).alias("text"))
     scanned = written(rows.mapInArrow(_scan(window, prefix), _ANCHORS), "anchors")

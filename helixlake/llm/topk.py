@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, written
+from ._shared import sliced, written
 
 _TILE = "shard int, dims int, ids binary, rows binary"
 _FOUND = "query_id long, tile int, vec_id long, score long"
@@ -36,7 +36,7 @@ def _packer(tile_rows: int, shards: int):
             shard = (int(ids[0]) * 2654435761 + made) % shards
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([dims], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())], names=["shard", "dims", "ids", "rows"])
 
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             lists = batch.column(1)
             sizes = np.diff(lists.offsets.to_numpy())
@@ -61,7 +61,7 @@ def _packer(tile_rows: int, shards: int):
 def _tile_topk(k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for row in batch.to_pylist():
                 number += 1
                 dims = row["dims"]
@@ -111,7 +111,6 @@ def exact_topk(
     candidate the result is empty.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 4096)
 
     def clean(df):
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))

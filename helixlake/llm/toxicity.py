@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, written
+from ._shared import sliced, written
 
 _BITS = 20
 _SIZES = (4, 5)
@@ -58,7 +58,7 @@ def _present(text: str) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, text) to (bucket, bad, good): in how many texts of each class it is."""
     count = np.zeros((2, 1 << _BITS), np.int32)
-    for batch in batches:
+    for batch in sliced(batches):
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             count[label, _present(text)] += 1
     at = np.flatnonzero(count.sum(axis=0))
@@ -69,7 +69,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _chosen(buckets: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             has = [np.flatnonzero(np.isin(buckets, _present(t), assume_unique=True)).astype(np.int32) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(has, pa.list_(pa.int32()))], names=["doc_id", "label", "has"])
 
@@ -140,7 +140,7 @@ def train(labelled: DataFrame, most_docs: int = 4000, features: int = 4096, smoo
 def _scorer(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = model.value
-        for batch in batches:
+        for batch in sliced(batches):
             score = np.array([classifier.score(t) for t in batch.column(2).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -148,7 +148,6 @@ def _scorer(model):
 
 
 def _trained(docs: DataFrame, labels: DataFrame, folds: int, most_docs: int, options: dict) -> Classifier:
-    small_batches(docs.sparkSession)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     marked = labels.where("doc_id is not null and toxic in (0, 1)").where(fold != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     marked = written(marked, "toxicity-labels")
@@ -185,7 +184,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, most_docs: in
     model = docs.sparkSession.sparkContext.broadcast(_trained(docs, labels, folds, most_docs, options))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             clean = [model.value.score(t) < threshold for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 

@@ -9,6 +9,8 @@ from base64 import b32encode
 from collections import Counter, defaultdict
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,40 +219,6 @@ def test_links_find_every_near_pair(spark, radius, segments):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
 
 
-@pytest.mark.parametrize(("radius", "wide", "route"), [(12, 26, 8), (11, 20, 6), (3, 6, 8)])
-def test_wide_links_find_every_near_pair(spark, radius, wide, route):
-    rng = random.Random(radius)
-    prints = set()
-    for _ in range(50):
-        base = rng.getrandbits(128)
-        prints.add(base)
-        for _ in range(8):
-            f = base
-            for b in rng.sample(range(128), rng.randint(0, wide + 4)):
-                f ^= 1 << b
-            prints.add(f)
-    signed = lambda f: f - (1 << 64) if f >> 63 else f
-    pair = {f: (signed(f & (2**64 - 1)), signed(f >> 64)) for f in prints}
-    links = simhash.wide_links(spark.createDataFrame(list(pair.values()), "fp long, fp1 long"), radius, wide, 4, route)
-    got = {tuple(r.node): tuple(r.root) for r in simhash.components(links).collect()}
-    root = {f: f for f in prints}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in prints:
-        for b in prints:
-            if ((a ^ b) & (2**64 - 1)).bit_count() <= radius and (a ^ b).bit_count() <= wide:
-                root[find(a)] = find(b)
-    mine, want = defaultdict(set), defaultdict(set)
-    for f in prints:
-        mine[got.get(pair[f], pair[f])].add(f)
-        want[find(f)].add(f)
-    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
-
-
 def test_near_copies_go_and_others_stay(spark):
     rng = random.Random(21)
     rows, kept = [], set()
@@ -299,6 +267,42 @@ def test_alike_groups_are_those_of_exact_similarity(spark):
     assert got == {d: find(d) for d in sets}
 
 
+def test_large_buckets_link_what_small_ones_do(spark, monkeypatch):
+    rng = random.Random(77)
+    base = rng.getrandbits(63)
+    prints = {base ^ sum(1 << b for b in rng.sample(range(16), rng.randint(0, 6))) for _ in range(900)} | {rng.getrandbits(63) for _ in range(50)}
+    rows = [(0, f, i % 3 == 2, f) for i, f in enumerate(sorted(prints))]
+    rows.sort(key=lambda r: r[2])
+    columns = [np.array(c) for c in zip(*rows, strict=True)]
+    bucket, fp, probe, node = columns[0], columns[1].astype(np.uint64), columns[2].astype(bool), columns[3].astype(np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(fp.view(np.int64)), pa.array(probe), pa.array(node)], names=["bucket", "fp", "probe", "node"])
+
+    def groups(large):
+        monkeypatch.setattr(simhash, "_LARGE", large)
+        root = {int(f): int(f) for f in node}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for out in simhash._bucket_links(3, False)(iter([batch])):
+            for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+        return {f: find(f) for f in root}
+
+    assert groups(10**6) == groups(8)
+
+
+def test_fingerprints_of_long_texts_are_counted_in_runs(spark, monkeypatch):
+    rows = [(i, words(i, n)) for i, n in enumerate([1, 3, 700, 5000, 40, 2500])]
+    monkeypatch.setattr(simhash, "_RUN", 333)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["doc_id", "text"])
+    (out,) = simhash._fingerprinter(4, 42)(iter([batch]))
+    assert [f & (2**64 - 1) for f in out.column(1).to_pylist()] == [brute.fingerprint(t) for _, t in rows]
+
+
 def test_components_close_long_chains(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(chain).collect()}
