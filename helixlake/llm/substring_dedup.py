@@ -15,9 +15,14 @@ it on (up to window).
    reading on and once reading back; a window is a pair of nodes, one at depth o
    backwards and one at depth window - o forwards, and deep nodes with several
    leaves give the repeats.
-3. A prefix with more regions than a group may hold is extended to the full
-   window, where a subtree is one node: its least document is again a sum that is
-   taken before the shuffle, and no task gets a hot prefix whole.
+3. A prefix with more regions than a group may hold is made longer, step by step:
+   the windows around the anchor are halved by how many words they begin before
+   it, and those of one half all hold a longer run of words, the new prefix. What
+   the windows of a half can hold of a region is a shorter region; equal ones become
+   one, with the least document, before the shuffle. Groups that now fit are built
+   as trees, the others are halved again, down to single windows, where all regions
+   of a group are one. So a region is a row a step, not a row a window, and no task
+   gets a hot prefix whole.
 """
 
 from __future__ import annotations
@@ -29,11 +34,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from ._shared import Words, sliced, text_bytes, written
+from ._shared import Words, release, sliced, text_bytes, written
 
-_ANCHORS = "anchor long, region long, doc long, pos int, before int, after int, sha string"
+_ANCHORS = "anchor long, region long, doc long, pos int, before int, after int"
+#: A region as a tree sees it: its group, its name, the windows that it is for.
+_UNITS = "grp long, ua long, ub long, least long, before int, low int, high int, words string"
 _NO_ID = (1 << 63) - 1
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -94,10 +101,9 @@ def _anchors(words: Words, window: int, prefix: int) -> tuple[np.ndarray, np.nda
 
 def _scan(window: int, prefix: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             doc = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = text_bytes(batch.column(1))
-            words = Words(data, offsets)
+            words = Words(*text_bytes(batch.column(1)))
             at, anchor = _anchors(words, window, prefix)
             row = np.searchsorted(words.first, at, "right") - 1
             before = np.minimum(at - words.first[row], window - prefix)
@@ -105,46 +111,48 @@ def _scan(window: int, prefix: int):
             body = words.data.tobytes()
             starts, ends = words.start[at - before].tolist(), words.end[at + after - 1].tolist()
             region = np.fromiter((xxh3_64_intdigest(body[s:e], b) for s, e, b in zip(starts, ends, before.tolist(), strict=True)), np.uint64, len(at))
-            if len(at):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(region.view(np.int64)), pa.array(doc[row]), pa.array((at - words.first[row]).astype(np.int32)), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)), pa.nulls(len(at), pa.string())],
-                    names=["anchor", "region", "doc", "pos", "before", "after", "sha"],
-                )
-            # and a row for each text as it is, should nothing be removed
-            count = np.diff(words.first)
-            bounds = [(words.start[a], words.end[b - 1]) if b > a else (0, 0) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-            sha = [hashlib.sha256(body[s:e]).hexdigest() for s, e in bounds]
-            none = pa.nulls(len(doc), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, pa.array(doc), pa.array(count.astype(np.int32)), pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.int32()), pa.array(sha)],
-                names=["anchor", "region", "doc", "pos", "before", "after", "sha"],
-            )
+            columns = [anchor.view(np.int64), region.view(np.int64), doc[row], (at - words.first[row]).astype(np.int32), before.astype(np.int32), after.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "region", "doc", "pos", "before", "after"])
 
     return run
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text, wanted) to the words of each wanted region."""
-    for batch in batches:
-        data, offsets = text_bytes(batch.column(1))
-        words = Words(data, offsets)
+def _as_is(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, text) to (doc, n_words, sha): what is kept if nothing is removed."""
+    for batch in sliced(batches):
+        words = Words(*text_bytes(batch.column(1)))
         body = words.data.tobytes()
-        out: dict[str, list] = {n: [] for n in ("anchor", "region", "least", "before", "many", "words")}
-        for doc, wanted, first, last in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-            for w in wanted:
-                a, b = first + w["pos"] - w["before"], first + w["pos"] + w["after"]
-                if b > last:
-                    continue  # another text under the same id
-                own = body[words.start[a] : words.end[b - 1]]
-                if np.uint64(xxh3_64_intdigest(own, w["before"])).view(np.int64) != w["region"]:
-                    continue
-                for n in ("anchor", "region", "before", "many"):
-                    out[n].append(w[n])
-                out["least"].append(doc)
-                out["words"].append(own.decode())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out["anchor"], pa.int64()), pa.array(out["region"], pa.int64()), pa.array(out["least"], pa.int64()), pa.array(out["before"], pa.int32()), pa.array(out["many"], pa.bool_()), pa.array(out["words"], pa.string())], names=list(out)
-        )
+        bounds = [(words.start[a], words.end[b - 1]) if b > a else (0, 0) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+        sha = [hashlib.sha256(body[s:e]).hexdigest() for s, e in bounds]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(words.first)), pa.array(sha, pa.string())], names=["doc", "n_words", "sha"])
+
+
+def _regions(window: int, prefix: int):
+    """(doc, text, wanted) to a unit for each wanted region, and whether its group is too large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            words = Words(*text_bytes(batch.column(1)))
+            body = words.data.tobytes()
+            rows: list[tuple] = []
+            for doc, wanted, first, last in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+                for w in wanted:
+                    a, b = first + w["pos"] - w["before"], first + w["pos"] + w["after"]
+                    if b > last:
+                        continue  # another text under the same id
+                    own = body[words.start[a] : words.end[b - 1]]
+                    if np.uint64(xxh3_64_intdigest(own, w["before"])).view(np.int64) == w["region"]:
+                        rows.append((w["anchor"], w["anchor"], w["region"], doc, w["before"], 0, window - prefix, own.decode(), w["many"]))
+            yield _batch(rows, _UNITS + ", many boolean")
+
+    return run
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
 def _common(a: list[str], b: list[str]) -> int:
@@ -163,13 +171,14 @@ def _levels(suffixes: list[list[str]], depths: np.ndarray) -> tuple[np.ndarray,
     return nodes, int(common.max())
 
 
-def repeated_offsets(texts: list[list[str]], before: list[int], docs: list[int], window: int, prefix: int) -> list[tuple[int, int] | None]:
-    """For each region of one prefix: the least and the largest offset o for which the
-    window that starts o words before the prefix also starts in a smaller document."""
+def repeated_offsets(texts: list[list[str]], before: list[int], docs: list[int], window: int, prefix: int, low: int = 0, high: int | None = None) -> list[tuple[int, int] | None]:
+    """For each region of one prefix: the least and the largest offset o (of ``low`` to
+    ``high``, window - prefix if not given) for which the window that starts o words
+    before the prefix also starts in a smaller document."""
     n = len(texts)
     if n < 2 or min(docs) == max(docs):
         return [None] * n
-    o = np.arange(window - prefix + 1)
+    o = np.arange(low, (window - prefix if high is None else high) + 1)
     forward, deep = _levels([t[b:] for t, b in zip(texts, before, strict=True)], window - o)
     backward, back = _levels([t[:b][::-1] for t, b in zip(texts, before, strict=True)], o)
     if deep + back < window:
@@ -184,97 +193,141 @@ def repeated_offsets(texts: list[list[str]], before: list[int], docs: list[int],
     np.minimum.at(least, at, own)
     hit = np.zeros(key.shape, bool)
     hit[whole] = least[at] < own
-    return [(int(f[0]), int(f[-1])) if len(f := np.flatnonzero(hit[:, i])) else None for i in range(n)]
+    return [(low + int(f[0]), low + int(f[-1])) if len(f := np.flatnonzero(hit[:, i])) else None for i in range(n)]
 
 
 def _trees(window: int, prefix: int):
+    """Units sorted by group to (ua, ub, low, high): the offsets that smaller documents have too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(rows):
-            found = repeated_offsets([r[4].split(" ") for r in rows], [r[3] for r in rows], [r[2] for r in rows], window, prefix)
-            return [(r[0], r[1], f[0], f[1]) for r, f in zip(rows, found, strict=True) if f]
+            found = repeated_offsets([r[7].split(" ") for r in rows], [r[4] for r in rows], [r[3] for r in rows], window, prefix, rows[0][5], rows[0][6])
+            return [(r[1], r[2], *f) for r, f in zip(rows, found, strict=True) if f]
 
         held: list[tuple] = []
         for batch in batches:
             out: list[tuple] = []
-            for row in zip(*(batch.column(n).to_pylist() for n in ("anchor", "region", "least", "before", "words")), strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and held[0][0] != row[0]:
                     out += solve(held)
                     held = []
                 held.append(row)
-            yield _hits(out)
+            yield _batch(out, _HITS)
         if held:
-            yield _hits(solve(held))
+            yield _batch(solve(held), _HITS)
 
     return run
 
 
-def _hits(rows: list[tuple]) -> pa.RecordBatch:
-    anchor, region, low, high = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(region, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32())], names=["anchor", "region", "low", "high"])
+_HITS = "ua long, ub long, low int, high int"
+_LINKS = "pa long, pb long, known long, ua long, ub long, low int, high int"
+
 
+def _halves(window: int, links: bool):
+    """Units whose group is too large, as units for each half of their windows.
+
+    ``links``: the names of both instead, with the parent's least document and the
+    least and largest offset of the windows that the half has of it.
+    """
 
-def _full_depth(window: int, prefix: int):
-    """A row for each window of a region, under its 128-bit hash."""
+    def signed(digest: bytes) -> tuple[int, int]:
+        return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 10_000):
             out: list[tuple] = []
-            for anchor, region, least, before, text in zip(*(batch.column(n).to_pylist() for n in ("anchor", "region", "least", "before", "words")), strict=True):
+            for _, ua, ub, least, before, low, high, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = text.split(" ")
-                for o in range(min(before, window - prefix) + 1):
-                    own = words[before - o : before - o + window]
-                    if len(own) == window:
-                        h = xxh3_128_intdigest(" ".join(own).encode())
-                        out.append(((h >> 64) - (1 << 63), (h & (2**64 - 1)) - (1 << 63), anchor, region, least, o))
-            columns = zip(*out, strict=True) if out else [()] * 6
-            types = [pa.int64()] * 5 + [pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["w1", "w2", "anchor", "region", "least", "o"])
+                after, middle = len(words) - before, (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    first, last = max(a, window - after), min(b, before)
+                    if first > last:
+                        continue  # no whole window begins there
+                    own_before = min(before, b)
+                    own = " ".join(words[before - own_before : before + window - a])
+                    name = signed(xxh3_128_digest(f"{a} {b} {own_before} {own}".encode()))
+                    if links:
+                        out.append((ua, ub, least, *name, first, last))
+                    else:
+                        key = " ".join(words[before - a : before + window - b])
+                        out.append((signed(xxh3_128_digest(f"{a} {b} {key}".encode()))[0], *name, least, own_before, a, b, own))
+            yield _batch(out, _LINKS if links else _UNITS)
 
     return run
 
 
+def _unit_hits(units: DataFrame, window: int, prefix: int, group_regions: int) -> DataFrame:
+    """(ua, ub, low, high) for units (``_UNITS``, many; written, and deleted here): trees of
+    the groups that fit, and for the others those of their halves."""
+    solved, links, level = [], [], units
+    while True:
+        trees = level.where("not many").drop("many").repartition("grp").sortWithinPartitions("grp").mapInArrow(_trees(window, prefix), _HITS)
+        solved.append(written(trees, "region-hits"))
+        hot = level.where("many").drop("many")
+        if hot.isEmpty():
+            break
+        # Equal halves are one unit; a unit without others in its group is like no other.
+        rest = [F.first(c).alias(c) for c in ("grp", "before", "low", "high", "words")]
+        halves = hot.mapInArrow(_halves(window, False), _UNITS).groupBy("ua", "ub").agg(F.min("least").alias("least"), *rest)
+        halves = written(halves.select("grp", "ua", "ub", "least", "before", "low", "high", "words"), "halves")
+        names = hot.mapInArrow(_halves(window, True), _LINKS).join(halves.select("ua", "ub", "least"), ["ua", "ub"])
+        links.append(written(names.select("pa", "pb", "ua", "ub", "low", "high", (F.col("known") > F.col("least")).alias("whole")), "half-links"))
+        groups = halves.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("_a"), F.max("least").alias("_b")).where("n > 1 and _a < _b")
+        after = written(halves.join(groups.select("grp", (F.col("n") > group_regions).alias("many")), "grp"), "halves-in-groups")
+        release(halves, level)
+        level = after
+    release(level)
+    # Back up: a half that a smaller document has is a hit as a whole.
+    hits = solved.pop()
+    while links:
+        names, above = links.pop(), solved.pop()
+        found = names.join(hits.select("ua", "ub", F.col("low").alias("_low"), F.col("high").alias("_high")), ["ua", "ub"], "left")
+        own = [F.when(F.col("whole"), F.col(n)).otherwise(F.col("_" + n)).alias(n) for n in ("low", "high")]
+        up = found.select(F.col("pa").alias("ua"), F.col("pb").alias("ub"), *own).where("low is not null").groupBy("ua", "ub").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        below, hits = hits, written(up.unionByName(above), "region-hits")
+        release(below, above, names)
+    return hits
+
+
 def repeats(docs: DataFrame, window: int = 50, prefix: int = 8, group_regions: int = 512) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The parts of ``docs`` (doc_id, text) whose windows also start in a smaller doc_id.
 
     Returns (spans, texts, plain): spans (doc, start, stop) in words, stop
     exclusive, their union is what is covered; texts (doc, text) of all documents
-    that may have spans; plain (doc, n_words, sha) of every row as it is.
+    that may have spans; plain (doc, n_words, sha) of every row as it is. A group
+    of up to ``group_regions`` regions is one tree.
     """
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc")
     rows = docs.select(doc, F.coalesce("text", F.lit("")).alias("text"))
+    plain = rows.mapInArrow(_as_is, "doc long, n_words long, sha string")
     scanned = written(rows.mapInArrow(_scan(window, prefix), _ANCHORS), "anchors")
-    plain = scanned.where("sha is not null").select("doc", F.col("pos").alias("n_words"), "sha")
-    anchors = scanned.where("sha is null").drop("sha")
 
-    shared = written(anchors.groupBy("anchor").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).where("_a < _b").select("anchor"), "shared-anchors")
-    anchors = written(anchors.join(shared, "anchor"), "shared")
+    shared = written(scanned.groupBy("anchor").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).where("_a < _b").select("anchor"), "shared-anchors")
+    anchors = written(scanned.join(shared, "anchor"), "shared")
+    release(scanned, shared)
     regions = anchors.groupBy("anchor", "region").agg(F.min(F.struct("doc", "pos")).alias("f"), F.max("before").alias("before"), F.max("after").alias("after"))
     regions = written(regions.select("anchor", "region", F.col("f.doc").alias("least"), F.col("f.pos").alias("pos"), "before", "after"), "regions")
     groups = written(regions.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "prefix-groups")
 
-    placed = anchors.join(regions.select("anchor", "region", "least"), ["anchor", "region"])
+    placed = written(anchors.join(regions.select("anchor", "region", "least"), ["anchor", "region"]), "placed")
+    release(anchors)
     copied = placed.where((F.col("doc") > F.col("least")) & (F.col("before") + F.col("after") >= window)).select("doc", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + F.col("after")).alias("stop"))
 
     # The words of each region that a tree must tell from others, from its least document.
     wanted = regions.join(groups, "anchor").groupBy(F.col("least").alias("doc")).agg(F.collect_list(F.struct("anchor", "region", "pos", "before", "after", (F.col("n") > group_regions).alias("many"))).alias("wanted"))
-    touched = written(anchors.select("doc").distinct().join(wanted, "doc", "left"), "touched")
+    touched = written(placed.select("doc").distinct().join(wanted, "doc", "left"), "touched")
     texts = written(rows.join(touched, "doc"), "touched-texts")
-    bodies = written(texts.where("wanted is not null").select("doc", "text", "wanted").mapInArrow(_regions, "anchor long, region long, least long, before int, many boolean, words string"), "region-words")
-
-    trees = bodies.where("not many").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_trees(window, prefix), "anchor long, region long, low int, high int")
-    windows = bodies.where("many").mapInArrow(_full_depth(window, prefix), "w1 long, w2 long, anchor long, region long, least long, o int")
-    windows = written(windows, "hot-windows")
-    first = written(windows.groupBy("w1", "w2").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first < last").select("w1", "w2", "first"), "hot-first")
-    hot = windows.join(first, ["w1", "w2"]).where("first < least").groupBy("anchor", "region").agg(F.min("o").alias("low"), F.max("o").alias("high"))
-    hits = written(trees.unionByName(hot).groupBy("anchor", "region").agg(F.min("low").alias("low"), F.max("high").alias("high")), "region-hits")
+    release(touched, regions, groups)
+    units = written(texts.where("wanted is not null").select("doc", "text", "wanted").mapInArrow(_regions(window, prefix), _UNITS + ", many boolean"), "region-words")
+
+    hits = _unit_hits(units, window, prefix, group_regions).select(F.col("ua").alias("anchor"), F.col("ub").alias("region"), "low", "high")
     partly = placed.where("doc = least").join(hits, ["anchor", "region"]).select("doc", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + window).alias("stop"))
     return copied.unionByName(partly), texts.select("doc", "text"), plain
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = text_bytes(batch.column(1))
-        words = Words(data, offsets)
+    for batch in sliced(batches):
+        words = Words(*text_bytes(batch.column(1)))
         body = words.data.tobytes()
         n, gone, sha, kept_text = [], [], [], []
         for spans, a, b in zip(batch.column(2).to_pylist(), words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):

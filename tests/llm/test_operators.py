@@ -320,7 +320,7 @@ def test_substring_dedup(spark, awkward, clashing, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
-@pytest.mark.parametrize("group_regions", [512, 3])
+@pytest.mark.parametrize("group_regions", [512, 40, 3, 1])
 def test_substring_dedup_of_shared_passages(spark, group_regions):
     rng = random.Random(12)
     shared = [words(100 + i, rng.randint(49, 130)) for i in range(6)]
