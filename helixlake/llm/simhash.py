@@ -304,8 +304,9 @@ def _sets(batch: pa.RecordBatch, shingle: int, seed: int) -> tuple[list[np.ndarr
 
 
 def _set_scan(shingle: int, seed: int, common: np.ndarray):
-    """(doc_id, text, copy) to (doc_id, copy, node, n, fp, prefix): a text's n distinct shingles,
-    their fingerprint, and those of them that a set of similarity 4/5 must share one of.
+    """(doc_id, text, copy) to (doc_id, copy, node, n, fp, prefix, bits): a text's n distinct
+    shingles, their fingerprint, those of them that a set of similarity 4/5 must share
+    one of, and which of 2 to 4 n buckets its shingles fall into.
 
     The prefix has the first in a common order: hashes of ``common`` last, the
     others by value. Sets of similarity 4/5 share at least ceil(4 n / 5) of their
@@ -321,14 +322,17 @@ def _set_scan(shingle: int, seed: int, common: np.ndarray):
             fp = np.zeros(len(n), np.uint64)
             if n.any():
                 fp[n > 0] = _majority(np.concatenate(sets), n[n > 0])
-            prefix = []
+            prefix, bits = [], []
             for own in sets:
+                mark = np.zeros(max(64, 1 << (2 * len(own) - 1).bit_length()), bool)
+                mark[(own & np.uint64(len(mark) - 1)).view(np.int64)] = True
+                bits.append(np.packbits(mark, bitorder="little").tobytes())
                 if len(known):
                     place = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     own = own[np.argsort(np.where(known[place] == own, at[place], -1), kind="stable")]
                 prefix.append(own[: len(own) - (4 * len(own) + 4) // 5 + 1].tobytes())
-            columns = [batch.column(0), batch.column(2), pa.array(node), pa.array(n.astype(np.int32)), pa.array(fp.view(np.int64)), pa.array(prefix, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "node", "n", "fp", "prefix"])
+            columns = [batch.column(0), batch.column(2), pa.array(node), pa.array(n.astype(np.int32)), pa.array(fp.view(np.int64)), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "node", "n", "fp", "prefix", "bits"])
 
     return run
 
@@ -401,6 +405,30 @@ def _alike_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from paired(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, n_a, n_b, bits_a, bits_b): the pairs that may have similarity 4/5.
+
+    A bucket that only one of two sets has holds a shingle that only this one has. So
+    a set's buckets bound what the two share, and no pair of the similarity is lost.
+    """
+    for batch in batches:
+        n = [batch.column(i).to_numpy().astype(np.int64) for i in (2, 3)]
+        bits = [batch.column(i).to_pylist() for i in (4, 5)]
+        size = np.array([[len(x) for x in own] for own in bits], np.int64).reshape(2, -1)
+        ok = np.zeros(batch.num_rows, bool)
+        for x, y in np.unique(size, axis=1).T.tolist():
+            rows = np.flatnonzero((size[0] == x) & (size[1] == y))
+            both = []
+            for own, k in zip(bits, (x, y), strict=True):
+                m = np.frombuffer(b"".join(own[r] for r in rows), "<u8").reshape(len(rows), k // 8)
+                while m.shape[1] * 8 > min(x, y):  # half as many buckets
+                    m = m[:, : m.shape[1] // 2] | m[:, m.shape[1] // 2 :]
+                both.append(m)
+            shared = [n[i][rows] - np.bitwise_count(both[i] & ~both[1 - i]).sum(axis=1, dtype=np.int64) for i in (0, 1)]
+            ok[rows] = 9 * np.minimum(*shared) >= 4 * (n[0][rows] + n[1][rows])
+        yield batch.select([0, 1]).filter(pa.array(ok))
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (root, i, j, a, b, shingles) sorted by cell, its sets (b null) before its pairs:
     the pairs of similarity 4/5."""
@@ -460,13 +488,13 @@ def alike_groups(docs: DataFrame, shingle: int = 5, seed: int = 42, radius: int
     Nulls, repeats and empty tables as in ``near_groups``.
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("copy"))
-    schema = "doc_id long, copy long, node long, n int, fp long, prefix binary"
+    schema = "doc_id long, copy long, node long, n int, fp long, prefix binary, bits binary"
     sample = texts.where(F.pmod("copy", F.lit(64)) == 0).select("doc_id", "text").mapInArrow(_set_hashes(shingle, seed), "h long")
     common = [r["h"] for r in sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(100_000).collect()]
     order = np.array(common[::-1], np.int64).view(np.uint64)  # the most common last
     scanned = written(texts.mapInArrow(_set_scan(shingle, seed, order), schema), "shingle-sets")
-    one = scanned.groupBy("node").agg(F.min(F.struct("copy", "doc_id")).alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
-    nodes = written(one.select("node", "row.copy", "row.doc_id", "n", "fp", "prefix"), "alike-nodes")
+    one = scanned.groupBy("node").agg(F.min(F.struct("copy", "doc_id")).alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    nodes = written(one.select("node", "row.copy", "row.doc_id", "n", "fp", "prefix", "bits"), "alike-nodes")
 
     def links_of(_: DataFrame) -> DataFrame:
         release(scanned)
@@ -479,6 +507,11 @@ def alike_groups(docs: DataFrame, shingle: int = 5, seed: int = 42, radius: int
         pairs = written(dealt.mapInArrow(_alike_pairs, "a long, b long").distinct(), "prefix-pairs")
         del rows, dealt
         release(groups)
+        ends = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab"]
+        bounded = pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+        every, pairs = pairs, written(bounded.mapInArrow(_possible, "a long, b long"), "possible-pairs")
+        del bounded
+        release(every)
         rest = verified_links(pairs, nodes, texts, shingle, seed)
         release(pairs)
         return some.unionByName(rest)
