@@ -303,9 +303,11 @@ def test_fingerprints_of_long_texts_are_counted_in_runs(spark, monkeypatch):
     assert [f & (2**64 - 1) for f in out.column(1).to_pylist()] == [brute.fingerprint(t) for _, t in rows]
 
 
-def test_components_close_long_chains(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_close_long_chains(spark, one_task):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
-    got = {r.node: r.root for r in simhash.components(chain).collect()}
+    got = {r.node: r.root for r in simhash.components(chain, one_task).collect()}
+    assert simhash.components(chain.limit(0), one_task).count() == 0
     assert len(got) == 203 and {got[i] for i in range(201)} == {0} and got[1001] == 1000
 
 
