@@ -4,7 +4,7 @@ A passage of ``window`` words that two documents share is found at the suffixes
 that start with the same prefix. Only sampled suffixes are dealt out: of the
 ``prefix``-word prefixes inside each window the one with the least hash is the
 window's anchor, so windows with equal words have equal anchors at equal places,
-and about one suffix in twenty stands for all. An anchor's region is what any
+and about one suffix in eighteen stands for all. An anchor's region is what any
 window around it can hold: the words before it (up to window - prefix) and from
 it on (up to window).
 
@@ -289,13 +289,13 @@ def _unit_hits(units: DataFrame, window: int, prefix: int, group_regions: int) -
     return hits
 
 
-def repeats(docs: DataFrame, window: int = 50, prefix: int = 8, group_regions: int = 512) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repeats(docs: DataFrame, window: int = 50, prefix: int = 16, group_regions: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The parts of ``docs`` (doc_id, text) whose windows also start in a smaller doc_id.
 
     Returns (spans, texts, plain): spans (doc, start, stop) in words, stop
     exclusive, their union is what is covered; texts (doc, text) of all documents
     that may have spans; plain (doc, n_words, sha) of every row as it is. A group
-    of up to ``group_regions`` regions is one tree.
+    of up to ``group_regions`` regions, some 2 MB of words, is one tree.
     """
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc")
     rows = docs.select(doc, F.coalesce("text", F.lit("")).alias("text"))
