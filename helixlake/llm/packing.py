@@ -13,6 +13,8 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache as remembered
+from heapq import heapify, heappop, heappush
+from itertools import count
 import re
 
 import numpy as np
@@ -35,12 +37,12 @@ _MARKS = frozenset(".,;:!?")
 
 
 @remembered
-def _tokenizer(path: str):
+def _tokenizer(path: str, special_as_text: bool):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
+    t.encode_special_tokens = special_as_text
     return t
 
 
@@ -58,11 +60,15 @@ class TokenIds:
     break that follows another character than white space. So a text's ids are
     those of the chunks between such places, and a chunk is encoded once and
     remembered. A run of letters is one token of the pre-tokenizer and goes to the
-    model itself. Texts with longer runs of white space are encoded whole.
+    model itself. Texts with longer runs of white space, or with the string of an
+    added token, are encoded whole. Such a string is that token's one id, as the
+    tokenizer has it; with ``special_as_text`` it is ordinary text.
     """
 
-    def __init__(self, path: str):
-        tokenizer = _tokenizer(path)
+    def __init__(self, path: str, special_as_text: bool = False):
+        tokenizer = _tokenizer(path, special_as_text)
+        added = sorted({t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content}, key=len)
+        self.whole = re.compile("|".join([_UNSAFE.pattern, *map(re.escape, added)]))
         letters = _byte_letters()
         self.encode = lambda texts: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         tokenize = tokenizer.model.tokenize
@@ -99,21 +105,23 @@ class TokenIds:
             self.older, self.known = self.known, {}
         known = self.known
         # A chunk's key is its text without the blank before it.
-        chunks = [None if _UNSAFE.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        chunks = [None if self.whole.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
         self._learn(set().union(*(c[1:] for c in chunks if c)).difference(known))
         whole = [t if c is None else c[0] for t, c in zip(texts, chunks, strict=True)]
         first = self.encode(whole)
         return [f if c is None else f + b"".join(map(known.__getitem__, c[1:])) for f, c in zip(first, chunks, strict=True)]
 
 
-_ids: dict[str, TokenIds] = {}
+_ids: dict[tuple[str, bool], TokenIds] = {}
 
 
-def _tokenise(path: str, most: int, end_id: int, with_ids: bool):
+def _tokenise(path: str, most: int, end_id: int, with_ids: bool, special_as_text: bool):
     end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _ids.setdefault(path, TokenIds(path))
+        if (path, special_as_text) not in _ids:
+            _ids[path, special_as_text] = TokenIds(path, special_as_text)
+        ids_of = _ids[path, special_as_text]
         for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             doc, piece, start, length, crc, body = [], [], [], [], [], []
@@ -141,15 +149,18 @@ def _tokenise(path: str, most: int, end_id: int, with_ids: bool):
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 0, with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """The pieces of each row of ``docs``: its ids, then ``end_id``, cut if longer than ``most``.
 
+    Ids are those of the tokenizer without its template's special tokens; a special
+    token's string in a text is that token unless ``special_as_text``.
+
     A null text is empty (one id). Of a longer document all pieces but the first
     are full. Rows that repeat are documents of their own; a null doc_id stays
     null; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_tokenise(tokenizer, most, end_id, with_ids), _PIECE + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(_tokenise(tokenizer, most, end_id, with_ids, special_as_text), _PIECE + (", ids array<int>" if with_ids else ""))
 
 
 def best_fit(lengths: list[int], most: int) -> list[list[int]]:
@@ -177,74 +188,107 @@ def best_fit(lengths: list[int], most: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], most: int, effort: int = 2000) -> list[list[int]]:
+class _Bins:
+    """For each length, the bin with the most room among those that hold a piece of it.
+
+    Length 0 stands for any bin. Entries of bins that have changed stay in the heaps
+    until they come to the top.
+    """
+
+    def __init__(self, lengths: list[int], most: int):
+        self.lengths, self.heaps = lengths, [[] for _ in range(most + 1)]
+        self.version: dict[int, int] = {}
+        self.room = np.full(most + 1, -1)
+
+    def _sizes(self, pieces: list[int]) -> set[int]:
+        return {0, *(self.lengths[i] for i in pieces)}
+
+    def _top(self, size: int) -> None:
+        heap = self.heaps[size]
+        while heap and self.version.get(heap[0][1]) != heap[0][2]:
+            heappop(heap)
+        self.room[size] = -heap[0][0] if heap else -1
+
+    def put(self, b: int, pieces: list[int], room: int, now: int) -> None:
+        self.version[b] = now
+        for size in self._sizes(pieces):
+            heappush(self.heaps[size], (-room, b, now))
+            self._top(size)
+
+    def take(self, b: int, pieces: list[int]) -> None:
+        self.version.pop(b, None)
+        for size in self._sizes(pieces):
+            self._top(size)
+
+    def best(self, size: int) -> int:
+        return self.heaps[size][0][1]
+
+
+def improve(bins: list[list[int]], lengths: list[int], most: int) -> list[list[int]]:
     """Empties bins by exchanges that raise the sum of squared fills.
 
-    The emptiest bin gives a document to another underfull bin, or swaps one for
-    one or two for one with it, whichever moves most tokens; this ends when no
-    exchange helps, the bins are as few as the sum of lengths allows, or after
-    ``effort`` exchanges (a bound on time: what is left is a valid packing).
+    In a pass the emptiest bin that has not had its turn gives one or two pieces to
+    a fuller one, for one of its pieces or for none, whichever moves most tokens,
+    until it is empty or nothing helps. So the sum grows with every exchange, and a
+    bin that had its turn takes none before the next pass. Passes go on until the
+    bins are as few as the sum of lengths allows, or to the local optimum: a pass in
+    which no bin has an exchange with a fuller one.
     """
     fewest = -(-sum(lengths) // most)
     fill = [sum(lengths[i] for i in b) for b in bins]
-    alive = {b for b in range(len(bins)) if fill[b] < most}
     left = sum(1 for b in bins if b)
-    stuck: set[int] = set()
-    while effort > 0 and left > fewest:
-        open_ = [b for b in alive if b not in stuck]
-        if len(open_) < 1 or len(alive) < 2:
-            break
-        source = min(open_, key=lambda b: (fill[b], b))
-        others = sorted(alive - {source})
-        item = np.array([i for b in others for i in bins[b]])
-        size = np.array([lengths[i] for i in item])
-        home = np.array([b for b in others for _ in bins[b]])
-        room = most - np.array([fill[b] for b in others])
-        room_of = most - np.array([fill[b] for b in home])
-        moved = False
-        while bins[source] and effort > 0:
-            own = sorted(bins[source], key=lambda i: (-lengths[i], i))
-            gives = [((i,), lengths[i]) for i in own] + [((i, j), lengths[i] + lengths[j]) for x, i in enumerate(own) for j in own[x + 1 :]]
-            best = (0, None, None, None)
-            for given, n in gives:
-                if len(given) == 1 and n <= room.max(initial=-1) and n > best[0]:
-                    to = int(np.flatnonzero(room >= n)[np.argmin(room[room >= n])])
-                    best = (n, given, None, others[to])
-                gain = n - size
-                ok = (gain > 0) & (gain <= room_of)
-                if ok.any():
-                    at = int(np.argmax(np.where(ok, gain, 0)))
-                    if gain[at] > best[0]:
-                        best = (int(gain[at]), given, int(item[at]), int(home[at]))
-            gain, given, taken, to = best
-            if not gain:
-                break
-            effort -= 1
-            moved = True
-            for i in given:
-                bins[source].remove(i)
-                bins[to].append(i)
-            if taken is not None:
-                bins[to].remove(taken)
-                bins[source].append(taken)
-            fill[source] -= gain
-            fill[to] += gain
-            item = np.array([i for b in others for i in bins[b]])
-            size = np.array([lengths[i] for i in item])
-            home = np.array([b for b in others for _ in bins[b]])
-            room = most - np.array([fill[b] for b in others])
-            room_of = most - np.array([fill[b] for b in home])
-        if not bins[source]:
-            left -= 1
-            alive.discard(source)
-        else:
-            stuck.add(source)
-        if moved:
-            alive = {b for b in alive if fill[b] < most}
+    tick = count(1)
+    under = _Bins(lengths, most)
+    changed = left > fewest
+    while changed:
+        changed = False
+        turns = [(fill[b], b) for b in range(len(bins)) if bins[b] and fill[b] < most]
+        for _, b in turns:
+            under.put(b, bins[b], most - fill[b], next(tick))
+        heapify(turns)
+        while turns and left > fewest:
+            was, source = heappop(turns)
+            if was != fill[source]:
+                if fill[source] < most:
+                    heappush(turns, (fill[source], source))
+                continue
+            own = bins[source]
+            under.take(source, own)
+            while own:
+                gives: dict[int, tuple[int, ...]] = {}
+                for x, i in enumerate(own):
+                    gives.setdefault(lengths[i], (i,))
+                    for j in own[x + 1 :]:
+                        gives.setdefault(lengths[i] + lengths[j], (i, j))
+                given = np.array([n for n in gives if n <= most])
+                sizes = np.flatnonzero(under.room > 0)
+                gain = given[:, None] - sizes[None, :]
+                gain[(gain > under.room[sizes][None, :]) | (gain < 0)] = 0
+                at = int(gain.argmax()) if gain.size else 0
+                if not gain.size or not (moved := int(gain.flat[at])):
+                    break
+                n, size = int(given[at // len(sizes)]), int(sizes[at % len(sizes)])
+                to = under.best(size)
+                taken = next((i for i in bins[to] if lengths[i] == size), None) if size else None
+                under.take(to, bins[to])
+                for i in gives[n]:
+                    own.remove(i)
+                    bins[to].append(i)
+                if taken is not None:
+                    bins[to].remove(taken)
+                    own.append(taken)
+                changed = True
+                fill[source] -= moved
+                fill[to] += moved
+                if fill[to] < most:
+                    under.put(to, bins[to], most - fill[to], next(tick))
+            if not own:
+                left -= 1
+        changed = changed and left > fewest
     return [b for b in bins if b]
 
 
-def _packer(most: int, effort: int):
+def _packer(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
         if not rows:
@@ -253,7 +297,7 @@ def _packer(most: int, effort: int):
         lengths = shard.column("length").to_pylist()
         part = [i for i, n in enumerate(lengths) if n < most]
         small = [lengths[i] for i in part]
-        bins = [[part[i] for i in b] for b in improve(best_fit(small, most), small, most, effort)]
+        bins = [[part[i] for i in b] for b in improve(best_fit(small, most), small, most)]
         bins += [[i] for i, n in enumerate(lengths) if n == most]
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         base = TaskContext.get().partitionId() << 36
@@ -268,19 +312,24 @@ def _packer(most: int, effort: int):
     return run
 
 
-def pack(pieces: DataFrame, most: int = 2048, shard_pieces: int = 65_536, effort: int = 2000) -> DataFrame:
+def pack(pieces: DataFrame, most: int = 2048, shard_pieces: int = 65_536) -> DataFrame:
     """``pieces`` (written, with a column length of at most ``most``) with sequence_id and offset.
 
     Offsets of a sequence are gapless from 0. An empty table gives an empty one.
     """
     shards = max(1, -(-pieces.count() // shard_pieces))
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, `offset` long"
-    return pieces.repartition(shards).mapInArrow(_packer(most, effort), schema)
+    return pieces.repartition(shards).mapInArrow(_packer(most), schema)
+
 
+def pack_documents(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 0, with_ids: bool = False, special_as_text: bool = False, **options) -> DataFrame:
+    """Tokenised, cut and packed: one row per piece with its place.
 
-def pack_documents(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 0, with_ids: bool = False, **options) -> DataFrame:
-    """Tokenised, cut and packed: one row per piece with its place."""
-    return pack(written(token_pieces(docs, tokenizer, most, end_id, with_ids), "pieces"), most, **options)
+    Pieces of equal length are interchangeable; which of them goes where follows
+    their order in a shard. Very long texts are cut, empty and null ones are one id,
+    repeated rows are packed each.
+    """
+    return pack(written(token_pieces(docs, tokenizer, most, end_id, with_ids, special_as_text), "pieces"), most, **options)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

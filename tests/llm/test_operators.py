@@ -375,9 +375,7 @@ def test_topk(spark, tile_rows):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(queries.public_tokenizer("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(queries.public_tokenizer("byte_bpe_50k.json"))
 
 
 def check_places(got, most):
@@ -412,11 +410,19 @@ def test_token_ids_of_odd_white_space(tokenizer):
     odd = ["a  b", "a \n b", " lead", "x\n\ny", "tab\tz q", "", "\n", " ", "a  b", "don't it's", "1,234.5 x²", "İstanbul ſ ß", "日本 語", "q\r\nz w", "end ", "é. è, ñ!", "ab.\ncd", "<|endoftext|> x", "a\x1c b", "a　b  c"]
     rng = random.Random(8)
     odd += ["".join(rng.choice("ab .,\n\té1'") for _ in range(40)) for _ in range(400)]
+    odd += ["".join(rng.choice(["<|endoftext|>", "<|endof", "text|>", " ", "a", "\n", ". "]) for _ in range(12)) for _ in range(200)]
     want = [tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
     import numpy as np
 
     assert [np.frombuffer(b, "<u4").tolist() for b in ids(odd)] == want
     assert [np.frombuffer(b, "<u4").tolist() for b in ids(odd)] == want
+    assert any(50256 in x for x in want)
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.public_tokenizer("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    as_text = packing.TokenIds(queries.public_tokenizer("byte_bpe_50k.json"), special_as_text=True)
+    assert [np.frombuffer(b, "<u4").tolist() for b in as_text(odd)] == [plain.encode(t, add_special_tokens=False).ids for t in odd]
 
 
 def test_local_search_empties_bins():
@@ -430,6 +436,26 @@ def test_local_search_empties_bins():
     assert sorted(i for b in packed for i in b) == list(range(3000)) and len(packed) <= -(-sum(many) // 2048) + 1
 
 
+def test_local_search_ends_on_hard_sizes():
+    rng = random.Random(4)
+    for low, high in ((26, 50), (34, 51), (10, 60), (1, 3)):
+        lengths = [rng.randint(low, high) for _ in range(300)]
+        first = packing.best_fit(lengths, 100)
+        most = len(first)
+        bins = packing.improve(first, lengths, 100)
+        assert sorted(i for b in bins for i in b) == list(range(300)) and max(sum(lengths[i] for i in b) for b in bins) <= 100
+        assert -(-sum(lengths) // 100) <= len(bins) <= most
+        fill = [sum(lengths[i] for i in b) for b in bins]
+        if len(bins) == -(-sum(lengths) // 100):
+            continue
+        for own, a in zip(bins, fill, strict=True):
+            gives = [lengths[i] for i in own] + [lengths[i] + lengths[j] for x, i in enumerate(own) for j in own[x + 1 :]]
+            for other, b in zip(bins, fill, strict=True):
+                if a < b:
+                    assert not any(0 < n - t <= 100 - b for n in gives for t in [0, *(lengths[i] for i in other)])
+    assert packing.improve([], [], 100) == []
+
+
 # ---- language, toxicity, personal data -------------------------------------------------------
 
 
