@@ -22,20 +22,37 @@ def strands(seqs: DataFrame) -> DataFrame:
     return one.unionAll(seqs.select("chr", F.lit(1).alias("strand"), reverse_complement("seq").alias("seq")))
 
 
+def _tiles(df: DataFrame, size: int, over: int) -> DataFrame:
+    """Rows (at, piece, ...) cut into pieces of ``size`` letters that run on into the next by ``over``.
+
+    A substring is counted from the start of its string, so windows of a long one are
+    taken from short pieces: the work is then in proportion to the length.
+    """
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.length("piece") - over - 1, F.lit(size)),
+        lambda s: F.struct((F.col("at") + s).alias("at"), F.substring("piece", s + 1, F.lit(size + over)).alias("piece")),
+    )
+    return df.select(*[c for c in df.columns if c not in ("at", "piece")], F.inline(pieces))
+
+
 def kmers(seqs: DataFrame, k: int) -> DataFrame:
     """chr, strand, pos, kmer, prev, next for every k-mer of A, C, G, T on both strands.
 
     One pass over the positive strand gives both: the k-mer at p is, reversed, the
     one at length - k - p on the other strand. ``#`` stands beyond an end.
     """
-    at = seqs.where(F.length("seq") >= k).select("chr", "seq", F.length("seq").alias("len"), F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("p"))
+    whole = seqs.where(F.length("seq") >= k).select("chr", F.length("seq").alias("len"), F.lit(0).alias("at"), F.concat(F.lit(END), "seq", F.lit(END)).alias("piece"))
+    # Long pieces are dealt out first, or a chromosome would be one task.
+    parts = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = _tiles(_tiles(whole, 1 << 16, k + 1).repartition(parts, "chr", "at"), 1 << 8, k + 1)
+    at = tiles.select("chr", "len", "at", "piece", F.explode(F.sequence(F.lit(0), F.length("piece") - k - 2)).alias("q"))
     here = at.select(
         "chr",
         "len",
-        "p",
-        F.substring("seq", F.col("p") + 1, F.lit(k)).alias("kmer"),
-        F.when(F.col("p") == 0, END).otherwise(F.substring("seq", F.col("p"), F.lit(1))).alias("prev"),
-        F.when(F.col("p") + k == F.col("len"), END).otherwise(F.substring("seq", F.col("p") + k + 1, F.lit(1))).alias("next"),
+        (F.col("at") + F.col("q")).alias("p"),
+        F.substring("piece", F.col("q") + 2, F.lit(k)).alias("kmer"),
+        F.substring("piece", F.col("q") + 1, F.lit(1)).alias("prev"),
+        F.substring("piece", F.col("q") + k + 2, F.lit(1)).alias("next"),
     ).where(~F.col("kmer").rlike("[^ACGT]"))
     flip = lambda c: F.translate(F.col(c), "ACGT", "TGCA")
     plus = F.struct(F.lit(0).alias("strand"), F.col("p").alias("pos"), F.col("kmer").alias("kmer"), F.col("prev").alias("prev"), F.col("next").alias("next"))
