@@ -18,23 +18,18 @@ from pyspark.sql import functions as F
 
 from ._shared import sliced, written
 
-_TILE = "shard int, dims int, ids binary, rows binary"
+_TILE = "dims int, ids binary, rows binary"
 _FOUND = "query_id long, tile int, vec_id long, score long"
 
 
-def _packer(tile_rows: int, shards: int):
+def _packer(tile_rows: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = 0
         held: dict[int, list] = {}
 
         def tile(dims, parts):
-            nonlocal made
             ids = np.concatenate([p[0] for p in parts])
             rows = np.concatenate([p[1] for p in parts])
-            made += 1
-            # any shard will do, as every query tile goes to all of them
-            shard = (int(ids[0]) * 2654435761 + made) % shards
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([dims], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())], names=["shard", "dims", "ids", "rows"])
+            return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())], names=["dims", "ids", "rows"])
 
         for batch in sliced(batches, 4096):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -98,7 +93,8 @@ def exact_topk(
     vector_col: str = "vector",
     tile_rows: int = 2048,
     query_rows: int = 1024,
-    shards: int = 16,
+    group_tiles: int = 4,
+    group_query_tiles: int = 16,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best by inner product.
 
@@ -110,18 +106,21 @@ def exact_topk(
     repeat are candidates each. Other columns are ignored; with no query or no
     candidate the result is empty.
     """
-    spark = vectors.sparkSession
-
     def clean(df):
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
         finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite)
 
-    tiles = clean(vectors).mapInArrow(_packer(tile_rows, shards), _TILE)
-    asked = clean(queries).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(_packer(query_rows, 1), _TILE)
-    asked = written(asked, "topk-queries").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dims", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
-    # A tile of candidates is met by one tile of queries at a time: batches of a few rows.
-    met = written(tiles, "topk-tiles").join(asked, ["shard", "dims"]).select("dims", "ids", "rows", "q_ids", "q_rows")
+    tiles = written(clean(vectors).mapInArrow(_packer(tile_rows), _TILE), "topk-tiles")
+    asked = clean(queries).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(_packer(query_rows), _TILE)
+    asked = written(asked, "topk-queries")
+    # Any group will do for a tile, as each group of one side meets all of the other.
+    across, down = (max(1, -(-t.count() // n)) for t, n in ((tiles, group_tiles), (asked, group_query_tiles)))
+    group = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = tiles.select("dims", group(across).alias("c_group"), every(down).alias("q_group"), "ids", "rows")
+    asked = asked.select("dims", every(across).alias("c_group"), group(down).alias("q_group"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
+    met = dealt.join(asked, ["c_group", "q_group", "dims"]).select("dims", "ids", "rows", "q_ids", "q_rows")
     lists = met.mapInArrow(_tile_topk(k), _FOUND)
     order = [F.desc("score"), "vec_id"]
     level = lists.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "tile").orderBy(*order))).where(F.col("_n") <= k)

@@ -362,7 +362,7 @@ def test_topk(spark, tile_rows):
     rows = [(i, [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(40)] + [(100, [1.0, 2.0]), (150, [0.0, 5.0]), (7, [9.0, 9.0, 9.0, 9.0])]
     bad = [(200, None), (250, [1.0, None, 0.0, 0.0]), (300, [float("nan"), 0.0, 0.0, 0.0]), (350, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4)]
     df = spark.createDataFrame(rows + bad, "vec_id long, vector array<double>").withColumn("score", F.lit("x"))
-    got = topk.exact_topk(df, df.where("vec_id % 10 = 0"), tile_rows=tile_rows, query_rows=3, shards=3)
+    got = topk.exact_topk(df, df.where("vec_id % 10 = 0"), tile_rows=tile_rows, query_rows=3, group_tiles=2, group_query_tiles=2)
     asked = [r for r in rows if r[0] % 10 == 0]
     assert sorted(map(tuple, got.collect())) == sorted(plain_topk(rows, asked, 5))
     assert topk.exact_topk(df.limit(0), df.limit(0)).count() == 0
