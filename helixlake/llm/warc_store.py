@@ -33,11 +33,13 @@ class Archive:
     headers: DataFrame
 
 
-def _record_id(column):
-    return F.concat(F.lit("<urn:page:"), F.coalesce(column.cast("string"), F.lit("none")), F.lit(">"))
+def _record_id(page_id, url, copy):
+    """Unique for each record: the page, then a digest of its url, payload and which copy it is."""
+    own = F.sha1(F.concat_ws(" ", F.col("address"), copy.cast("string"), url))
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(":"), own, F.lit(">"))
 
 
-def write_archive(pages: DataFrame, least_revisit_bytes: int = 0) -> Archive:
+def write_archive(pages: DataFrame, least_revisit_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> Archive:
     """One record per row of ``pages`` (page_id, url, html), payload the html in UTF-8.
 
     Of records with equal payloads of at least ``least_revisit_bytes`` bytes the
@@ -45,7 +47,8 @@ def write_archive(pages: DataFrame, least_revisit_bytes: int = 0) -> Archive:
     smaller payloads are responses all. A null html is an empty payload, a null
     url leaves its header line out, control characters and blanks of a url are
     written as %XX, a null page_id is smaller than any other. Of rows that repeat in
-    page_id and payload the one with the largest url responds, each a record of its own.
+    page_id and payload the one with the largest url responds, each a record of its own
+    with an id of its own. ``date`` is the capture time of all, as the table has none.
     Other columns are ignored; an empty table gives an empty archive.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
@@ -67,11 +70,12 @@ def write_archive(pages: DataFrame, least_revisit_bytes: int = 0) -> Archive:
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(responds, F.lit("response")).otherwise(F.lit("revisit"))),
-        line("WARC-Record-ID", _record_id(F.col("page_id"))),
+        line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("url"), F.col("copy"))),
+        line("WARC-Date", F.lit(date)),
         F.coalesce(line("WARC-Target-URI", url), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         F.when(responds, F.lit("")).otherwise(
-            F.concat(line("WARC-Refers-To", _record_id(F.col("leader"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))
+            F.concat(line("WARC-Refers-To", _record_id(F.col("leader"), F.col("leader_url"), F.lit(1))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))
         ),
         line("Content-Length", F.when(responds, F.col("bytes")).otherwise(F.lit(0)).cast("string")),
         F.lit("\r\n"),
@@ -88,7 +92,7 @@ def read_archive(archive: Archive) -> DataFrame:
     ``record`` holds a record's exact bytes as they stand in a WARC file.
     """
     field = lambda name: F.nullif(F.regexp_extract("header", rf"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
-    page = lambda name: F.regexp_extract(field(name), r"^<urn:page:(-?[0-9]+)>$", 1)
+    page = lambda name: F.regexp_extract(field(name), r"^<urn:page:(-?[0-9]+):[0-9a-f]{40}>$", 1)
     stored = archive.payloads.withColumn("_sha1", base32_sha1(F.col("payload"))).where(
         F.assert_true(F.sha2("payload", 256) == F.col("address"), "a payload does not match its address").isNull()
     )
