@@ -109,11 +109,11 @@ def _fit(rows: list[np.ndarray], label: np.ndarray, ratio: np.ndarray, l2: float
     return w * ratio, b
 
 
-def train(labelled: DataFrame, most_docs: int = 4000, features: int = 4096, smoothing: float = 1.0, l2: float = 1e-4, rounds: int = 150) -> Classifier:
+def train(labelled: DataFrame, features: int = 4096, smoothing: float = 1.0, l2: float = 1e-4, rounds: int = 150) -> Classifier:
     """A classifier from rows (doc_id, text, label 0 or 1).
 
-    Of each class the ``most_docs`` rows with the smallest hashed ids are read;
-    the ``features`` n-gram buckets with the largest chi-squared are kept. With no
+    All its rows are learned from, and their n-grams come to the driver, so the
+    caller bounds them; the ``features`` n-gram buckets with the largest chi-squared are kept. With no
     row of label 1 every score is 0 but for rounding; with none of label 0, 1.
     """
     spark = labelled.sparkSession
@@ -153,8 +153,10 @@ def _trained(docs: DataFrame, labels: DataFrame, folds: int, most_docs: int, opt
     marked = written(marked, "toxicity-labels")
     order = [F.xxhash64("doc_id"), "doc_id"]
     picked = written(marked.where("label = 0").orderBy(*order).limit(most_docs).unionByName(marked.where("label = 1").orderBy(*order).limit(most_docs)), "toxicity-picked")
-    # At most twice most_docs rows of two numbers: a bounded table.
-    model = train(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), most_docs, **options)
+    # At most twice most_docs rows of two numbers: a bounded table. Of rows that repeat an
+    # id the largest text counts, so as many texts at most.
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))
+    model = train(texts, **options)
     every = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(every) == 2:  # the odds of all labels, not of a sample that takes as many rows of each class
         bad, good = every[1], every[0]
@@ -166,10 +168,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_docs
     """doc_id, held_out, score (0 to 1) and predicted (score >= 0.5) of every row of ``docs``.
 
     Labels are learned only for ids whose crc32(doc_id as text) mod ``folds`` is not
-    0; the others, and rows with a null id, are held out. Of conflicting labels of
+    0; the others, and rows with a null id, are held out. Of each class the
+    ``most_docs`` ids with the smallest hashes are learned from. Of conflicting labels of
     an id the toxic one counts; labels other than 0 and 1 are ignored. Null texts
     are empty, and an empty text gets the score of having no n-gram. Rows that
-    repeat get the same score. Other columns are ignored.
+    repeat get the same score. Other columns are ignored. An empty table gives an
+    empty one; without labels of both classes every score is near 0, or 1 if all are toxic.
     """
     model = docs.sparkSession.sparkContext.broadcast(_trained(docs, labels, folds, most_docs, options))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(True))
@@ -179,7 +183,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_docs
 def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, most_docs: int = 4000, threshold: float = 0.5, **options) -> DataFrame:
     """The rows of ``docs``, with their columns, that score below ``threshold``.
 
-    Scores are a column of the scan, so nothing is shuffled.
+    Scores are a column of the scan, so nothing is shuffled. A null text is scored as an
+    empty one; rows with a null id or no label are scored too, repeated rows each; an
+    empty table stays empty.
     """
     model = docs.sparkSession.sparkContext.broadcast(_trained(docs, labels, folds, most_docs, options))
 
