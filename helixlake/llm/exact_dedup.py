@@ -1,18 +1,18 @@
 """Exact dedup by progressive refinement, on DataFrame functions alone.
 
 Rows are first told apart by their length in bytes, then by a hash of a short
-prefix, and only rows that still share both have their whole text hashed. Each
-round counts its groups with a partial sum before the shuffle, so a group that
+prefix, and only rows that still share both are told apart by the digest of their
+whole text. Each round counts its groups with a partial sum before the shuffle, so a group that
 holds a third of all rows arrives as one row per task, and the joins that carry
 the counts back are plain equi-joins that adaptive execution can split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import forget, written
 
 
 def exact_dedup(
@@ -33,44 +33,47 @@ def exact_dedup(
     texts are never read whole.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    digest = F.sha2(F.col("_text"), 256).alias("text_sha256")
     rows = docs.select(
         F.col(id_col).alias("_id"),
         text.alias("_text"),
         F.octet_length(text).alias("_len"),
         F.xxhash64(F.substring(text, 1, prefix_chars)).alias("_prefix"),
     )
+    both = ["_len", "_prefix"]
+    copies = F.count(F.lit(1)).alias("_copies")
+    if digest_all:
+        # Every digest is asked for, so it is taken where the text is read and no text
+        # is moved. Equal rows become one with a count, so that one can stay.
+        keys = written(rows.select("_id", *both, digest).groupBy("_id", *both, "text_sha256").agg(copies), "exact-keys")
+    else:
+        keys = rows.select("_id", *both, F.lit(1).cast("long").alias("_copies"))
 
     # Round 1: lengths that several rows have.
     # (Each round's groups are written: the joins then shuffle both sides themselves, and
     # adaptive execution can split a hot key or broadcast a table that turns out small.)
-    lengths = written(rows.groupBy("_len").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_len"), "exact-lengths")
+    lengths = written(keys.groupBy("_len").agg(F.sum("_copies").alias("_n")).where("_n > 1").select("_len"), "exact-lengths")
     # Round 2: among those, prefixes that several rows have.
-    prefixes = written(
-        rows.select("_len", "_prefix")
-        .join(lengths, "_len", "left_semi")
-        .groupBy("_len", "_prefix")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where("_n > 1")
-        .select("_len", "_prefix", F.lit(True).alias("_alike")),
-        "exact-prefixes",
-    )
-    # Round 3: whole texts of the rows that are left. Only digests go on from here.
-    digest = F.sha2(F.col("_text"), 256)
-    hashed = rows.join(prefixes, ["_len", "_prefix"], "left").select(
-        "_id", "_len", "_prefix", (digest if digest_all else F.when(F.col("_alike"), digest)).alias("text_sha256"), F.coalesce("_alike", F.lit(False)).alias("_alike")
-    )
-    # Equal rows (same id, same text) become one row with a count, so that one can stay.
-    narrow = written(hashed.groupBy("_id", "_len", "_prefix", "text_sha256", "_alike").agg(F.count(F.lit(1)).alias("_copies")), "exact-dedup")
-    groups = narrow.where("_alike").groupBy(F.col("text_sha256").alias("_sha")).agg(F.max("_id").alias("_keep"), F.sum("_copies").alias("_size")).where("_size > 1")
+    shared = keys.select(*both, "_copies").join(lengths, "_len", "left_semi").groupBy(*both).agg(F.sum("_copies").alias("_n"))
+    prefixes = written(shared.where("_n > 1").select(*both), "exact-prefixes")
+    forget(lengths)
+    # Round 3: whole texts of the rows that are left.
+    if digest_all:
+        alike = keys.join(prefixes, both, "left_semi")
+        alone = keys.join(prefixes, both, "left_anti")
+    else:
+        left = rows.join(prefixes, both, "left_semi").select("_id", *both, digest).groupBy("_id", *both, "text_sha256").agg(copies)
+        alike = written(left, "exact-keys")
+        alone = keys.join(prefixes, both, "left_anti").withColumn("text_sha256", F.lit(None).cast("string"))
+    groups = alike.groupBy(F.col("text_sha256").alias("_sha")).agg(F.max("_id").alias("_keep"), F.sum("_copies").alias("_size")).where("_size > 1")
     groups = written(groups, "exact-groups")
-    # Rows that are alone have no digest to join on: they go past the join, else all
-    # their nulls would meet in one task.
-    alike = narrow.where("_alike").join(groups, F.col("text_sha256") == F.col("_sha"), "left").select(
+    # Rows that are alone go past the join, which has the digests of the others alone.
+    met = alike.join(groups, F.col("text_sha256") == F.col("_sha"), "left").select(
         "_id", F.when(F.col("_sha").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("keep_id"), F.coalesce("_size", "_copies").alias("group_size"), "text_sha256", "_copies"
     )
-    alone = narrow.where("not _alike").select("_id", F.col("_id").alias("keep_id"), F.col("_copies").alias("group_size"), "text_sha256", "_copies")
+    lone = alone.select("_id", F.col("_id").alias("keep_id"), F.col("_copies").alias("group_size"), "text_sha256", "_copies")
     return (
-        alike.unionAll(alone)
+        met.unionAll(lone)
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
         .select(
             F.col("_id").alias(id_col),
@@ -88,17 +91,23 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A row stays if it is the kept row of its group. Rows that repeat with the
     same id and text are the same document: one of them stays.
     """
-    decided = exact_dedup(docs, id_col, text_col)
+    decided = exact_dedup(docs, id_col, text_col, digest_all=True)
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    lost = (
+    lost = written(
         decided.where(F.col("group_size") > 1)
         .groupBy(key(id_col).alias("key"), F.col("text_sha256").alias("sha"))
         .agg(F.count_if("kept").alias("kept"), F.count(F.lit(1)).alias("all"))
         .where("kept < all")
-        .select("key", "sha", (F.col("kept") > 0).alias("some"))
+        .select("key", "sha", (F.col("kept") > 0).alias("some")),
+        "exact-lost",
     )
     # The row goes through as a struct, so no column of it can clash with these.
     rows = docs.select(F.struct("*").alias("row"), key(id_col).alias("key"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha"))
-    nth = F.row_number().over(Window.partitionBy("key", "sha").orderBy("key"))
-    joined = rows.join(written(lost, "exact-lost"), ["key", "sha"], "left").withColumn("nth", nth)
-    return joined.where("some is null or (some and nth = 1)").select("row.*")
+    # Only the keys of the rows that go are met, not every text: while they are few, the
+    # table's size lets Spark broadcast them and no text is moved.
+    single = rows.join(lost.select("key", "sha"), ["key", "sha"], "left_anti").select("row.*")
+    repeated = lost.where("some")
+    if repeated.isEmpty():
+        return single
+    first = rows.join(repeated.select("key", "sha"), ["key", "sha"], "left_semi").groupBy("key", "sha").agg(F.first("row").alias("row"))
+    return single.unionAll(first.select("row.*"))
