@@ -155,6 +155,11 @@ def test_warc_round_trip(spark):
         assert r.payload_digest == b32encode(hashlib.sha1(r.payload).digest()).decode()
         head, _, body = bytes(r.record).partition(b"\r\n\r\n")
         assert body == (bytes(r.payload) if r.record_type == "response" else b"") + b"\r\n\r\n" and head.startswith(b"WARC/1.1\r\n")
+    heads = [bytes(r.record).partition(b"\r\n\r\n")[0].decode().split("\r\n") for r in got]
+    ids = [x for h in heads for x in h if x.startswith("WARC-Record-ID: ")]
+    assert len(set(ids)) == len(rows) and all(any(x.startswith("WARC-Date: ") for x in h) for h in heads)
+    named = {x.split(": ")[1] for x in ids}
+    assert all(x.split(": ")[1] in named for h in heads for x in h if x.startswith("WARC-Refers-To: "))
     assert [bytes(by[i][0].payload) for i in (1, 3, 6)] == ["<p>é</p>".encode(), b"", b"x\r\n\r\ny"]
     assert (by[1][0].record_type, by[1][0].refers_to, by[2][0].record_type) == ("revisit", 2, "response")
     assert sorted(r.record_type for r in by[5]) == ["response", "revisit"] and by[None][0].refers_to == 5
@@ -592,3 +597,47 @@ def test_toxicity_odds_do_not_depend_on_the_sample(spark):
 def test_spelt_addresses_are_proposed_next_to_others():
     text = "write to ann@example.com or bob AT host DOT org"
     assert ("email", text.index("bob"), len(text)) in pii.candidates(text)
+
+
+def plain_grams(text):
+    """Letters in lower case, one blank for all else between, as strings of 4 and 5."""
+    s = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    s = " " + " ".join(s.split()) + " " if s.split() else " "
+    return {s[k : k + n] for n in (4, 5) for k in range(len(s) - n + 1)}
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(160):
+        t = [rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) + ("ly" if rng.random() < 0.3 else "") for _ in range(rng.randint(0, 12))]
+        rows.append((i, " ".join(t + (["vile", "Horrid!"] if i % 3 == 0 and rng.random() < 0.9 else [])), "en", "s", 1))
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(160)]
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    grams = {i: plain_grams(t) for i, t, *_ in rows}
+    train = [i for i in range(160) if zlib.crc32(str(i).encode()) % 5]
+    y = np.array([float(i % 3 == 0) for i in train])
+    seen = Counter(g for i in train for g in grams[i])
+    features = sorted(g for g, n in seen.items() if n >= 3)  # fewer than the operator keeps
+    assert len(features) < 4096
+    x = np.array([[float(g in grams[i]) for g in features] for i in range(160)])
+    own = x[train]
+    ratio = np.log(((own[y == 1].sum(0) + 1) / (y.sum() + 2)) / ((own[y == 0].sum(0) + 1) / ((1 - y).sum() + 2)))
+    z = own * ratio
+    w, m, v = (np.zeros(len(features) + 1) for _ in range(3))
+    w[-1] = np.log((y.sum() + 1) / ((1 - y).sum() + 1))
+    for t in range(1, 151):
+        error = 1 / (1 + np.exp(-(z @ w[:-1] + w[-1]))) - y
+        grad = np.append(z.T @ error / len(y) + 1e-4 * w[:-1], error.mean())
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    want = 1 / (1 + np.exp(-((x * ratio) @ w[:-1] + w[-1])))
+    assert all(got[i] == pytest.approx(want[i], abs=0.02) for i in range(160))  # buckets may hold two n-grams
+
+
+def test_toxicity_sample_has_one_text_an_id(spark):
+    rows = [(i, "vile words" if i % 2 else "kind words", "en", "s", 1) for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    once = {r.doc_id: r.score for r in toxicity.score_toxicity(spark.createDataFrame(rows, DOCS), labels).collect()}
+    many = toxicity.score_toxicity(spark.createDataFrame(rows + [rows[1]] * 300, DOCS), labels).collect()
+    assert len(many) == 340 and all(r.score == pytest.approx(once[r.doc_id]) for r in many)
