@@ -641,3 +641,36 @@ def test_toxicity_sample_has_one_text_an_id(spark):
     once = {r.doc_id: r.score for r in toxicity.score_toxicity(spark.createDataFrame(rows, DOCS), labels).collect()}
     many = toxicity.score_toxicity(spark.createDataFrame(rows + [rows[1]] * 300, DOCS), labels).collect()
     assert len(many) == 340 and all(r.score == pytest.approx(once[r.doc_id]) for r in many)
+
+
+def plain_profile(texts):
+    """N-grams of 1 to 3 characters by (count descending, code points from the last)."""
+    count = Counter()
+    for text in texts:
+        s = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        s = s if s.strip() else " "
+        for k in range(len(s)):
+            count.update([g for g in (s[k], s[k : k + 2]) if g != " " and len(s) >= k + len(g)][: 2 if k + 1 < len(s) else 1])
+            if k + 2 < len(s) and s[k + 1] != " ":
+                count[s[k : k + 3]] += 1
+    number = lambda g: sum(ord(c) << 21 * i for i, c in enumerate(g))
+    return sorted(count, key=lambda g: (-count[g], number(g)))[:300]
+
+
+def test_language_equals_a_plain_version(spark):
+    rng = random.Random(12)
+    vocabulary = {"aa": "the quick brown foxes jump over lazy dogs".split(), "bb": "der schnelle braune fuchs springt über faule hunde".split(), "cc": "le renard brun saute par-dessus un chien".split()}
+    rows = [(i, " ".join(rng.choices(vocabulary[lang], k=rng.randint(1, 30))), lang, "s", 1) for i in range(90) for lang in [rng.choice(sorted(vocabulary))]]
+    rows += [(90, None, "aa", "s", 1), (91, "12 -- 3", "aa", "s", 1), (92, "fuchs dogs", None, "s", 1)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    profiles = {lang: plain_profile([t for i, t, own, *_ in rows if own == lang and t is not None and i not in held]) for lang in vocabulary}
+    for i, text, *_ in rows:
+        assert got[i].held_out == (i in held)
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        top = plain_profile([text])
+        apart = {lang: sum(abs(p.index(g) - k) if g in p else 300 for k, g in enumerate(top)) for lang, p in profiles.items()}
+        best = min(sorted(apart), key=apart.get)
+        assert got[i].lang_pred == best and got[i].score == pytest.approx(1 - apart[best] / (300 * len(top)))
