@@ -305,14 +305,13 @@ def nearest_neighbor_block(spark, sf):
 
 @query(
     "interval_overlap_join",
-    f"""WITH {_INTERVALS}, small AS (SELECT * FROM iv WHERE block_id % 7 = 0 AND sign = -1)
+    f"""WITH {_INTERVALS}
 SELECT a.seq_id, a.block_id, a."start", a."end", b.block_id AS r_block_id, b."start" AS r_start, b."end" AS r_end
-FROM iv a JOIN small b ON a.seq_id = b.seq_id AND a."start" < b."end" AND b."start" < a."end" """,
+FROM iv a JOIN iv b ON a.seq_id = b.seq_id AND a."start" < b."end" AND b."start" < a."end" """,
 )
 def interval_overlap_join(spark, sf):
-    iv = fixtures.intervals_from_lineitem(spark, sf)
-    other = iv.where("block_id % 7 = 0 and sign = -1").drop("sign")
-    return intervals.range_join(iv.drop("sign"), other, ["seq_id"], 64)
+    iv = fixtures.intervals_from_lineitem(spark, sf).drop("sign")
+    return intervals.range_join(iv, iv, ["seq_id"], 64)
 
 
 @query(
@@ -437,13 +436,13 @@ def block_coordinates(spark, sf):
 
 @query(
     "block_sequences",
-    f"""WITH {_SEQS}, p AS (SELECT chr, CASE WHEN chr % 3 = 0 THEN -1 ELSE 1 END AS sign, substr(seq, 1, 200) AS own, least(200, length(seq)) AS e, description FROM seqs WHERE length(seq) > 0)
+    f"""WITH {_SEQS}, p AS (SELECT chr, CASE WHEN chr % 3 = 0 THEN -1 ELSE 1 END AS sign, seq AS own, length(seq) AS e, description FROM seqs WHERE length(seq) > 0)
 SELECT chr AS block_id, chr, 0 AS "start", 'Seq="' || description || '",Strand=''' || CASE WHEN sign > 0 THEN '+' ELSE '-' END || ''',Block_id=' || chr || ',Start=' || CASE WHEN sign > 0 THEN 1 ELSE e END || ',End=' || CASE WHEN sign > 0 THEN e ELSE 1 END AS header,
 rtrim(regexp_replace(CASE WHEN sign > 0 THEN own ELSE reverse(translate(own, 'ACGT', 'TGCA')) END, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10)) AS body FROM p""".replace("\\\\1", "\\1"),
 )
 def block_sequences(spark, sf):
     seqs = _seqs(spark, sf)
-    found = seqs.where("length(seq) > 0").select(F.col("chr").alias("block_id"), F.when(F.col("chr") % 3 == 0, -1).otherwise(1).alias("sign"), "chr", F.lit(0).alias("start"), F.least(F.lit(200), F.length("seq")).alias("end"))
+    found = seqs.where("length(seq) > 0").select(F.col("chr").alias("block_id"), F.when(F.col("chr") % 3 == 0, -1).otherwise(1).alias("sign"), "chr", F.lit(0).alias("start"), F.length("seq").alias("end"))
     return reports.block_sequences(found, seqs)
 
 
@@ -721,7 +720,7 @@ def global_alignment(spark, sf):
 
 @query("multiple_alignment")
 def multiple_alignment(spark, sf):
-    seqs = _seqs(spark, sf).where("length(seq) >= 20")
+    seqs = _seqs(spark, sf).where("length(seq) > 0")
     rows = seqs.select((F.col("chr") / 4).cast("long").alias("group_id"), F.col("chr").alias("row"), "seq")
     return multiple.align_groups(_spread(rows, "group_id"))
 
@@ -862,11 +861,11 @@ def mask_ranges(spark, sf):
     return utilities.masked_ranges(seqs, ranges)
 
 
-_SAM_BLOCKS = """p AS (SELECT chr, chr AS block_id, CASE WHEN chr % 3 = 0 THEN -1 ELSE 1 END AS sign, least(chr % 9, length(seq)) AS s, least(150, length(seq)) AS e, seq, description FROM seqs WHERE length(seq) > 10)"""
+_SAM_BLOCKS = """p AS (SELECT chr, chr AS block_id, CASE WHEN chr % 3 = 0 THEN -1 ELSE 1 END AS sign, least(chr % 9, length(seq)) AS s, length(seq) AS e, seq, description FROM seqs WHERE length(seq) > 10)"""
 
 
 def _own_blocks(seqs):
-    return seqs.where("length(seq) > 10").select(F.col("chr").alias("block_id"), F.when(F.col("chr") % 3 == 0, -1).otherwise(1).alias("sign"), "chr", (F.col("chr") % 9).cast("int").alias("start"), F.least(F.lit(150), F.length("seq")).alias("end"))
+    return seqs.where("length(seq) > 10").select(F.col("chr").alias("block_id"), F.when(F.col("chr") % 3 == 0, -1).otherwise(1).alias("sign"), "chr", (F.col("chr") % 9).cast("int").alias("start"), F.length("seq").alias("end"))
 
 
 @query("block_sam", f"""WITH {_SEQS}, {_SAM_BLOCKS} SELECT CAST(block_id AS VARCHAR) AS qname, CASE WHEN sign > 0 THEN 0 ELSE 16 END AS flag, 'd' || chr AS rname, CAST(s + 1 AS INTEGER) AS pos, 255 AS mapq, CAST(e - s AS VARCHAR) || 'M' AS cigar,
