@@ -87,6 +87,23 @@ def block_alignments(blocks: DataFrame, seqs: DataFrame, min_size: int, aligner)
     return aligner(pairs).select("pair_id", "a", "b").join(unique.select(F.col("block_id").cast("long").alias("pair_id"), "r_chr", "r_start", "a_chr"), "pair_id")
 
 
+def copy_alignments(blocks: DataFrame, seqs: DataFrame, min_size: int) -> DataFrame:
+    """Blocks that are not unique, all their instances aligned at once, each read on its own strand.
+
+    block_id, row, chr, start, end, sign, body; ``row`` numbers a block's instances by place.
+    One task aligns one block; more than 63 instances are an error, as the aligner takes no more.
+    """
+    from .multiple import align_groups
+
+    unique = unique_blocks(blocks, seqs, min_size).select("block_id")
+    order = Window.partitionBy("block_id").orderBy("chr", "start", "end", "sign")
+    rest = blocks.join(unique, "block_id", "left_anti").select("block_id", "chr", "start", "end", "sign").withColumn("row", F.row_number().over(order))
+    own = F.substring("seq", F.col("start") + 1, F.col("end") - F.col("start"))
+    rows = rest.join(seqs.select("chr", "seq"), "chr").select(F.col("block_id").cast("long").alias("group_id"), "row", F.when(F.col("sign") > 0, own).otherwise(reverse_complement(own)).alias("seq"))
+    body = align_groups(rows).withColumnRenamed("group_id", "block_id")
+    return rest.withColumn("block_id", F.col("block_id").cast("long")).join(body, ["block_id", "row"])
+
+
 def in_blocks(aligned: DataFrame) -> DataFrame:
     """Variants in reference coordinates (1-based) from ``block_alignments``."""
     found = from_alignments(aligned.select("pair_id", "a", "b"))
@@ -149,14 +166,18 @@ def large_indels(blocks: DataFrame, seqs: DataFrame, min_size: int, last_stage:
     return deletion.unionByName(insertion), unplaced
 
 
-def breakends(unplaced: DataFrame, reference_name: str, first_base: str, reference_size: int) -> DataFrame:
-    """Two imprecise records per unplaced insertion, at position 1 of the reference."""
+def breakends(unplaced: DataFrame, seqs: DataFrame, reference_name: str, first_base: str, reference_size: int) -> DataFrame:
+    """Two imprecise records per unplaced insertion, at position 1 of the reference.
+
+    Contigs go by their descriptions, and records by contig, place and letters.
+    """
     from .kmers import numbered
 
     key = F.struct("contig", "assembly_pos", "alt")
-    rows = numbered(unplaced.withColumn("_k", key), "_k", "i").drop("_k")
+    named = unplaced.join(seqs.select(F.col("chr").alias("contig"), "description"), "contig", "left")
+    rows = numbered(named.withColumn("_k", key), "_k", "i").drop("_k")
     start, end = F.col("assembly_pos") + 1, F.col("assembly_pos") + 1 + F.length("alt")
-    place = lambda p: F.concat(F.col("contig").cast("string"), F.lit(":"), p.cast("string"))
+    place = lambda p: F.concat(F.coalesce("description", F.col("contig").cast("string")), F.lit(":"), p.cast("string"))
     two = F.array(
         F.struct((F.col("i") * 2).alias("n"), F.concat(F.lit(first_base + "["), place(start), F.lit("[")).alias("alt")),
         F.struct((F.col("i") * 2 + 1).alias("n"), F.concat(F.lit("]"), place(end), F.lit("]" + first_base)).alias("alt")),
@@ -177,4 +198,4 @@ def signed_coordinates(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("c_start", conventional_start("sign", "start", "end")).withColumn("c_end", conventional_end("sign", "start", "end"))
 
 
-__all__ = ["assert_unique_ids", "block_alignments", "breakends", "columns", "from_alignments", "in_blocks", "large_indels", "last_cover", "runs", "segments", "signed_coordinates", "two_sided", "uncovered"]
+__all__ = ["assert_unique_ids", "block_alignments", "breakends", "columns", "copy_alignments", "from_alignments", "in_blocks", "large_indels", "last_cover", "runs", "segments", "signed_coordinates", "two_sided", "uncovered"]

@@ -15,6 +15,7 @@ from ..functions import sequence as S
 from ..operators import align, blocks, intervals, kmers, multiple, postprocess, reports, simplify, utilities, variants
 from ..session import stored
 from ..sources import fixtures
+from ..sources.sinks import vcf_header
 
 K, LEAST, REACH = 30, 60, 150
 
@@ -907,26 +908,28 @@ def coordinate_text_round_trip(spark, sf):
 
 @query(
     "vcf_records",
-    f"""WITH found AS ({_SQL["variants_from_alignment"]}) SELECT CAST(pair_id AS INTEGER) AS chr,
-concat_ws(chr(9), pair_id, "offset" + 1, '.', coalesce(nullif(ref, ''), '.'), coalesce(nullif(alt, ''), '.'), '.', '.', '.') AS value FROM found""",
+    f"""WITH found AS ({_SQL["variants_from_alignment"]}), {_SEQS}, v AS (SELECT CAST("offset" + 1 AS INTEGER) AS pos, ref, alt, description AS id, 'd' || chr AS accession FROM found JOIN seqs ON chr = pair_id)
+SELECT 0 AS part, NULL AS id, CAST(NULL AS INTEGER) AS pos, '{vcf_header("d0")}' AS value
+UNION ALL SELECT 2, id, pos, concat_ws(chr(9), accession, pos, '.', coalesce(nullif(ref, ''), '.'), coalesce(nullif(alt, ''), '.'), '.', '.', '.') FROM v""",
 )
 def vcf_records(spark, sf):
     from ..sources.sinks import vcf_lines
 
     found = variants.from_alignments(fixtures.aligned_from_documents(spark, sf))
     rows = found.select(F.col("pair_id").cast("int").alias("chr"), (F.col("offset") + 1).alias("pos"), "ref", "alt")
-    return vcf_lines(rows, "reference").where("part = 1").select("chr", "value")
+    return vcf_lines(rows, _seqs(spark, sf), "d0")
 
 
 @query("breakend_records", f"""WITH {_GAPS}, big AS (SELECT chr, gap_start, gap_end - gap_start AS n, substr(repeat('ACGTTGCA', 12513), CAST(gap_start + 1 AS BIGINT), CAST(gap_end - gap_start AS BIGINT)) AS alt FROM gaps WHERE gap_end - gap_start > 60 AND chr % 2 <> 0),
 o AS (SELECT *, row_number() OVER (ORDER BY chr, gap_start, alt) - 1 AS i FROM big)
-SELECT 'ref' AS chrom, 1 AS pos, 'bnd_' || (2 * i + side) AS id, 'A' AS ref, CASE WHEN side = 0 THEN 'A[' || chr || ':' || (gap_start + 1) || '[' ELSE ']' || chr || ':' || (gap_start + 1 + n) || ']A' END AS alt, 'IMPRECISE;SVTYPE=BND;CIPOS=0,100104' AS info
+SELECT 'ref' AS chrom, 1 AS pos, 'bnd_' || (2 * i + side) AS id, 'A' AS ref, CASE WHEN side = 0 THEN 'A[contig' || chr || ':' || (gap_start + 1) || '[' ELSE ']contig' || chr || ':' || (gap_start + 1 + n) || ']A' END AS alt, 'IMPRECISE;SVTYPE=BND;CIPOS=0,100104' AS info
 FROM o CROSS JOIN (SELECT unnest([0, 1]) AS side)""")
 def breakend_records(spark, sf):
     found, seqs = _two_sided(spark, sf)
     gaps = variants.uncovered(found, seqs, 60).where("file_idx <> 0").join(seqs.select("chr", "seq"), "chr")
     rows = gaps.select(F.col("chr").alias("contig"), F.col("gap_start").cast("int").alias("assembly_pos"), F.substring("seq", F.col("gap_start") + 1, F.col("gap_end") - F.col("gap_start")).alias("alt"))
-    return variants.breakends(rows, "ref", "A", 100_104)
+    names = seqs.select("chr", F.concat(F.lit("contig"), F.col("chr").cast("string")).alias("description"))
+    return variants.breakends(rows, names, "ref", "A", 100_104)
 
 
 @query("maf_text", f"""WITH {_ALIGNED}, r AS (SELECT pair_id AS block_id, 's ref 0 ' || length(replace(a, '-', '')) || ' + ' || length(replace(a, '-', '')) || ' ' || a AS l FROM aligned

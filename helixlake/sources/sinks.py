@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import conventional_end, conventional_start, wrapped
+from ..functions.sequence import accession, conventional_end, conventional_start, wrapped
 from ..operators import reports
 from ..operators.postprocess import permutations
 
@@ -82,13 +82,38 @@ def vcf_header(reference: str) -> str:
     )
 
 
-def vcf_lines(variants: DataFrame, reference: str) -> DataFrame:
-    """Header and records; missing values are dots. Sorted by ``part``, chr, pos."""
+def vcf_lines(variants: DataFrame, seqs: DataFrame, reference: str, breakends: DataFrame | None = None) -> DataFrame:
+    """Header, breakend records and variants; missing values are dots. To be sorted by part, id, pos.
+
+    A record names its sequence by the accession in its description; ``id`` is the whole
+    description, by which records are ordered.
+    """
     spark = variants.sparkSession
-    dot = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("."))
-    record = F.concat_ws("\t", dot("chr"), dot("pos"), F.lit("."), dot("ref"), dot("alt"), F.lit("."), F.lit("."), F.lit("."))
-    head = spark.createDataFrame([(0, None, None, vcf_header(reference))], "part int, chr int, pos int, value string")
-    return head.unionByName(variants.select(F.lit(1).alias("part"), F.col("chr").cast("int").alias("chr"), F.col("pos").cast("int").alias("pos"), record.alias("value")))
+    dot = lambda c: F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit("."))
+    rows = variants.join(seqs.select("chr", F.col("description").alias("id")), "chr", "left")
+    record = F.concat_ws("\t", dot(accession("id")), dot(F.col("pos")), F.lit("."), dot(F.col("ref")), dot(F.col("alt")), F.lit("."), F.lit("."), F.lit("."))
+    head = spark.createDataFrame([(0, None, None, vcf_header(reference))], "part int, id string, pos int, value string")
+    lines = head.unionByName(rows.select(F.lit(2).alias("part"), "id", F.col("pos").cast("int").alias("pos"), record.alias("value")))
+    if breakends is not None:
+        mate = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.col("id"), "ref", "alt", F.lit("."), F.lit("."), "info")
+        lines = lines.unionByName(breakends.select(F.lit(1).alias("part"), "id", "pos", mate.alias("value")))
+    return lines
+
+
+def unplaced_fasta_lines(unplaced: DataFrame, seqs: DataFrame, width: int = 60) -> DataFrame:
+    """Insertions without a place on the reference, one FASTA record each; the heading's quotes are the format's."""
+    rows = unplaced.join(seqs.select(F.col("chr").alias("contig"), F.col("description").alias("id")), "contig", "left")
+    start, end = (F.col("assembly_pos") + 1).cast("string"), (F.col("assembly_pos") + F.length("alt")).cast("string")
+    heading = F.concat(F.lit('>Seq="'), F.coalesce("id", F.lit(".")), F.lit('",Start='), start, F.lit('",End='), end)
+    return rows.select("id", "assembly_pos", F.concat(heading, F.lit("\n"), wrapped("alt", width)).alias("value"))
+
+
+def unplaced_table_lines(unplaced: DataFrame, seqs: DataFrame) -> DataFrame:
+    """The same insertions as a table with a heading. To be sorted by part, id, assembly_pos."""
+    rows = unplaced.join(seqs.select(F.col("chr").alias("contig"), F.col("description").alias("id")), "contig", "left")
+    record = F.concat_ws("\t", F.coalesce("id", F.lit(".")), (F.col("assembly_pos") + 1).cast("string"), "alt")
+    head = unplaced.sparkSession.createDataFrame([(0, None, None, "SEQ_ID\tPOS\tFRAGMENT")], "part int, id string, assembly_pos int, value string")
+    return head.unionByName(rows.select(F.lit(1).alias("part"), "id", F.col("assembly_pos").cast("int").alias("assembly_pos"), record.alias("value")))
 
 
 def maf_lines(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from helixlake.functions import sequence as S
 from helixlake.operators import align, blocks, intervals, kmers, postprocess, simplify, variants
 from helixlake.plans import catalog
-from helixlake.plans.pipeline import call_variants, find_blocks
+from helixlake.plans.pipeline import CALLER, call_variants, find_blocks
 from helixlake.sources import fasta, sinks, stages
 from pyspark.sql import functions as F
 
@@ -243,6 +243,38 @@ def test_variants_turn_the_reference_into_the_assembly(spark):
     assert text == other
 
 
+def test_records_name_sequences_and_keep_their_order(spark):
+    seqs = spark.createDataFrame([(0, 0, "gi|7|ref|NC_1.2|", "ACGT"), (1, 0, "plain", "AC"), (2, 1, "contig_b", "A" * 80)], SCHEMA)
+    found = spark.createDataFrame([(1, 5, "A", ""), (0, 9, "C", "G"), (0, 2, "", "T"), (8, 1, "A", "C")], "chr int, pos int, ref string, alt string")
+    unplaced = spark.createDataFrame([(2, 9, "A" * 70)], "contig int, assembly_pos int, alt string")
+    mates = variants.breakends(unplaced, seqs, "NC_1", "A", 4)
+    rows = [r.value for r in sinks.vcf_lines(found, seqs, "NC_1", mates).orderBy("part", "id", "pos").collect()]
+    assert rows[0] == sinks.vcf_header("NC_1")
+    tail = "\t.\t.\tIMPRECISE;SVTYPE=BND;CIPOS=0,4"
+    assert rows[1:3] == ["NC_1\t1\tbnd_0\tA\tA[contig_b:10[" + tail, "NC_1\t1\tbnd_1\tA\t]contig_b:80]A" + tail]
+    assert rows[3:] == [f"{c}\t{p}\t.\t{r}\t{a}\t.\t.\t." for c, p, r, a in ((".", 1, "A", "C"), ("NC_1", 2, ".", "T"), ("NC_1", 9, "C", "G"), ("plain", 5, "A", "."))]
+    assert [r.value for r in sinks.unplaced_fasta_lines(unplaced, seqs).collect()] == ['>Seq="contig_b",Start=10",End=79\n' + "A" * 60 + "\n" + "A" * 10]
+    assert [r.value for r in sinks.unplaced_table_lines(unplaced, seqs).orderBy("part").collect()] == ["SEQ_ID\tPOS\tFRAGMENT", "contig_b\t10\t" + "A" * 70]
+
+
+def test_blocks_with_more_copies_are_aligned_too(spark):
+    core = letters(21, 40)
+    seqs = make(spark, core + "GG" + core, rc(core), core[:20] + "T" + core[20:])
+    found = spark.createDataFrame([(1, 1, 0, 0, 40), (1, 1, 0, 42, 82), (1, -1, 1, 0, 40), (1, 1, 2, 0, 41), (2, 1, 0, 0, 5), (2, 1, 1, 0, 5)], "block_id int, sign int, chr int, start int, end int")
+    rows = variants.copy_alignments(found, seqs, 3).orderBy("row").collect()
+    assert [(r.block_id, r.chr, r.start) for r in rows] == [(1, 0, 0), (1, 0, 42), (1, 1, 0), (1, 2, 0)]
+    assert [r.body.replace("-", "") for r in rows] == [core, core, core, core[:20] + "T" + core[20:]] and {len(r.body) for r in rows} == {41}
+    assert not variants.copy_alignments(found.where("block_id = 2"), seqs, 3).count()
+
+
+def test_caller_options_turn_the_reference_into_the_assembly(spark):
+    core = letters(12, 300)
+    other = core[:150] + ("A" if core[150] != "A" else "C") + core[151:]
+    found = call_variants(make(spark, core, other), min_block_size=80, stages=[(20, 60)], max_iterations=2, align_copies=True, **CALLER)
+    assert [(r.chr, r.pos, r.ref, r.alt) for r in found.variants.collect()] == [(0, 151, core[150], other[150])]
+    assert found.copies.count() == 0
+
+
 def test_identifiers_and_wrapping(spark):
     row = spark.createDataFrame([("gi|1|ref|NC_000.1|", "A" * 165)], "d string, s string").select(S.stripped_id("d"), S.accession("d"), S.wrapped("s"), S.translated(F.lit("ATGGCCTAN")), S.replace_ambiguous(F.lit(1), F.lit("ANNT"))).first()
     assert row[0] == "NC_000" and row[1] == "NC_000" and [len(x) for x in row[2].split("\n")] == [80, 80, 5]
