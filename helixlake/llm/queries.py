@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, pii, simhash, substring_dedup, topk, toxicity, warc_store
-from ._shared import table
+from . import exact_dedup, langid, mixing, packing, pii, quality_rules, simhash, substring_dedup, topk, toxicity, warc_store
+from ._shared import table, written
 
 
 def public_tokenizer(name: str) -> str:
@@ -65,6 +65,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = written(quality_rules.quality_ledger(table(spark, sf_dir, "documents")), "quality-ledger")
+    base = F.col("failures").bitwiseAND(F.lit(quality_rules.mask(("few_words", "repeated_words"))).cast("long"))
+    return quality_rules.apply_policy(ledger, quality_rules.POLICIES[-1]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (base != 0).alias("base_failed"), "kept", "failures"
+    )
+
+
 _OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
 g AS (SELECT t, max(page_id) AS leader FROM p GROUP BY t)
@@ -119,6 +127,29 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+_OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+e AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos, len(ws) AS n FROM e),
+k AS (SELECT rid, pos, n, string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS key FROM w),
+f AS (SELECT rid, pos, pos + 2 <= n AND count(*) FILTER (pos + 2 <= n) OVER (PARTITION BY rid, key) > 1 AS twice FROM k),
+c AS (SELECT rid, max(CASE WHEN twice THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS hit FROM f),
+r AS (SELECT rid, sum(hit) AS n_repeat_words FROM c GROUP BY rid),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(ls) AS n_lines,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines,
+    length(t) - length(regexp_replace(t, '\pL+', '', 'g')) AS n_letters
+  FROM e LEFT JOIN r USING (rid)),
+b AS (SELECT *, n_words < 50 AS f0, 100 * n_repeat_words > 50 * n_words AS f1, 10 * n_symbols > n_words AS f2, 10 * n_dup_lines > 3 * n_lines AS f3,
+    word_chars < 2 * n_words AS f4, word_chars > 20 * n_words AS f5, 2 * n_letters < word_chars AS f6, 10 * n_bullet_lines > 9 * n_lines AS f7 FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 OR f1 AS base_failed,
+  NOT (f0 OR f1 OR f2 OR f6) AND f3::INT + f4::INT + f5::INT + f7::INT <= 1 AS kept,
+  CAST(f0::INT + 2 * f1::INT + 4 * f2::INT + 8 * f3::INT + 16 * f4::INT + 32 * f5::INT + 64 * f6::INT + 128 * f7::INT AS BIGINT) AS failures
+FROM b
+"""
+
 
 def queries():
     return {
@@ -132,8 +163,9 @@ def queries():
         "op8_topk": op8_topk,
         "op9_packing": op9_packing,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_quality_rules": op11_quality_rules,
     }
 
 
 def oracle_sql():
-    return {"op2_warc": _OP2_SQL, "op3_mixing": _OP3_SQL, "op7_substring_dedup": _OP7_SQL, "op8_topk": _OP8_SQL, "op10_exact_dedup": _OP10_SQL}
+    return {"op2_warc": _OP2_SQL, "op3_mixing": _OP3_SQL, "op7_substring_dedup": _OP7_SQL, "op8_topk": _OP8_SQL, "op10_exact_dedup": _OP10_SQL, "op11_quality_rules": _OP11_SQL}
