@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, pii, quality_rules, simhash, substring_dedup, topk, toxicity, warc_store
+from . import exact_dedup, langid, mixing, packing, pii, quality_rules, simhash, substring_dedup, token_alignment, topk, toxicity, warc_store
 from ._shared import table, written
 
 
@@ -73,6 +73,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), public_tokenizer("piece_bpe_32k.model"))
+
+
 _OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
 g AS (SELECT t, max(page_id) AS leader FROM p GROUP BY t)
@@ -164,6 +168,7 @@ def queries():
         "op9_packing": op9_packing,
         "op10_exact_dedup": op10_exact_dedup,
         "op11_quality_rules": op11_quality_rules,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 

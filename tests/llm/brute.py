@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections import defaultdict
 
 from xxhash import xxh64_intdigest
@@ -79,3 +80,55 @@ def pieces(rows, tokenizer, most=2048):
             b = cut[k + 1] if k + 1 < len(cut) else len(ids)
             out[(d, k)].append((a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())))
     return out
+
+
+def token_alignment(rows, a_path, b_path):
+    """rows: (doc_id, text). Whole texts by both tokenizers, links by comparing all byte ranges in order."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(a_path)
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in plain)}
+    docs = []
+    for d, t in rows:
+        ia = a.encode(" " + t, add_special_tokens=False).ids if t else []
+        ib = b.encode(t) if t else []
+        xa = [bytes(letter[c] for c in a.id_to_token(i)) for i in ia]
+        xb = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in ib]
+        if not t or b"".join(xa) != (" " + t).encode() or b"".join(xb) != (" " + t).encode():
+            docs.append((d, [], [], [], 0, ""))
+            continue
+
+        def ends(x):
+            out, at = [], 0
+            for w in x:
+                out.append(at := at + len(w))
+            return out
+
+        ea, eb = ends(xa), ends(xb)
+        common = sorted(set(ea) & set(eb))
+        links, j = [], 0
+        for i in range(len(ia)):
+            while eb[j] <= ea[i] - len(xa[i]):
+                j += 1
+            k = j
+            while k < len(ib) and eb[k] - len(xb[k]) < ea[i]:
+                links.append((ia[i], ib[k]))
+                k += 1
+        groups, la, lb = [], 0, 0
+        for c in common:
+            x, y = bisect_right(ea, c), bisect_right(eb, c)
+            groups.append(",".join(map(str, ia[la:x])) + "|" + ",".join(map(str, ib[lb:y])))
+            la, lb = x, y
+        docs.append((d, ia, ib, links, len(common), hashlib.sha256(";".join(groups).encode()).hexdigest()))
+    count = defaultdict(int)
+    for _, _, _, links, _, _ in docs:
+        for x in links:
+            count[x] += 1
+    most = defaultdict(int)
+    for (_, y), n in count.items():
+        most[y] = max(most[y], n)
+    return [(d, len(ia), len(ib), g, len(links), sum(count[x] == most[x[1]] for x in links), sum(count[x] for x in links), h) for d, ia, ib, links, g, h in docs]
