@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, pii, quality_rules, simhash, substring_dedup, token_alignment, topk, toxicity, warc_store
+from . import conversation_repair, exact_dedup, langid, mixing, packing, pii, quality_rules, simhash, substring_dedup, token_alignment, topk, toxicity, warc_store
 from ._shared import table, written
 
 
@@ -73,6 +73,11 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(conversation_repair.damaged(turns), turns)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), public_tokenizer("piece_bpe_32k.model"))
 
@@ -168,6 +173,7 @@ def queries():
         "op9_packing": op9_packing,
         "op10_exact_dedup": op10_exact_dedup,
         "op11_quality_rules": op11_quality_rules,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_token_alignment": op13_token_alignment,
     }
 

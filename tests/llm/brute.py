@@ -132,3 +132,67 @@ def token_alignment(rows, a_path, b_path):
     for (_, y), n in count.items():
         most[y] = max(most[y], n)
     return [(d, len(ia), len(ib), g, len(links), sum(count[x] == most[x[1]] for x in links), sum(count[x] for x in links), h) for d, ia, ib, links, g, h in docs]
+
+
+def damaged(turns):
+    """(conv_id, turn, role, text) after the damage of the contract."""
+    blank = lambda x: " " if x is None else x
+    out = []
+    for c, t, r, x in turns:
+        r, x = blank(r), blank(x)
+        fault = zlib.crc32(f"{blank(c)}:{blank(t)}".encode()) % 20
+        if fault == 0:
+            continue
+        x = "" if fault == 1 else re.sub("[.!?]", "", x) if fault == 2 else x
+        out += [(c, t, "user" if fault == 4 else r, x)] * (2 if fault == 3 else 1)
+    return out
+
+
+def repair_conversations(turns, ids=()):
+    """Whole conversations by Dijkstra over (cost, audit), so ties fall to the least string."""
+    from heapq import heappop, heappush
+
+    by = defaultdict(list, {c: [] for c in ids})
+    for c, t, r, x in turns:
+        by[c].append((t, " " if r is None else r, " " if x is None else x))
+    out = []
+    for conv, rows in by.items():
+        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(f"{r[1]}\0{r[2]}".encode()).digest()))
+        seen, faults = set(), []
+        for _, r, x in rows:
+            letters = re.findall(r"[^\x20\x09-\x0D]", x)
+            faults.append("blank" if not letters else "duplicate" if (r, x) in seen else "truncated" if letters[-1] not in ".!?" else "")
+            seen.add((r, x))
+        heap, done = [(0, "", 0, "", ())], set()
+        while True:
+            cost, audit, i, last, lines = heappop(heap)
+            if i == len(rows) and last in ("", "a"):
+                break
+            if (i, last) in done:
+                continue
+            done.add((i, last))
+            following = "a" if last == "u" else "u"
+            name = {"u": "user", "a": "assistant"}[following]
+            heappush(heap, (cost + 2, audit + "I", i, following, (*lines, f"{name}:")))
+            if i < len(rows):
+                _, r, x = rows[i]
+                heappush(heap, (cost + 3, audit + "D", i + 1, last, lines))
+                if faults[i] not in ("blank", "duplicate"):
+                    more = faults[i] == "truncated"
+                    if r[:1] == following or (r[:1] == "s" and last == ""):
+                        heappush(heap, (cost + more, audit + "K", i + 1, r[:1], (*lines, f"{r}:{x}")))
+                    heappush(heap, (cost + 2 + more, audit + "R", i + 1, following, (*lines, f"{name}:{x}")))
+        at = [t for t, _, _ in rows if t is not None]
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:], strict=False))
+        out.append((conv, max(at) - min(at) + 1 - len(set(at)) if at else 0, *[faults.count(f) for f in ("blank", "duplicate", "truncated")], illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest()))
+    return out
+
+
+def quality(doc_id, text):
+    """(doc_id, words, their code points, symbols, lines with a word, duplicate lines, words in repeated windows)."""
+    text = text or ""
+    words = WORD.findall(text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    covered = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return (doc_id, len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines), len(lines) - len(set(lines)), len(covered))

@@ -1,8 +1,12 @@
 """Quality ledger, conversation repair and tokenizer alignment against their plain versions."""
 
+import random
+
 import brute
+import pytest
+from pyspark.sql import functions as F
 
-from helixlake.llm import queries, token_alignment
+from helixlake.llm import conversation_repair, quality_rules, queries, token_alignment
 
 SF = "/root/testdata/sf0.001"
 A, B = queries.public_tokenizer("byte_bpe_50k.json"), queries.public_tokenizer("piece_bpe_32k.model")
@@ -75,3 +79,113 @@ def test_alignment_of_a_long_text(spark):
     rows = [(1, " ".join(f"word{i % 997}" for i in range(60_000))), (2, "word1 word2")]
     got = token_alignment.align_tokenizers(spark.createDataFrame(rows, "doc_id long, text string"), A, B).collect()
     assert order(tuple(r) for r in got) == order(brute.token_alignment(rows, A, B))
+
+
+# ---- conversations ---------------------------------------------------------------------------
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def conversations(seed, n, most=14):
+    """Made of few roles and texts, so that every fault and many ties occur."""
+    rng = random.Random(seed)
+    pick = rng.choice
+    return [
+        (pick([None, c]) if c == 0 else c, pick([None, t, t, t, t + rng.randint(0, 2)]), pick(["user", "assistant", "system", "tool", "", None, "ua"] + ["user", "assistant"] * 4), pick(["Yes.", "No", "", " \n", None, "Why? ", "é!", f"turn {t}.", f"turn {t}"]))
+        for c in range(n)
+        for t in range(rng.randint(0, most))
+    ]
+
+
+@pytest.mark.parametrize("bits", [8, 1])
+def test_repair_equals_search(spark, monkeypatch, bits):
+    monkeypatch.setattr(conversation_repair, "_BITS", bits)
+    turns = conversations(bits, 120)
+    ids = sorted({t[0] for t in turns} | {1000}, key=repr)
+    got = conversation_repair.repair_report(spark.createDataFrame(turns, TURNS).repartition(3), spark.createDataFrame([(i,) for i in ids], "conv_id long"))
+    assert got.columns == ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+    assert order(tuple(r) for r in got.collect()) == order(brute.repair_conversations(turns, ids))
+
+
+def test_registered_repair_on_the_whole_table(spark):
+    turns = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    got = queries.queries()["op12_conversation_repair"](spark, SF).collect()
+    assert order(tuple(r) for r in got) == order(brute.repair_conversations(brute.damaged(turns), {t[0] for t in turns}))
+
+
+def test_damage(spark):
+    turns = conversations(5, 60)
+    assert order(tuple(r) for r in conversation_repair.damaged(spark.createDataFrame(turns, TURNS)).collect()) == order(brute.damaged(turns))
+
+
+def test_one_conversation_of_many_segments(spark):
+    rng = random.Random(3)
+    turns = [(7, i, rng.choice(["user", "assistant", "assistant", "system", "x"]), rng.choice([f"t{i}.", f"t{i}", "", "again."])) for i in range(3000)] + [(8, 0, "user", "Hi.")]
+    got = conversation_repair.repair_report(spark.createDataFrame(turns, TURNS)).collect()
+    assert order(tuple(r) for r in got) == order(brute.repair_conversations(turns))
+
+
+def test_repaired_turns_and_edges(spark):
+    none = spark.createDataFrame([], TURNS)
+    assert conversation_repair.repair_report(none).count() == 0 and conversation_repair.repair(none).count() == 0
+    long = "word " * 200_000 + "end."
+    turns = [(1, 0, "user", long), (1, 1, "user", "More."), (2, 0, "assistant", "Hello.")]
+    clash = spark.createDataFrame([(*t, 1, "x", 2) for t in turns], TURNS + ", pos int, node string, signature int")
+    got = order((r.conv_id, r.role, len(r.text), r.edit) for r in conversation_repair.repair(clash).collect())
+    # ties: inserting an answer, renaming the second turn and putting a question first cost 2 each or more
+    assert [g for g in got if g[0] == 2] in ([(2, "assistant", 6, "K"), (2, "user", 0, "I")], [(2, "user", 0, "I"), (2, "assistant", 6, "K")])
+    assert {g[1:3] for g in got if g[0] == 1} >= {("user", len(long))}
+    want = {c: (cost, audit) for c, *_, cost, audit, _ in brute.repair_conversations(turns)}
+    assert {r.conv_id: (r.cost, r.audit) for r in conversation_repair.repair_report(clash).collect()} == want
+
+
+# ---- quality rules ---------------------------------------------------------------------------
+
+
+def test_ledger_equals_plain_counts(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 60))) for _ in range(120)]
+    texts += ["a\n- b\na\n\n - b\n*c", "#1 $2 | é é é é", "x x x x", "x x x", "\x0b \x1c y", "日本 日本 日本 日本"]
+    rows = AWKWARD + list(enumerate(texts, 100))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("n_words", F.lit("x")).withColumn("failures", F.lit(1))
+    got = quality_rules.quality_ledger(docs)
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+    assert order(tuple(r) for r in got.select(names).collect()) == order(brute.quality(d, t) for d, t in rows)
+    assert quality_rules.quality_ledger(docs.limit(0)).count() == 0
+
+
+def test_policies_and_ablations_from_the_ledger(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ledger = quality_rules.quality_ledger(docs)
+    rows = ledger.collect()
+    for policy in quality_rules.POLICIES:
+        failed = lambda r, names: [n for n in names if r.failures >> [x.name for x in quality_rules.RULES].index(n) & 1]
+        kept = lambda r, gone="": not [n for n in failed(r, policy.hard) if n != gone] and len([n for n in failed(r, policy.soft) if n != gone]) <= policy.most_soft
+        assert order((r.doc_id, r.kept) for r in quality_rules.apply_policy(ledger, policy).collect()) == order((r.doc_id, kept(r)) for r in rows)
+        report = {r.policy: r for r in quality_rules.policy_report(ledger).collect()}[policy.version]
+        assert (report.docs, report.kept_docs, report.kept_words) == (len(rows), sum(map(kept, rows)), sum(r.n_words for r in rows if kept(r)))
+        for a in quality_rules.ablations(ledger, policy).collect():
+            hit = [r for r in rows if failed(r, [a.rule])]
+            back = [r for r in rows if not kept(r) and kept(r, a.rule)]
+            assert (a.failed_docs, a.failed_words, a.regained_docs, a.regained_words) == (len(hit), sum(r.n_words for r in hit), len(back), sum(r.n_words for r in back))
+    with pytest.raises(KeyError):
+        quality_rules.mask(("no such rule",))
+
+
+def test_ledger_of_a_long_text_is_native(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(100_000)) + " w0 w1 w2")], "doc_id long, text string")
+    ledger = quality_rules.quality_ledger(docs)
+    assert "Python" not in ledger._jdf.queryExecution().toString() and "Exchange" not in ledger._jdf.queryExecution().toString()
+    r = ledger.collect()[0]
+    assert (r.n_words, r.n_repeat_words) == (100_003, 6)
+
+
+def test_registered_ledger_equals_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    got = queries.queries()["op11_quality_rules"](spark, SF)
+    want = con.execute(queries.oracle_sql()["op11_quality_rules"])
+    assert [c[0] for c in want.description] == got.columns
+    assert order(tuple(r) for r in got.collect()) == order(want.fetchall())
