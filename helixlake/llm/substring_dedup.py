@@ -38,7 +38,8 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from ._shared import Words, release, sliced, text_bytes, written
 
-_ANCHORS = "anchor long, region long, doc long, pos int, before int, after int"
+#: ``tag`` tells texts of one id apart.
+_ANCHORS = "anchor long, region long, doc long, tag long, pos int, before int, after int"
 #: A region as a tree sees it: its group, its name, the windows that it is for.
 _UNITS = "grp long, ua long, ub long, least long, before int, low int, high int, words string"
 _NO_ID = (1 << 63) - 1
@@ -102,7 +103,7 @@ def _anchors(words: Words, window: int, prefix: int) -> tuple[np.ndarray, np.nda
 def _scan(window: int, prefix: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            doc, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             words = Words(*text_bytes(batch.column(1)))
             at, anchor = _anchors(words, window, prefix)
             row = np.searchsorted(words.first, at, "right") - 1
@@ -111,20 +112,20 @@ def _scan(window: int, prefix: int):
             body = words.data.tobytes()
             starts, ends = words.start[at - before].tolist(), words.end[at + after - 1].tolist()
             region = np.fromiter((xxh3_64_intdigest(body[s:e], b) for s, e, b in zip(starts, ends, before.tolist(), strict=True)), np.uint64, len(at))
-            columns = [anchor.view(np.int64), region.view(np.int64), doc[row], (at - words.first[row]).astype(np.int32), before.astype(np.int32), after.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "region", "doc", "pos", "before", "after"])
+            columns = [anchor.view(np.int64), region.view(np.int64), doc[row], tag[row], (at - words.first[row]).astype(np.int32), before.astype(np.int32), after.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "region", "doc", "tag", "pos", "before", "after"])
 
     return run
 
 
 def _as_is(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text) to (doc, n_words, sha): what is kept if nothing is removed."""
+    """(doc, text, tag) to (doc, tag, n_words, sha): what is kept if nothing is removed."""
     for batch in sliced(batches):
         words = Words(*text_bytes(batch.column(1)))
         body = words.data.tobytes()
         bounds = [(words.start[a], words.end[b - 1]) if b > a else (0, 0) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
         sha = [hashlib.sha256(body[s:e]).hexdigest() for s, e in bounds]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(words.first)), pa.array(sha, pa.string())], names=["doc", "n_words", "sha"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(words.first)), pa.array(sha, pa.string())], names=["doc", "tag", "n_words", "sha"])
 
 
 def _regions(window: int, prefix: int):
@@ -292,14 +293,16 @@ def _unit_hits(units: DataFrame, window: int, prefix: int, group_regions: int) -
 def repeats(docs: DataFrame, window: int = 50, prefix: int = 16, group_regions: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The parts of ``docs`` (doc_id, text) whose windows also start in a smaller doc_id.
 
-    Returns (spans, texts, plain): spans (doc, start, stop) in words, stop
-    exclusive, their union is what is covered; texts (doc, text) of all documents
-    that may have spans; plain (doc, n_words, sha) of every row as it is. A group
+    Returns (spans, texts, plain): spans (doc, tag, start, stop) in words, stop
+    exclusive, their union is what is covered; texts (doc, tag, text) of all documents
+    that may have spans; plain (doc, tag, n_words, sha) of every row as it is. ``tag``
+    is a hash of the text, as rows may share an id. A group
     of up to ``group_regions`` regions, some 2 MB of words, is one tree.
     """
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc")
-    rows = docs.select(doc, F.coalesce("text", F.lit("")).alias("text"))
-    plain = rows.mapInArrow(_as_is, "doc long, n_words long, sha string")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(doc, text.alias("text"), F.xxhash64(text).alias("tag"))
+    plain = rows.mapInArrow(_as_is, "doc long, tag long, n_words long, sha string")
     scanned = written(rows.mapInArrow(_scan(window, prefix), _ANCHORS), "anchors")
 
     shared = written(scanned.groupBy("anchor").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).where("_a < _b").select("anchor"), "shared-anchors")
@@ -311,7 +314,7 @@ def repeats(docs: DataFrame, window: int = 50, prefix: int = 16, group_regions:
 
     placed = written(anchors.join(regions.select("anchor", "region", "least"), ["anchor", "region"]), "placed")
     release(anchors)
-    copied = placed.where((F.col("doc") > F.col("least")) & (F.col("before") + F.col("after") >= window)).select("doc", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + F.col("after")).alias("stop"))
+    copied = placed.where((F.col("doc") > F.col("least")) & (F.col("before") + F.col("after") >= window)).select("doc", "tag", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + F.col("after")).alias("stop"))
 
     # The words of each region that a tree must tell from others, from its least document.
     wanted = regions.join(groups, "anchor").groupBy(F.col("least").alias("doc")).agg(F.collect_list(F.struct("anchor", "region", "pos", "before", "after", (F.col("n") > group_regions).alias("many"))).alias("wanted"))
@@ -321,8 +324,8 @@ def repeats(docs: DataFrame, window: int = 50, prefix: int = 16, group_regions:
     units = written(texts.where("wanted is not null").select("doc", "text", "wanted").mapInArrow(_regions(window, prefix), _UNITS + ", many boolean"), "region-words")
 
     hits = _unit_hits(units, window, prefix, group_regions).select(F.col("ua").alias("anchor"), F.col("ub").alias("region"), "low", "high")
-    partly = placed.where("doc = least").join(hits, ["anchor", "region"]).select("doc", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + window).alias("stop"))
-    return copied.unionByName(partly), texts.select("doc", "text"), plain
+    partly = placed.where("doc = least").join(hits, ["anchor", "region"]).select("doc", "tag", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + window).alias("stop"))
+    return copied.unionByName(partly), texts.select("doc", "tag", "text"), plain
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,12 +356,13 @@ def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = False, *
     that is covered by a window of ``window`` consecutive words of its document,
     whose words also start a window in a document with a smaller doc_id, is
     removed. Null and wordless texts have no words; a null doc_id counts as the
-    largest; rows that repeat an id are read as one document, so they remove
-    nothing from each other. Other columns are ignored.
+    largest; rows that share an id remove nothing from each other, as neither
+    id is smaller, and each loses what smaller ids have. An empty table gives an empty one; a
+    very long text is held whole by one task. Other columns are ignored.
     """
     spans, texts, plain = repeats(docs, window, **options)
-    spans = written(spans.groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
-    changed = texts.join(spans, "doc").select("doc", "text", "spans").mapInArrow(_cut, "doc long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    same = plain.join(spans.select("doc"), "doc", "left_anti").select("doc", F.col("n_words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
+    spans = written(spans.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    changed = texts.join(spans, ["doc", "tag"]).select("doc", "text", "spans").mapInArrow(_cut, "doc long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    same = plain.join(spans.select("doc", "tag"), ["doc", "tag"], "left_anti").select("doc", F.col("n_words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
     out = same.unionByName(changed).withColumn("doc_id", F.nullif("doc", F.lit(_NO_ID)))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else []))

@@ -327,6 +327,17 @@ def test_substring_dedup(spark, awkward, clashing, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substring_dedup_of_texts_that_share_an_id(spark):
+    p, q, r = (words(s, 60) for s in (1, 2, 3))
+    rows = [(1, p), (2, p), (2, q), (None, r), (None, p)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert order((r.doc_id, r.n_removed) for r in got) == order([(1, 0), (2, 60), (2, 0), (None, 0), (None, 60)])
+    rows += [(2, q + " " + p), (3, q), (3, r), (3, words(1, 200)), (4, r)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (4096, 1):
+        assert order(map(tuple, substring_dedup.remove_repeats(df, group_regions=size).collect())) == order(brute.remove_repeats(rows))
+
+
 @pytest.mark.parametrize("group_regions", [512, 40, 3, 1])
 def test_substring_dedup_of_shared_passages(spark, group_regions):
     rng = random.Random(12)
