@@ -42,7 +42,8 @@ _ROWS = (
     "batch long, place int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string,"
     " b int, docs array<int>, a array<int>, m array<int>, pair_a array<int>, pair_n array<long>, pair_docs array<long>"
 )
-_SCORES = "key long, n_best long, count_sum long"
+_SCORES = "batch long, docs array<int>, n_best array<long>, count_sum array<long>"
+_SUMS = "batch long, place int, n_best long, count_sum long"
 
 
 @cache
@@ -266,7 +267,10 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done.clear()
         by = np.argsort(key, kind="stable")
         at = _runs(key[by])[:-1]
-        return pa.RecordBatch.from_arrays([pa.array(key[by][at]), pa.array(np.add.reduceat(best[by], at)), pa.array(np.add.reduceat(total[by], at))], names=["key", "n_best", "count_sum"])
+        key = key[by][at]
+        own = _runs(key >> _LOCAL_BITS)
+        sums = [_lists(np.add.reduceat(x[by], at), own, pa.int64()) for x in (best, total)]
+        return pa.RecordBatch.from_arrays([pa.array(key[own[:-1]] >> _LOCAL_BITS), _lists((key & (1 << _LOCAL_BITS) - 1).astype(np.int32), own, pa.int32()), *sums], names=["batch", "docs", "n_best", "count_sum"])
 
     for batch in batches:
         column = dict(zip(batch.schema.names, batch.columns, strict=True))
@@ -295,8 +299,34 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contributions sorted by batch -> sums by document."""
+    own, sums, seen = None, np.zeros((2, 1 << _LOCAL_BITS), np.int64), np.zeros(1 << _LOCAL_BITS, bool)
+
+    def out():
+        at = np.flatnonzero(seen)
+        done = [pa.array(np.full(len(at), own)), pa.array(at.astype(np.int32)), *(pa.array(x[at]) for x in sums)]
+        sums[:], seen[:] = 0, False
+        return pa.RecordBatch.from_arrays(done, names=["batch", "place", "n_best", "count_sum"])
+
+    for batch in batches:
+        number, (docs, *values) = batch.column(0).to_numpy(), batch.columns[1:]
+        offset, flat = docs.offsets.to_numpy(), docs.values.to_numpy()
+        of = [(v.offsets.to_numpy(), v.values.to_numpy()) for v in values]
+        runs = _runs(number)
+        for s, e in zip(runs, runs[1:], strict=False):
+            if own is not None and own != number[s]:
+                yield out()
+            own, at = number[s], flat[offset[s] : offset[e]]
+            seen[at] = True
+            for x, (o, v) in zip(sums, of, strict=True):
+                np.add.at(x, at, v[o[s] : o[e]])
+    if own is not None:
+        yield out()
+
+
 def document_scores(batches: DataFrame, group_postings: int = 1 << 16) -> DataFrame:
-    """key, n_best, count_sum by document, from the postings of all B ids.
+    """batch, place, n_best, count_sum by document, from the postings of all B ids.
 
     ``n_best`` are links whose pair is as frequent as any of their B id, ``count_sum`` sums
     the frequencies of a document's links. An id with more than ``group_postings`` postings
@@ -312,7 +342,8 @@ def document_scores(batches: DataFrame, group_postings: int = 1 << 16) -> DataFr
     posting = posting.join(F.broadcast(table.select("b", "parts")), "b").withColumn("part", F.pmod(F.xxhash64("batch"), F.col("parts")).cast("int"))
     stream = counts.unionByName(posting.select("b", "part", "batch", "docs", "a", "m", F.array().cast("array<long>").alias("n")))
     own = stream.repartition("b", "part").sortWithinPartitions("b", "part", "batch").mapInArrow(_score, _SCORES)
-    return own.groupBy("key").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    # A row has what some ids give to the documents of a batch, so there are not more rows than postings have.
+    return own.repartition("batch").sortWithinPartitions("batch").mapInArrow(_sum, _SUMS)
 
 
 def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", with_groups: bool = False, group_postings: int = 1 << 16) -> DataFrame:
@@ -326,8 +357,8 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, id_col: str = "d
     batch and is held whole; pairs as frequent as each other are all the highest.
     """
     batches = aligned_batches(docs, a_path, b_path, id_col, text_col, with_groups)
-    key = F.shiftleft("batch", _LOCAL_BITS).bitwiseOR(F.col("place")).alias("key")
+    key = ["batch", "place"]
     names = ["n_a", "n_b", "n_groups", "n_links"]
-    doc = batches.where("place is not null").select(key, "doc_id", *names, "groups_sha256", *(["groups"] if with_groups else []))
+    doc = batches.where("place is not null").select(*key, "doc_id", *names, "groups_sha256", *(["groups"] if with_groups else []))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return doc.join(document_scores(batches, group_postings), "key", "left").select(F.col("doc_id").alias(id_col), *names, zero("n_best"), zero("count_sum"), "groups_sha256", *(["groups"] if with_groups else []))
+    return doc.join(document_scores(batches, group_postings), key, "left").select(F.col("doc_id").alias(id_col), *names, zero("n_best"), zero("count_sum"), "groups_sha256", *(["groups"] if with_groups else []))
