@@ -54,6 +54,41 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], width: int) -
     return joined.where(F.floor(F.greatest("start", "r_start") / width) == F.col("_bin")).drop("_bin")
 
 
+def _whole_blocks(levels: int):
+    """The largest aligned blocks of 2^level places that make up [start, end), as (level, block)."""
+    two = []
+    for level in range(levels + 1):
+        first = F.shiftright(F.col("start").cast("long") + (1 << level) - 1, level)
+        end = F.shiftright(F.col("end").cast("long"), level)
+        odd = lambda c: c.bitwiseAND(F.lit(1).cast("long")) == 1
+        row = lambda b: F.struct(F.lit(level).alias("_level"), b.alias("_block"))
+        two += [F.when((first < end) & odd(first), row(first)), F.when((first < end) & odd(end) & ((end - 1 != first) | ~odd(first)), row(end - 1))]
+    return F.inline(F.filter(F.array(*two), lambda x: x.isNotNull()))
+
+
+def _blocks_around(levels: int):
+    """The aligned blocks of 2^level places that hold ``start``, as (level, block)."""
+    return F.inline(F.array(*[F.struct(F.lit(level).alias("_level"), F.shiftright(F.col("start").cast("long"), level).alias("_block")) for level in range(levels + 1)]))
+
+
+def least_overlapping(targets: DataFrame, spans: DataFrame, keys: list[str], value: str, longest: int) -> DataFrame:
+    """Distinct (keys, start, end) of ``targets`` with the least ``value`` of the spans that overlap each.
+
+    No pairs are made. A span overlaps a target if it starts inside it or holds its start;
+    both are looked up in aligned blocks of 2, 4, 8, ... places, so a row becomes at most
+    some 3 log2(longest) keys, whose minima are combined before the shuffle. Intervals are not
+    empty and none may be longer than ``longest``; targets that nothing overlaps are left out.
+    """
+    levels = max(1, int(longest).bit_length())
+    block = [*keys, "_level", "_block"]
+    target = targets.select(*keys, "start", "end").distinct()
+    least = lambda df: df.groupBy(*block).agg(F.min(value).alias(value))
+    begun = least(spans.select(*keys, value, _blocks_around(levels)))
+    held = least(spans.select(*keys, value, _whole_blocks(levels)))
+    found = [target.select("*", asked).join(table, block).select(*keys, "start", "end", value) for asked, table in ((_whole_blocks(levels), begun), (_blocks_around(levels), held))]
+    return found[0].unionAll(found[1]).groupBy(*keys, "start", "end").agg(F.min(value).alias(value))
+
+
 def coverage_by_degree(blocks: DataFrame, extents: DataFrame) -> DataFrame:
     """degree (null: all), chr (null: all sequences), n_blocks, percent of bases covered.
 

@@ -268,7 +268,8 @@ def bulge_winners(spark, sf):
 
 @query("bulge_collapse")
 def bulge_collapse(spark, sf):
-    return simplify.simplify(_seqs(spark, sf), K, REACH).select("chr", F.length("seq").alias("size"), F.size("orig").alias("n_places"))
+    done = simplify.simplify(_seqs(spark, sf), K, REACH)
+    return done.select("chr", F.length("seq").alias("size"), F.size("orig").alias("n_places"), F.sha2("seq", 256).alias("seq_sha256"), F.sha2(F.array_join("orig", ","), 256).alias("orig_sha256"))
 
 
 # ---- intervals -------------------------------------------------------------------------------
@@ -304,6 +305,17 @@ def nearest_neighbor_block(spark, sf):
     return intervals.neighbours(fixtures.blocks_from_lineitem(spark, sf), ["chr"]).select("block_id", "chr", "start", "end", "previous_end", "next_start")
 
 
+@query(
+    "least_overlapping",
+    f"""WITH {_INTERVALS}, t AS (SELECT DISTINCT seq_id, "start", "end" FROM iv WHERE sign = -1 AND "start" < "end")
+SELECT t.seq_id, t."start" AS from_pos, t."end" AS to_pos, min(s.block_id) AS block_id FROM t JOIN iv s ON t.seq_id = s.seq_id AND t."start" < s."end" AND s."start" < t."end"
+WHERE s."start" < s."end" GROUP BY ALL""",
+)
+def least_overlapping(spark, sf):
+    rows = fixtures.intervals_from_lineitem(spark, sf).where("start < end")
+    return intervals.least_overlapping(rows.where("sign = -1"), rows, ["seq_id"], "block_id", 50).select("seq_id", F.col("start").alias("from_pos"), F.col("end").alias("to_pos"), "block_id")
+
+
 @query(
     "interval_overlap_join",
     f"""WITH {_INTERVALS}

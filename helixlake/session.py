@@ -33,4 +33,16 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
         spark.sparkContext.setCheckpointDir(base := tempfile.mkdtemp(prefix="helixlake-"))
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``stored`` that no later plan reads."""
+    for table in tables:
+        path = getattr(table, "_stored_path", None)
+        if path:
+            spark = table.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
