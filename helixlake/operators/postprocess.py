@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from heapq import heapify, heappop, heappush
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
-from ..session import stored
+from ..session import discard, stored
 from .align import local_ends_udf
-from .graph import two_sided_components
 from .intervals import neighbours
 
 #: Fixed value: what stands beyond the ends of a permutation.
@@ -46,76 +42,113 @@ def glue_candidates(stripe: DataFrame) -> DataFrame:
     return agree.join(size, F.abs("second_block") == F.col("_b")).where("n = _n").select("first_block", "second_block", "n")
 
 
-def glue_rows(rows: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """Glues instances (block_id, sign, chr, start, end) until nothing can be glued.
+def _ends(rows: DataFrame) -> DataFrame:
+    """block_id, n, end, next_block, next_end: what each end of a block always touches, null if not always the same.
+
+    ``rows`` have ``at``, their number in order of sequences and places. End 1 is where an
+    instance on the positive strand ends. A next block has as many instances, and is another.
+    """
+    here = rows.select("block_id", "sign", "chr", "at")
+    there = here.select(F.col("chr").alias("_chr"), F.col("at").alias("_at"), F.col("block_id").alias("next_block"), F.col("sign").alias("_sign"))
+    each = F.explode(F.array(F.lit(1), F.lit(-1))).alias("step")
+    around = here.select("*", each).withColumn("_to", F.col("at") + F.col("step")).join(there, (F.col("_to") == F.col("_at")) & (F.col("chr") == F.col("_chr")), "left")
+    # going up a sequence one leaves a positive instance by its end 1 and enters the next by its end 0
+    side = lambda sign: F.when(sign * F.col("step") > 0, 1).otherwise(0)
+    touch = around.select("block_id", side(F.col("sign")).alias("end"), F.struct("next_block", side(-F.col("_sign")).alias("next_end")).alias("t"))
+    ends = touch.groupBy("block_id", "end").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t"), F.max("t").alias("_max"))
+    ends = stored(ends.withColumn("t", F.when((F.col("t") == F.col("_max")) & F.col("t.next_block").isNotNull() & (F.col("t.next_block") != F.col("block_id")), F.col("t"))).drop("_max"), "block-ends")
+    size = ends.where("end = 1").select(F.col("block_id").alias("_b"), F.col("n").alias("_n"))
+    fits = ends.join(size, F.col("t.next_block") == F.col("_b"), "left")
+    ok = F.col("n") == F.col("_n")
+    return fits.select("block_id", "n", "end", F.when(ok, F.col("t.next_block")).alias("next_block"), F.when(ok, F.col("t.next_end")).alias("next_end"))
+
+
+def chains(ends: DataFrame) -> DataFrame:
+    """chain, block_id, rank, way: blocks that touch end to end wherever they are, in order.
+
+    ``way`` is 1 if a chain is walked through the block from its end 0 to its end 1, else -1.
+    Every walk out of a block by one of its ends looks ahead 1, 2, 4, ... blocks until it
+    knows its last one: a chain of n blocks takes log n joins, each a row or two a block.
+    A block that touches none is a chain of its own.
+    """
+    walk = ends.select(F.struct("block_id", "end").alias("at"), F.when(F.col("next_block").isNotNull(), F.struct(F.col("next_block").alias("block_id"), (1 - F.col("next_end")).alias("end"))).alias("to"))
+    walk = stored(walk.select("at", F.coalesce("to", "at").alias("to"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("far"), F.col("to").isNull().alias("done")), "walks")
+    while not walk.where("not done").isEmpty():
+        ahead = walk.select(F.col("at").alias("to"), F.col("to").alias("_to"), F.col("far").alias("_far"), F.col("done").alias("_done"))
+        before = walk
+        walk = stored(walk.join(ahead, "to").select("at", F.col("_to").alias("to"), (F.col("far") + F.col("_far")).alias("far"), F.col("_done").alias("done")), "walks")
+        discard(before)
+    # both walks of a block end at the ends of its chain; the chain goes from the lesser
+    two = walk.groupBy(F.col("at.block_id").alias("block_id")).agg(*[F.min(F.when(F.col("at.end") == e, F.struct("to", "far"))).alias(f"e{e}") for e in (0, 1)])
+    back = F.col("e0.to") <= F.col("e1.to")
+    return two.select(F.least("e0.to", "e1.to").alias("chain"), "block_id", F.when(back, F.col("e0.far")).otherwise(F.col("e1.far")).alias("rank"), F.when(back, 1).otherwise(-1).alias("way"))
+
+
+_RUNS = "struct<left:struct<first:int,block:int,rank:bigint>,right:struct<first:int,block:int,rank:bigint>>"
+
+
+def _joined(a, b):
+    """What is left of two neighbouring stretches of a chain: a block that faces left, one that faces right.
+
+    A block takes up what it faces. Of two that face each other the one with the least id
+    of its side goes first and takes up the other, with all that this one had.
+    """
+    none = F.lit(None).cast(_RUNS)["left"]
+    facing = a["right"].isNotNull() & b["left"].isNotNull()
+    first = a["right"]["first"] < b["left"]["first"]
+    left, right = F.when(facing & first, none).otherwise(b["left"]), F.when(facing & ~first, none).otherwise(a["right"])
+
+    def one(x, y, kept):
+        run = F.struct(F.least(x["first"], y["first"]).alias("first"), kept["block"].alias("block"), kept["rank"].alias("rank"))
+        return F.when(x.isNull(), y).when(y.isNull(), x).otherwise(run)
+
+    return F.struct(one(a["left"], left, left).alias("left"), one(right, b["right"], right).alias("right"))
+
+
+def _folded(rows: DataFrame, by: list) -> DataFrame:
+    lists = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("rank", "runs"))).alias("l"))
+    fold = F.aggregate(F.transform("l", lambda x: x["runs"]), F.lit(None).cast(_RUNS), lambda a, b: F.when(a.isNull(), b).otherwise(_joined(a, b)).cast(_RUNS))
+    return lists.select("chain", F.get("l", 0)["rank"].alias("rank"), fold.alias("runs"))
 
-    The smallest block that can be glued goes first, takes up the block that always
-    follows it and keeps its id. The order matters: other orders can end elsewhere.
-    Instances are linked to their neighbours, so a step costs what it changes.
+
+def glued_names(chain: DataFrame, bits: int = 10) -> DataFrame:
+    """block_id, glued, glued_rank, rank, way: the block that takes up each block of a chain.
+
+    The smallest block goes first and takes up all that it faces along the chain. Stretches of
+    1,024 blocks are folded, then stretches of these, until a chain is one.
     """
-    rows = sorted(rows, key=lambda r: (r[2], r[3], r[4], r[0]))
-    block, sign = [r[0] for r in rows], [r[1] for r in rows]
-    start, end = [r[3] for r in rows], [r[4] for r in rows]
-    n = len(rows)
-    before = [i - 1 if i and rows[i - 1][2] == rows[i][2] else -1 for i in range(n)]
-    after = [i + 1 if i + 1 < n and rows[i + 1][2] == rows[i][2] else -1 for i in range(n)]
-    places: dict[int, list[int]] = {}
-    for i, b in enumerate(block):
-        places.setdefault(b, []).append(i)
-
-    def follower(b: int) -> int | None:
-        """The signed block that always follows b, if b can be glued to it."""
-        found = None
-        for i in places.get(b, ()):
-            j = after[i] if sign[i] > 0 else before[i]
-            own = None if j < 0 else sign[i] * sign[j] * block[j]
-            if own is None or abs(own) == b or (found is not None and own != found):
-                return None
-            found = own
-        return found if found is not None and len(places[abs(found)]) == len(places[b]) else None
-
-    ready = [b for b in places if follower(b) is not None]
-    heapify(ready)
-    while ready:
-        b = heappop(ready)
-        other = follower(b)
-        if other is None:
-            continue
-        touched = {b}
-        for i in places[b]:
-            j = after[i] if sign[i] > 0 else before[i]
-            start[i], end[i] = min(start[i], start[j]), max(end[i], end[j])
-            if sign[i] > 0:
-                after[i] = after[j]
-                if after[j] >= 0:
-                    before[after[j]] = i
-            else:
-                before[i] = before[j]
-                if before[j] >= 0:
-                    after[before[j]] = i
-            touched.update(block[k] for k in (before[i], after[i]) if k >= 0)
-        del places[abs(other)]
-        for t in touched:
-            if follower(t) is not None:
-                heappush(ready, t)
-    return [(b, sign[i], rows[i][2], start[i], end[i]) for b, at in places.items() for i in at]
-
-
-def _glue(rows: pd.DataFrame) -> pd.DataFrame:
-    columns = ["block_id", "sign", "chr", "start", "end"]
-    return pd.DataFrame(glue_rows(list(rows[columns].itertuples(index=False, name=None))), columns=columns)
+    run = F.struct(F.col("block_id").cast("int").alias("first"), F.col("block_id").cast("int").alias("block"), F.col("rank"))
+    none = F.lit(None).cast(_RUNS)["left"]
+    rows = chain.select("chain", "rank", F.struct(F.when(F.col("way") < 0, run).otherwise(none).alias("left"), F.when(F.col("way") > 0, run).otherwise(none).alias("right")).cast(_RUNS).alias("runs"))
+    longest, shift = chain.agg(F.max("rank")).first()[0] or 0, 0
+    while True:
+        shift += bits
+        rows = _folded(rows, ["chain", F.shiftright("rank", shift).alias("_part")])
+        if longest >> shift == 0:
+            break
+    last = rows.select("chain", "runs.*")
+    own = F.when(F.col("left").isNotNull() & (F.col("right").isNull() | (F.col("rank") <= F.col("left.rank"))), F.col("left")).otherwise(F.col("right"))
+    return chain.join(last, "chain").withColumn("_own", own).select("block_id", F.col("_own.block").alias("glued"), F.col("_own.rank").alias("glued_rank"), "rank", "way")
 
 
 def glue_stripes(blocks: DataFrame) -> DataFrame:
-    """Glues until nothing can be glued; ids become 1, 2, ... again.
+    """Glues until nothing can be glued, the smallest block first; ids become 1, 2, ... again.
 
-    Sequences that share no block, directly or over others, cannot influence each
-    other: each such component is glued by itself, in order.
+    Ends of blocks that always touch each other make chains, and gluing goes along them: it
+    never makes two ends touch that did not. A chain's blocks are found by doubling walks and
+    settled by a fold; an instance knows from its rank how far on the instance is that takes it
+    up, so no sequence, component or block is one task. Gluing one pair at a time gives the same.
     """
-    now = stored(blocks.select("block_id", "sign", "chr", "start", "end"), "to-glue")
-    component = two_sided_components(now, "chr", "block_id")
-    glued = now.join(component, "chr").groupBy("component").applyInPandas(_glue, "block_id int, sign int, chr int, `start` int, `end` int")
-    return dense_ids(stored(glued, "glued"))
+    from .kmers import numbered
+
+    rows = blocks.select("block_id", "sign", "chr", "start", "end")
+    rows = stored(numbered(rows.withColumn("_by", F.struct("chr", "start", "end", "block_id")), "_by", "at").drop("_by"), "to-glue")
+    chain = stored(chains(_ends(rows)), "chains")
+    named = rows.join(glued_names(chain), "block_id")
+    home = F.col("at") + F.col("sign") * F.col("way") * (F.col("glued_rank") - F.col("rank"))
+    sign = F.max(F.when(F.col("glued_rank") == F.col("rank"), F.col("sign")))
+    glued = named.groupBy(F.col("glued").alias("block_id"), "chr", home.alias("_home")).agg(sign.alias("sign"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return dense_ids(stored(glued.select("block_id", "sign", "chr", "start", "end"), "glued"))
 
 
 def dense_ids(blocks: DataFrame) -> DataFrame:

@@ -579,6 +579,69 @@ def uncovered_insertions(spark, sf):
     return variants.large_indels(found, seqs, 10)[0].drop("block_id")
 
 
+# ---- the same on blocks of every kind --------------------------------------------------------
+
+_LAYOUT = """lay0 AS (SELECT o_orderkey AS k, o_orderkey // 256 AS g, o_orderkey % 256 AS i, o_orderkey % 11 AS kind, 40 + o_orderkey % 30 AS size FROM orders),
+lay1 AS (SELECT *, i BETWEEN 64 AND 127 AS turned, CASE WHEN kind = 0 THEN 1 + k % 3 ELSE 10 + k END AS id FROM lay0 WHERE kind <> 1),
+lay2 AS (SELECT id, 1 AS sign, 2 * g AS chr, 100 * i + 50 AS "start", size FROM lay1
+  UNION ALL SELECT id, CASE WHEN turned THEN -1 ELSE 1 END, 2 * g + 1, 100 * CASE WHEN turned THEN 191 - i ELSE i END + 55, size FROM lay1
+  UNION ALL SELECT id, 1, 2 * g + 1, 25700 + 100 * i, size FROM lay1 WHERE kind = 2
+  UNION ALL SELECT 4, 1, chr, 0, 40 FROM (SELECT DISTINCT 2 * g + unnest([0, 1]) AS chr FROM lay0)),
+blocks AS (SELECT CAST(id AS INTEGER) AS block_id, sign, CAST(chr AS INTEGER) AS chr, CAST("start" AS INTEGER) AS "start", CAST("start" + size AS INTEGER) AS "end" FROM lay2)"""
+
+
+def _on_layout(name: str) -> str:
+    """The SQL of a query on blocks, on these."""
+    assert _BLOCKS in _SQL[name]
+    return _SQL[name].replace(_BLOCKS, _LAYOUT).replace("SELECT CAST(s_suppkey AS INTEGER) AS chr FROM supplier", "SELECT DISTINCT chr FROM blocks")
+
+
+def _layout(spark, sf):
+    found = fixtures.blocks_from_orders(spark, sf)
+    letters = F.repeat(F.lit("ACGTTGCA"), F.lit(12513))
+    return found, found.select("chr").distinct().select("chr", (F.col("chr") % 2).cast("int").alias("file_idx"), letters.alias("seq"))
+
+
+@query("layout_glue_round", _on_layout("stripe_glue_round"))
+def layout_glue_round(spark, sf):
+    return postprocess.glue_candidates(postprocess.stripes(_layout(spark, sf)[0]))
+
+
+@query(
+    "layout_glue",
+    f"""WITH RECURSIVE {_STRIPES.replace(_BLOCKS, _LAYOUT)}, g AS (SELECT first_block, count(*) AS n, min(second_block) AS second_block, max(second_block) AS mx FROM st GROUP BY first_block),
+cand AS (SELECT a.first_block, a.second_block FROM g a JOIN g b ON abs(a.second_block) = b.first_block AND a.n = b.n WHERE a.second_block = a.mx AND a.second_block <> 1073741823 AND abs(a.second_block) <> a.first_block),
+walk AS (SELECT first_block AS block_id, first_block AS head, 0 AS depth FROM g WHERE first_block NOT IN (SELECT second_block FROM cand)
+  UNION ALL SELECT c.second_block, w.head, w.depth + 1 FROM walk w JOIN cand c ON c.first_block = w.block_id),
+placed AS (SELECT *, row_number() OVER (ORDER BY chr, "start", "end", block_id) AS nth FROM blocks),
+joined AS (SELECT head, chr, max(CASE WHEN depth = 0 THEN sign END) AS sign, min("start") AS "start", max("end") AS "end" FROM placed JOIN walk USING (block_id) GROUP BY head, chr, nth - sign * depth)
+SELECT CAST(dense_rank() OVER (ORDER BY head) AS INTEGER) AS block_id, sign, chr, "start", "end" FROM joined""",
+)
+def layout_glue(spark, sf):
+    return postprocess.glue_stripes(_layout(spark, sf)[0])
+
+
+@query("layout_shared_blocks", f"""WITH {_LAYOUT}, s AS (SELECT count(DISTINCT chr) AS n FROM blocks) SELECT block_id FROM blocks, s GROUP BY block_id, n HAVING count(*) = n AND count(DISTINCT chr) = n""")
+def layout_shared_blocks(spark, sf):
+    found, seqs = _layout(spark, sf)
+    return blocks.shared_by_all(found, seqs.count())
+
+
+@query("layout_unique_blocks", _on_layout("unique_blocks"))
+def layout_unique_blocks(spark, sf):
+    return postprocess.unique_blocks(*_layout(spark, sf))
+
+
+@query("layout_repeat_matches", _on_layout("repeat_matches"))
+def layout_repeat_matches(spark, sf):
+    return postprocess.match_repeats(*_layout(spark, sf))
+
+
+@query("layout_insertions", _on_layout("uncovered_insertions"))
+def layout_insertions(spark, sf):
+    return variants.large_indels(*_layout(spark, sf), 10)[0].drop("block_id")
+
+
 @query("variant_pipeline")
 def variant_pipeline(spark, sf):
     from .pipeline import call_variants

@@ -76,3 +76,24 @@ def blocks_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("island_start").cast("int").alias("start"),
         F.col("island_end").cast("int").alias("end"),
     )
+
+
+def blocks_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block instances with every kind of neighbourhood, on a reference (even) and an assembly (odd) sequence for each 256 orders.
+
+    An order is a block with one instance on either side, in the same order but for a
+    stretch that the assembly has inverted: unique blocks, which can be glued. Every
+    eleventh order is one of three repeats instead, the one after it is on neither side,
+    and the next is on the assembly twice. Block 4 is once on every sequence.
+    """
+    k, i = F.col("o_orderkey"), F.col("o_orderkey") % 256
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("k"), F.floor(k / 256).alias("g"), i.alias("i"), (k % 11).alias("kind"), (40 + k % 30).alias("size"))
+    inverted = F.col("i").between(64, 127)
+    rows = rows.withColumn("id", F.when(F.col("kind") == 0, 1 + F.col("k") % 3).otherwise(10 + F.col("k")))
+    at = lambda sign, side, start: F.struct(F.col("id").alias("id"), sign.alias("sign"), (2 * F.col("g") + side).alias("chr"), start.alias("start"), (start + F.col("size")).alias("end"))
+    one = F.lit(1)
+    moved = F.when(inverted, 191 - F.col("i")).otherwise(F.col("i"))
+    there = [at(one, 0, 100 * F.col("i") + 50), at(F.when(inverted, -1).otherwise(1), 1, 100 * moved + 55), F.when(F.col("kind") == 2, at(one, 1, 25700 + 100 * F.col("i")))]
+    placed = rows.where("kind <> 1").select(F.inline(F.filter(F.array(*there), lambda x: x.isNotNull())))
+    every = rows.select("g").distinct().select(F.lit(4).alias("id"), F.lit(1).alias("sign"), F.explode(F.array(2 * F.col("g"), 2 * F.col("g") + 1)).alias("chr"), F.lit(0).alias("start"), F.lit(40).alias("end"))
+    return placed.unionByName(every).select(F.col("id").cast("int").alias("block_id"), "sign", *[F.col(c).cast("int") for c in ("chr", "start", "end")])

