@@ -32,7 +32,7 @@ from .packing import _byte_letters, _tokenizer
 _BLANK = "▁"
 #: A blank after anything but white space: both tokenizers end a token before it.
 _CUT = re.compile(r"(?<=\S)(?= )")
-_WIDE = re.compile(r"\s ")
+_WIDE = re.compile(r"\s[ \n]")
 #: Chunks of words that one worker remembers, about 100 MB; longer ones than this are not.
 _REMEMBER, _LONGEST = 200_000, 100
 #: Documents are numbered by batch and place in it.
@@ -59,8 +59,10 @@ class Aligner:
     """Groups and links of texts, chunk by chunk.
 
     A blank after anything but white space begins a token of both tokenizers, whatever
-    follows, so a text's alignment is that of the chunks between such places. A chunk is
-    aligned once and remembered. Texts that hold the character for a blank itself, and
+    follows; so does a line break there, and a full stop or comma after a letter or digit,
+    as no piece joins them. So a text's alignment is that of the chunks between such places.
+    A chunk is aligned once and remembered; when there are too many, those of the batch at
+    hand stay. Texts that hold the character for a blank itself, and
     those where either tokenizer's bytes are not the text's, have no tokens.
     """
 
@@ -74,6 +76,12 @@ class Aligner:
             raise ValueError("token ids must fit into 24 bits")
         if any(_BLANK in n.lstrip(_BLANK) for n in names):
             raise ValueError("a piece goes on after a blank: texts cannot be cut at blanks")
+        self.a_size, self.b_size = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.name = list(map(str, range(max(size, len(names)))))
+        # what may stand before a stop or comma only if the text is cut at blanks alone
+        odd = "".join(re.escape(n[n.index(x) - 1]) for n in names for x in ".," if re.search(rf"[^\W_]\{x}", n))
+        self.tied = re.compile(rf"[\W_{odd}][.,]")
+        self.line_break = self.model.encode("\n")
         self.lone_blank = self.model.piece_to_id(_BLANK)
         self.clear()
 
@@ -83,44 +91,67 @@ class Aligner:
         self.text: list[str] = []
         self.first, self.pair_a, self.pair_b = array("q", [0]), array("q"), array("q")
 
+    def _groups(self, a: list[int], b: list[int]) -> tuple[list[int], list[int], list[str]]:
+        """The linked ids of both sides, in order of bytes, and the groups that common ends cut."""
+        name, la, lb = self.name, self.a_size, self.b_size
+        if len(a) == 1 or len(b) == 1:
+            n = max(len(a), len(b))
+            return a * (n // len(a)), b * (n // len(b)), [",".join([name[i] for i in a]) + "|" + ",".join([name[i] for i in b])]
+        pa_, pb, parts, i, j, ia, jb = [], [], [], 0, 0, 0, 0
+        ahead = la[a[0]] - lb[b[0]]  # of the end of A's token over that of B's
+        while True:
+            pa_.append(a[i])
+            pb.append(b[j])
+            if ahead > 0:
+                j += 1
+                ahead -= lb[b[j]]
+            elif ahead < 0:
+                i += 1
+                ahead += la[a[i]]
+            else:
+                i, j = i + 1, j + 1
+                parts.append(",".join([name[x] for x in a[ia:i]]) + "|" + ",".join([name[x] for x in b[jb:j]]))
+                if i == len(a):
+                    return pa_, pb, parts
+                ia, jb = i, j
+                ahead = la[a[i]] - lb[b[j]]
+
     def _add(self, chunk: str, a: list[int], b: list[int]) -> int:
         raw, ab, bb = chunk.encode(), self.a_bytes, self.b_bytes
         good = b"".join([ab[i] for i in a]) == raw and b"".join([bb[i] for i in b]) == raw
-        groups = 0
-        if good:
-            parts, i, j, ia, jb = [], 0, 0, 0, 0
-            end_a, end_b = len(ab[a[0]]), len(bb[b[0]])
-            while True:
-                self.pair_a.append(a[i])
-                self.pair_b.append(b[j])
-                if end_a == end_b:
-                    parts.append(",".join(map(str, a[ia : i + 1])) + "|" + ",".join(map(str, b[jb : j + 1])))
-                    i, j = i + 1, j + 1
-                    ia, jb = i, j
-                    if i == len(a):
-                        break
-                    end_a, end_b = end_a + len(ab[a[i]]), end_b + len(bb[b[j]])
-                elif end_a < end_b:
-                    i += 1
-                    end_a += len(ab[a[i]])
-                else:
-                    j += 1
-                    end_b += len(bb[b[j]])
-            groups = len(parts)
-            self.text.append(";".join(parts))
-        else:
-            self.text.append("")
+        links_a, links_b, groups = self._groups(a, b) if good else ((), (), ())
+        self.pair_a.extend(links_a)
+        self.pair_b.extend(links_b)
+        self.text.append(";".join(groups))
         self.n_a.append(len(a))
         self.n_b.append(len(b))
-        self.n_groups.append(groups)
+        self.n_groups.append(len(groups))
         self.bad.append(not good)
         self.first.append(len(self.pair_a))
         return len(self.text) - 1
 
     def learn(self, chunks: list[str]) -> dict[str, int]:
         a = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        b = self.model.encode([c[1:] for c in chunks], num_threads=1)
-        return {c: self._add(c, x, y if c != " " else [self.lone_blank]) for c, x, y in zip(chunks, a, b, strict=True)}
+        # the model puts a blank before each text: it is the chunk's own, or goes with a line break
+        b = self.model.encode([c[1:] if c[0] == " " else "\n" + c for c in chunks], num_threads=1)
+        skip = len(self.line_break)
+        own = (y if c[0] == " " and c != " " else [self.lone_blank] if c == " " else y[skip:] for c, y in zip(chunks, b, strict=True))
+        return {c: self._add(c, x, y) for c, x, y in zip(chunks, a, own, strict=True)}
+
+    def keep(self, chunks: set[str]) -> None:
+        """Forgets all chunks but these."""
+        old = [(c, self.known[c]) for c in chunks if c in self.known]
+        at, names = [i for _, i in old], ("n_a", "n_b", "n_groups", "bad", "text", "first", "pair_a", "pair_b")
+        before = {n: getattr(self, n) for n in names}
+        self.clear()
+        self.known = {c: k for k, (c, _) in enumerate(old)}
+        for n in names[:5]:
+            getattr(self, n).extend([before[n][i] for i in at])
+        first = before["first"]
+        for i in at:
+            self.pair_a.extend(before["pair_a"][first[i] : first[i + 1]])
+            self.pair_b.extend(before["pair_b"][first[i] : first[i + 1]])
+            self.first.append(len(self.pair_a))
 
     def forget_from(self, n: int) -> None:
         """Drops the chunks from number ``n`` on, which are those of one batch alone."""
@@ -132,21 +163,25 @@ class Aligner:
 
     def chunked(self, texts: list[str | None]) -> tuple[list[list[int]], int]:
         """Numbers of each text's chunks, and from which number on they are not remembered."""
-        if len(self.known) > _REMEMBER:
-            self.clear()
-        known, cut = self.known, []
+        cut = []
         for t in texts:
             if not t or _BLANK in t:
                 cut.append([])
-            elif _WIDE.search(" " + t):
-                cut.append(_CUT.split(" " + t))
+            elif _WIDE.search(t := " " + t) or "\0" in t or self.tied.search(t):
+                cut.append(_CUT.split(t))
             else:
-                cut.append([" " + w for w in t.split(" ")])
-        new = set().union(*cut).difference(known)
-        known.update(self.learn(sorted(c for c in new if len(c) <= _LONGEST)))
+                for c in " \n.,":
+                    t = t.replace(c, "\0" + c)
+                cut.append(t.split("\0")[1:])
+        every = set().union(*cut)
+        if len(self.known) > _REMEMBER:
+            self.keep(every)
+        known = self.known
+        new = every.difference(known)
+        known.update(self.learn([c for c in new if len(c) <= _LONGEST]))
         kept = len(self.text)
-        longer = self.learn(sorted(c for c in new if len(c) > _LONGEST))
-        number = {**{c: known[c] for c in set().union(*cut) if len(c) <= _LONGEST}, **longer} if longer else known
+        longer = self.learn([c for c in new if len(c) > _LONGEST])
+        number = {**{c: known[c] for c in every if len(c) <= _LONGEST}, **longer} if longer else known
         return [[number[c] for c in own] for own in cut], kept
 
 

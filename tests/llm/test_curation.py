@@ -33,6 +33,9 @@ AWKWARD = [
     (12, "Donau" * 400),
     (13, "zero\x00byte \x1f sep"),
     (14, "line one.\nline two.\nline one.\n" * 30),
+    (15, "a.b,c ...x ².5, 1,000.5 _,x é. end.\nNext,\nlast .\n\n,\t.x"),
+    (16, ".start, 3.14.15,,a.\r\nb."),
+    (17, "plain words, ended.\nA line,and more.of it 5.\n7, x."),
     (None, None),
 ]
 
