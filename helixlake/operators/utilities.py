@@ -19,6 +19,20 @@ def projected(pairs: DataFrame) -> DataFrame:
     return rows.select("pair_id", F.array_join(F.col("c.x"), "").alias("a"), F.array_join(F.col("c.y"), "").alias("b")).where("a <> '' or b <> ''")
 
 
+def project_rows(aligned: DataFrame, wanted: list[str]) -> DataFrame:
+    """aln, row, body: the rows of each alignment in ``wanted``, without columns in which they all have gaps.
+
+    ``aligned`` has these columns, bodies of one alignment being equally long. The wanted rows
+    of one alignment meet; letters beyond the end of a shorter body count as gaps.
+    """
+    own = aligned.where(F.col("row").isin(wanted)).groupBy("aln").agg(F.sort_array(F.collect_list(F.struct("row", F.filter(F.split("body", ""), lambda c: c != "").alias("letters")))).alias("rows"))
+    letter = lambda r, i: F.coalesce(F.get(r["letters"], i), F.lit("-"))
+    widest = F.array_max(F.transform("rows", lambda r: F.size(r["letters"])))
+    columns = F.when(widest > 0, F.filter(F.sequence(F.lit(0), widest - 1), lambda i: F.exists("rows", lambda r: letter(r, i) != "-"))).otherwise(F.array().cast("array<int>"))
+    cut = lambda at: F.transform("rows", lambda r: F.struct(r["row"].alias("row"), F.array_join(F.transform(at, lambda i: letter(r, i)), "").alias("body")))
+    return own.select("aln", F.inline(F.get(F.transform(F.array(columns), cut), 0)))
+
+
 def conserved_windows(cols: DataFrame, width: int, identity: float) -> DataFrame:
     """Runs of overlapping windows of ``width`` columns with at least that share of equal letters."""
     ahead = Window.partitionBy("pair_id").orderBy("col").rowsBetween(0, width - 1)

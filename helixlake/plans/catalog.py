@@ -666,6 +666,24 @@ def codon_translation(spark, sf):
     return _seqs(spark, sf).select("chr", *[F.get(S.six_frames("seq"), i).alias(f"frame{i}") for i in range(6)])
 
 
+_THREE = f"""{_ALIGNED},
+three AS (SELECT pair_id AS aln, a, b, array_to_string(list_transform(range(1, length(a) + 1), lambda i: CASE WHEN i % 101 = 0 OR substr(b, i, 1) = '-' THEN '-' ELSE substr(a, i, 1) END), '') AS c FROM aligned)"""
+
+
+@query(
+    "project_rows",
+    f"""WITH {_THREE}, kept AS (SELECT *, list_filter(range(1, length(b) + 1), lambda i: substr(b, i, 1) <> '-' OR substr(c, i, 1) <> '-') AS cols FROM three)
+SELECT aln, 'b' AS "row", array_to_string(list_transform(cols, lambda i: substr(b, i, 1)), '') AS body FROM kept
+UNION ALL SELECT aln, 'c', array_to_string(list_transform(cols, lambda i: substr(c, i, 1)), '') FROM kept""",
+)
+def project_rows(spark, sf):
+    two = fixtures.aligned_from_documents(spark, sf)
+    gapped = F.transform(F.arrays_zip(F.split("a", "").alias("x"), F.split("b", "").alias("y")), lambda z, i: F.when(((i + 1) % 101 == 0) | (z["y"] == "-"), "-").otherwise(z["x"]))
+    rows = F.array(*[F.struct(F.lit(n).alias("row"), F.col(n).alias("body")) for n in "abc"])
+    three = two.withColumn("c", F.array_join(gapped, "")).select(F.col("pair_id").alias("aln"), F.inline(rows))
+    return utilities.project_rows(three, ["b", "c"])
+
+
 @query(
     "window_identity",
     f"""WITH {_COLUMNS}, w AS (SELECT pair_id, col, sum(CASE WHEN same AND x <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY col ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS hits, count(*) OVER (PARTITION BY pair_id ORDER BY col ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS n FROM cols),

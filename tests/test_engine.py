@@ -378,3 +378,13 @@ def test_block_queries_simplify_in_all_rounds(spark, monkeypatch):
     monkeypatch.setattr(simplify, "simplify", record)
     catalog.queries()["bulge_collapse"](spark, "/root/testdata/sf0.001")
     assert seen == [(catalog.K, catalog.REACH, 4)]
+
+
+def test_projection_of_many_rows_drops_columns_of_gaps(spark):
+    from helixlake.operators import utilities
+
+    rows = [(1, "x", "A-C--"), (1, "y", "A-G-T"), (1, "z", "ACG-T"), (2, "x", "--"), (2, "z", "AC"), (3, "x", ""), (4, "z", "A"), (5, "x", "A-"), (5, "y", "A")]
+    df = spark.createDataFrame(rows, "aln long, row string, body string")
+    got = sorted(tuple(r) for r in utilities.project_rows(df, ["x", "y"]).collect())
+    assert got == [(1, "x", "AC-"), (1, "y", "AGT"), (2, "x", ""), (3, "x", ""), (5, "x", "A"), (5, "y", "A")]
+    assert utilities.project_rows(df.limit(0), ["x"]).count() == 0
