@@ -3,6 +3,9 @@
 A k-mer starts somewhere on either strand. Equal k-mers are one vertex if they
 are preceded or followed by different letters, or touch the end of a sequence; the
 stretch between two vertices on a strand is an edge.
+
+Runs of neighbouring k-mers with the same minimiser cross the shuffle as one string
+(a super-k-mer), for both strands at once; k-mers are taken from them where they arrive.
 """
 
 from __future__ import annotations
@@ -54,9 +57,8 @@ def kmers(seqs: DataFrame, k: int) -> DataFrame:
         F.substring("piece", F.col("q") + 1, F.lit(1)).alias("prev"),
         F.substring("piece", F.col("q") + k + 2, F.lit(1)).alias("next"),
     ).where(~F.col("kmer").rlike("[^ACGT]"))
-    flip = lambda c: F.translate(F.col(c), "ACGT", "TGCA")
     plus = F.struct(F.lit(0).alias("strand"), F.col("p").alias("pos"), F.col("kmer").alias("kmer"), F.col("prev").alias("prev"), F.col("next").alias("next"))
-    minus = F.struct(F.lit(1).alias("strand"), (F.col("len") - k - F.col("p")).alias("pos"), reverse_complement("kmer").alias("kmer"), flip("next").alias("prev"), flip("prev").alias("next"))
+    minus = F.struct(F.lit(1).alias("strand"), (F.col("len") - k - F.col("p")).alias("pos"), reverse_complement("kmer").alias("kmer"), _flipped("next").alias("prev"), _flipped("prev").alias("next"))
     return here.select("chr", F.inline(F.array(plus, minus)))
 
 
@@ -65,12 +67,95 @@ def _bit(c: str):
     return F.when(F.col(c) == "A", 1).when(F.col(c) == "C", 2).when(F.col(c) == "G", 4).when(F.col(c) == "T", 8).when(F.col(c) == END, 16).otherwise(32)
 
 
-def extension_sets(windows: DataFrame) -> DataFrame:
-    """kmer, n, prev_mask, next_mask: the letters around each k-mer, as bits.
+def _swapped(mask: str):
+    """The bits of the letters on one side, as the other strand has them on its other side."""
+    m = F.col(mask)
+    part = lambda bit, left: F.shiftleft(m.bitwiseAND(bit), left) if left > 0 else F.shiftright(m.bitwiseAND(bit), -left)
+    return part(1, 3).bitwiseOR(part(2, 1)).bitwiseOR(part(4, -1)).bitwiseOR(part(8, -3)).bitwiseOR(m.bitwiseAND(48))
+
+
+def packed(kmer, k: int):
+    """Two bits a letter in a long, in order of the k-mers; the k-mer itself where 62 bits do not hold it."""
+    c = F.col(kmer) if isinstance(kmer, str) else kmer
+    return F.conv(F.translate(c, "ACGT", "0123"), 4, 10).cast("long") if k <= 31 else c
+
+
+def _least_ahead(values: str, shift: int):
+    """Each value, or the one so many places on if that is less."""
+    return F.transform(values, lambda x, i: F.least(x, F.get(values, i + shift)))
+
+
+def super_kmers(seqs: DataFrame, k: int) -> DataFrame:
+    """chr, len, at, mini, piece: every run of neighbouring k-mers of one minimiser.
+
+    The minimiser of a k-mer is the least hash of its m-letter words, each taken as it is or
+    reversed, whichever is less; so both strands, and all places, of a k-mer have the same.
+    A piece has the letter before its first k-mer, which is at ``at``, and that after its
+    last. Some (k - m) / 2 k-mers make a run, which takes k letters more than it has k-mers.
+    """
+    m = max(1, min(k // 2, 31))
+    width = k - m + 1
+    whole = seqs.where(F.length("seq") >= k).select("chr", F.length("seq").alias("len"), F.lit(0).alias("at"), F.concat(F.lit(END), "seq", F.lit(END)).alias("piece"))
+    parts = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = _tiles(_tiles(whole, 1 << 16, k + 1).repartition(parts, "chr", "at"), max(1 << 8, 1 << width.bit_length()), k + 1)
+    # One row of a generator each, so that lambdas read these and do not work them out for every letter.
+    rows = tiles.select("*", F.inline(F.array(F.struct(F.length("piece").alias("_size"), reverse_complement("piece").alias("_back")))))
+    word = lambda i: F.xxhash64(F.least(F.substring("piece", i + 1, F.lit(m)), F.substring("_back", F.col("_size") - i - m + 1, F.lit(m))))
+    rows = rows.withColumn("_least", F.transform(F.sequence(F.lit(1), F.col("_size") - m - 1), word))
+    have = 1
+    while have < width:  # the least over so many words, then over up to twice as many
+        shift = min(have, width - have)
+        rows = rows.withColumn("_least", _least_ahead("_least", shift))
+        have += shift
+    n = F.col("_size") - k - 1
+    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("_least", i) != F.get("_least", i - 1)))
+    rows = rows.withColumn("_first", first)
+    run = lambda s, j: F.struct(
+        (F.col("at") + s).alias("at"),
+        F.get("_least", s).alias("mini"),
+        F.substring("piece", s + 1, F.coalesce(F.get("_first", j + 1), n) - s + k + 1).alias("piece"),
+    )
+    return rows.select("chr", "len", F.inline(F.transform("_first", run)))
+
+
+def _each(runs: DataFrame, k: int) -> DataFrame:
+    """The k-mers of runs: their columns but ``piece``, and q (from the run's start), kmer, back (reversed), prev, next.
+
+    A run is reversed, and looked through for other letters, once for all its k-mers.
+    """
+    kept = [c for c in runs.columns if c != "piece"]
+    once = F.struct(F.length("piece").alias("_size"), reverse_complement("piece").alias("_back"), F.col("piece").rlike("[^ACGT#]").alias("_odd"))
+    rows = runs.select(*kept, "piece", F.inline(F.array(once))).select(*kept, "piece", "_size", "_back", "_odd", F.explode(F.sequence(F.lit(0), F.col("_size") - k - 2)).alias("q"))
+    letters = lambda start, n: F.substring("piece", F.col("q") + start, F.lit(n))
+    back = F.substring("_back", F.col("_size") - F.col("q") - k, F.lit(k))
+    each = rows.select(*kept, "_odd", "q", letters(2, k).alias("kmer"), back.alias("back"), letters(1, 1).alias("prev"), letters(k + 2, 1).alias("next"))
+    return each.where(~(F.col("_odd") & F.col("kmer").rlike("[^ACGT]"))).drop("_odd")
+
+
+def _flipped(c: str):
+    return F.translate(F.col(c), "ACGT", "TGCA")
+
 
-    Masks are combined before the shuffle, so a frequent k-mer is one row per task.
+def extension_sets(runs: DataFrame, k: int) -> DataFrame:
+    """kmer, n, prev_mask, next_mask, mini: the letters around each k-mer, as bits.
+
+    Equal runs, on either strand, are counted before and in a first shuffle, so that
+    copies are one row; a second deals different runs to their minimisers. The k-mers
+    of a minimiser are then together and are grouped where they are, by the lesser of
+    both strands, which gives the other as well.
     """
-    return windows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.bit_or(_bit("prev")).alias("prev_mask"), F.bit_or(_bit("next")).alias("next_mask"))
+    once = runs.groupBy("mini", F.least("piece", reverse_complement("piece")).alias("piece")).agg(F.count(F.lit(1)).alias("copies"))
+    here = _each(once.repartition("mini"), k).withColumn("_prev", _flipped("next")).withColumn("_next", _flipped("prev"))
+    as_read = F.col("kmer") <= F.col("back")
+    pick = lambda one, other: F.when(as_read, _bit(one)).otherwise(_bit(other))
+    sums = here.groupBy("mini", F.least("kmer", "back").alias("kmer")).agg(F.sum("copies").alias("n"), F.bit_or(pick("prev", "_prev")).alias("prev_mask"), F.bit_or(pick("next", "_next")).alias("next_mask"))
+    both = sums.withColumn("_back", reverse_complement("kmer")).withColumn("_prev", _swapped("next_mask")).withColumn("_next", _swapped("prev_mask"))
+    row = lambda kmer, n, before, after: F.struct(F.col(kmer).alias("kmer"), n.alias("n"), before.alias("prev_mask"), after.alias("next_mask"))
+    one = row("kmer", F.col("n"), F.col("prev_mask"), F.col("next_mask"))
+    # A k-mer that is its own reverse complement is there twice at each place.
+    own = row("kmer", 2 * F.col("n"), F.col("prev_mask").bitwiseOR(F.col("_prev")), F.col("next_mask").bitwiseOR(F.col("_next")))
+    other = row("_back", F.col("n"), F.col("_prev"), F.col("_next"))
+    return both.select("mini", F.inline(F.when(F.col("kmer") == F.col("_back"), F.array(own)).otherwise(F.array(one, other)))).select("kmer", "n", "prev_mask", "next_mask", "mini")
 
 
 def junctions(extensions: DataFrame) -> DataFrame:
@@ -98,14 +183,27 @@ def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
     return dealt.withColumn(name, (rank - 1 + offset).cast("long")).drop("_part")
 
 
-def vertices(windows: DataFrame) -> DataFrame:
-    """kmer, vertex (ids in order of k-mers), n."""
-    return numbered(junctions(extension_sets(windows)).select("kmer", "n"), "kmer", "vertex")
+def vertices(runs: DataFrame, k: int) -> DataFrame:
+    """kmer, n, mini, vertex (ids in order of k-mers)."""
+    return numbered(junctions(extension_sets(runs, k)).select("kmer", "n", "mini"), "kmer", "vertex")
+
 
+def vertex_instances(runs: DataFrame, vertex: DataFrame, k: int) -> DataFrame:
+    """chr, strand, pos, vertex, next: every place of a vertex.
 
-def vertex_instances(windows: DataFrame, vertex: DataFrame) -> DataFrame:
-    """chr, strand, pos, vertex, next: every place of a vertex."""
-    return windows.join(vertex.select("kmer", "vertex"), "kmer").select("chr", "strand", "pos", "vertex", "next")
+    Only runs whose minimiser some vertex has are looked at; a place meets the vertices
+    of both its strands in one row of an equi-join on packed k-mers.
+    """
+    near = runs.join(vertex.select("mini").distinct(), "mini", "left_semi")
+    here = _each(near, k).withColumn("p", F.col("at") + F.col("q"))
+    here = here.select("chr", "len", "p", "prev", "next", packed(F.least("kmer", "back"), k).alias("key"), (F.col("kmer") <= F.col("back")).alias("as_read"))
+    lesser = vertex.where(F.col("kmer") <= reverse_complement("kmer")).select("kmer", F.col("vertex").alias("one"))
+    greater = vertex.where(F.col("kmer") >= reverse_complement("kmer")).select(reverse_complement("kmer").alias("kmer"), F.col("vertex").alias("other"))
+    named = lesser.join(greater, "kmer").select(packed("kmer", k).alias("key"), "one", "other")
+    place = lambda strand, pos, one, other, after: F.struct(F.lit(strand).alias("strand"), pos.alias("pos"), F.when(F.col("as_read"), F.col(one)).otherwise(F.col(other)).alias("vertex"), after.alias("next"))
+    plus = place(0, F.col("p"), "one", "other", F.col("next"))
+    minus = place(1, F.col("len") - k - F.col("p"), "other", "one", _flipped("prev"))
+    return here.join(named, "key").select("chr", F.inline(F.array(plus, minus)))
 
 
 def edges(instances: DataFrame, seqs: DataFrame, k: int) -> DataFrame:
@@ -129,10 +227,10 @@ def edges(instances: DataFrame, seqs: DataFrame, k: int) -> DataFrame:
 
 
 def graph(seqs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(k-mers, vertices, edges) of a set of sequences; k-mers and vertices are written once."""
-    windows = stored(kmers(seqs, k), "kmers")
-    vertex = stored(vertices(windows), "vertices")
-    return windows, vertex, edges(vertex_instances(windows, vertex), seqs, k)
+    """(runs of k-mers, vertices, edges) of a set of sequences; runs and vertices are written once."""
+    runs = stored(super_kmers(seqs, k), "super-kmers")
+    vertex = stored(vertices(runs, k), "vertices")
+    return runs, vertex, edges(vertex_instances(runs, vertex, k), seqs, k)
 
 
 def plain_edges(windows: DataFrame) -> DataFrame:

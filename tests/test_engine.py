@@ -388,3 +388,34 @@ def test_projection_of_many_rows_drops_columns_of_gaps(spark):
     got = sorted(tuple(r) for r in utilities.project_rows(df, ["x", "y"]).collect())
     assert got == [(1, "x", "AC-"), (1, "y", "AGT"), (2, "x", ""), (3, "x", ""), (5, "x", "A"), (5, "y", "A")]
     assert utilities.project_rows(df.limit(0), ["x"]).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 2, 6, 31, 40])
+def test_super_kmers_give_every_kmer_of_both_strands(spark, k):
+    copied = letters(3, 500)
+    texts = (copied, rc(copied), "A" * 700, "AT" * 90, letters(4, 300) + "N" + letters(5, 60) + "X", "ACGT", "")
+    runs = kmers.super_kmers(make(spark, *texts), k)
+    n, before, after, places = defaultdict(int), defaultdict(set), defaultdict(set), defaultdict(set)
+    for c, t in enumerate(texts):
+        for strand, s in enumerate((t, rc(t))):
+            for p in range(len(s) - k + 1):
+                w = s[p : p + k]
+                if set(w) <= set("ACGT"):
+                    n[w] += 1
+                    before[w].add(s[p - 1] if p else "#")
+                    after[w].add(s[p + k] if p + k < len(s) else "#")
+                    places[w].add((c, strand, p))
+    bits = {"A": 1, "C": 2, "G": 4, "T": 8, "#": 16, "N": 32, "X": 32}
+    mask = lambda found: sum({bits[x] for x in found})
+    got = kmers.extension_sets(runs, k).collect()
+    assert sorted((r.kmer, r.n, r.prev_mask, r.next_mask) for r in got) == sorted((w, n[w], mask(before[w]), mask(after[w])) for w in n)
+    vertex = kmers.vertices(runs, k)
+    named = {r.vertex: r.kmer for r in vertex.collect()}
+    found = kmers.vertex_instances(runs, vertex, k).collect()
+    assert sorted((r.chr, r.strand, r.pos, named[r.vertex]) for r in found) == sorted((*p, w) for w in named.values() for p in places[w])
+
+
+def test_kmers_of_a_minimiser_are_grouped_without_another_shuffle(spark):
+    plan = kmers.extension_sets(kmers.super_kmers(make(spark, letters(6, 200)), 30), 30)._jdf.queryExecution().executedPlan().toString()
+    # Tiles, equal runs, minimisers: none of them moves a k-mer.
+    assert plan.count("Exchange") == 3
