@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import align, blocks, intervals, kmers, multiple, postprocess, reports, simplify, utilities, variants
+from ..operators import align, blocks, intervals, kmers, multiple, postprocess, reports, search, simplify, utilities, variants
 from ..session import stored
 from ..sources import fixtures
 from ..sources.sinks import vcf_header
@@ -666,6 +666,30 @@ def codon_translation(spark, sf):
     return _seqs(spark, sf).select("chr", *[F.get(S.six_frames("seq"), i).alias(f"frame{i}") for i in range(6)])
 
 
+_WORD = 12
+_SEEDS = f"""{_ALIGNED},
+free AS (SELECT pair_id, replace(a, '-', '') AS a, replace(b, '-', '') AS b FROM aligned),
+xs AS (SELECT pair_id, a AS x FROM free),
+ys AS (SELECT pair_id, 0 AS strand, CASE WHEN pair_id % 3 = 0 THEN reverse(translate(b, 'ACGT', 'TGCA')) ELSE b END AS y FROM free
+  UNION ALL SELECT pair_id, 1, CASE WHEN pair_id % 3 = 0 THEN b ELSE reverse(translate(b, 'ACGT', 'TGCA')) END FROM free),
+wx AS (SELECT pair_id, i, substr(x, i + 1, {_WORD}) AS word, CASE WHEN i = 0 THEN '<' ELSE substr(x, i, 1) END AS b1
+  FROM (SELECT *, unnest(range(0, length(x) - {_WORD - 1})) AS i FROM xs)),
+wy AS (SELECT pair_id, strand, j, substr(y, j + 1, {_WORD}) AS word, CASE WHEN j = 0 THEN '>' ELSE substr(y, j, 1) END AS b2
+  FROM (SELECT *, unnest(range(0, length(y) - {_WORD - 1})) AS j FROM ys)),
+seeds AS (SELECT pair_id, strand, i, j FROM wx JOIN wy USING (pair_id, word) WHERE b1 <> b2)"""
+
+
+@query("strand_seeds", f"WITH {_SEEDS} SELECT pair_id, strand, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM seeds")
+def strand_seeds(spark, sf):
+    pairs = fixtures.pairs_from_documents(spark, sf)
+    return search.seeds(search.frames(pairs, "a", False, False), search.frames(pairs, "b", True, False), _WORD).select("pair_id", "strand", "i", "j")
+
+
+@query("strand_hits")
+def strand_hits(spark, sf):
+    return search.search(stored(fixtures.pairs_from_documents(spark, sf), "pairs"), _WORD)
+
+
 _THREE = f"""{_ALIGNED},
 three AS (SELECT pair_id AS aln, a, b, array_to_string(list_transform(range(1, length(a) + 1), lambda i: CASE WHEN i % 101 = 0 OR substr(b, i, 1) = '-' THEN '-' ELSE substr(a, i, 1) END), '') AS c FROM aligned)"""
 

@@ -46,6 +46,13 @@ def aligned_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seqs.select(F.col("chr").cast("long").alias("pair_id"), F.array_join(a, "").alias("a"), F.array_join(b, "").alias("b"))
 
 
+def pairs_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pair_id, a, b: the aligned sequences without their gaps; of every third pair b is on the other strand."""
+    free = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
+    other = F.when(F.col("pair_id") % 3 == 0, reverse_complement(free("b"))).otherwise(free("b"))
+    return aligned_from_documents(spark, sf_dir).select("pair_id", free("a").alias("a"), other.alias("b"))
+
+
 #: The length of the sequences that blocks_from_lineitem lies on.
 BLOCK_SPACE = 100_100
 
