@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
 from ..session import stored
+from .places import looked_up, segments
 
 END = "#"
 
@@ -209,18 +210,17 @@ def vertex_instances(runs: DataFrame, vertex: DataFrame, k: int) -> DataFrame:
 def edges(instances: DataFrame, seqs: DataFrame, k: int) -> DataFrame:
     """The condensed graph: one row per stretch between neighbouring vertices of a strand.
 
-    ``seqs`` may have ``orig``, the original position of each letter; without it
-    letters are where they were read.
+    ``seqs`` may have ``places``, a map of original positions, in which the ends of an
+    edge are looked up; without it letters are where they were read.
     """
     order = Window.partitionBy("chr", "strand").orderBy("pos")
     step = instances.withColumn("end_vertex", F.lead("vertex").over(order)).withColumn("_to", F.lead("pos").over(order)).where("_to is not null")
     size = F.col("_to") - F.col("pos") + k
-    extra = ["orig"] if "orig" in seqs.columns else []
-    rows = step.join(seqs.select("chr", F.length("seq").alias("_len"), *extra), "chr").withColumn("actual_len", size)
+    rows = step.join(seqs.select("chr", F.length("seq").alias("_len")), "chr").withColumn("actual_len", size)
     rows = rows.withColumn("actual_pos", F.when(F.col("strand") == 0, F.col("pos")).otherwise(F.col("_len") - F.col("pos") - F.col("actual_len")))
-    if extra:
-        a, b = F.get("orig", F.col("actual_pos")), F.get("orig", F.col("actual_pos") + F.col("actual_len") - 1)
-        rows = rows.withColumn("orig_pos", F.least(a, b)).withColumn("orig_len", F.abs(a - b) + 1)
+    if "places" in seqs.columns:
+        rows = looked_up(rows.withColumn("_last", F.col("actual_pos") + F.col("actual_len") - 1), segments(seqs), actual_pos="_a", _last="_b")
+        rows = rows.withColumn("orig_pos", F.least("_a", "_b")).withColumn("orig_len", F.abs(F.col("_a") - F.col("_b")) + 1)
     else:
         rows = rows.withColumn("orig_pos", F.col("actual_pos")).withColumn("orig_len", F.col("actual_len"))
     return rows.select("chr", "strand", F.col("vertex").alias("start_vertex"), "end_vertex", "actual_pos", "actual_len", "orig_pos", "orig_len", F.col("next").alias("first_char"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import align, blocks, intervals, kmers, multiple, postprocess, reports, search, simplify, utilities, variants
+from ..operators import align, blocks, intervals, kmers, multiple, places, postprocess, reports, search, simplify, utilities, variants
 from ..session import stored
 from ..sources import fixtures
 from ..sources.sinks import vcf_header
@@ -169,6 +169,42 @@ def condensed_edges(spark, sf):
     return kmers.graph(_seqs(spark, sf), K)[2]
 
 
+# Every 500 letters, from 100 on, ten letters give way to fourteen or seven others in turn.
+_EDITED = f"""{_SEQS.replace("seqs AS", "base AS", 1)},
+pieces AS (SELECT chr, j, CASE WHEN j = 0 THEN 0 ELSE 500 * j - 390 END AS kept_from, CASE WHEN j = m THEN length(seq) ELSE 500 * j + 100 END AS kept_to,
+  CASE WHEN j = m THEN 0 WHEN j % 2 = 0 THEN 14 ELSE 7 END AS put, seq FROM (SELECT *, unnest(range(0, m + 1)) AS j FROM (SELECT *, greatest(0, (length(seq) + 390) // 500) AS m FROM base))),
+laid AS (SELECT chr, kept_from, kept_to, put, coalesce(sum(kept_to - kept_from + put) OVER (PARTITION BY chr ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS new_from FROM pieces),
+seqs AS (SELECT chr, string_agg(substr(seq, kept_from + 1, kept_to - kept_from) || substr('GATTACAGATTACA', 1, put), '' ORDER BY j) AS seq FROM pieces GROUP BY chr)"""
+
+
+def _read_at(p: str) -> str:
+    """Where the letter that lies as in piece ``p`` was read."""
+    off = f"({p}_at - {p}.new_from - ({p}.kept_to - {p}.kept_from))"
+    return f"CASE WHEN {off} < 0 THEN {p}.kept_to + {off} ELSE {p}.kept_to + least(9, {off} * 10 // {p}.put) END"
+
+
+@query(
+    "edited_edges",
+    f"""WITH {_EDGES.replace(_SEQS, _EDITED)},
+ends AS (SELECT *, actual_pos AS f_at, actual_pos + actual_len - 1 AS t_at FROM edges),
+ones AS (SELECT e.*, {_read_at("f")} AS a FROM ends e ASOF JOIN laid f ON e.chr = f.chr AND e.f_at >= f.new_from),
+spans AS (SELECT e.*, {_read_at("t")} AS b FROM ones e ASOF JOIN laid t ON e.chr = t.chr AND e.t_at >= t.new_from)
+SELECT chr, strand, start_vertex, end_vertex, CAST(actual_pos AS INTEGER) AS actual_pos, CAST(actual_len AS INTEGER) AS actual_len,
+CAST(least(a, b) AS INTEGER) AS orig_pos, CAST(abs(a - b) + 1 AS INTEGER) AS orig_len, first_char FROM spans""",
+)
+def edited_edges(spark, sf):
+    seqs = simplify.with_places(_seqs(spark, sf)).withColumn("m", F.greatest(F.lit(0), F.floor((F.length("seq") + 390) / 500)).cast("int"))
+    put = lambda j: F.when(j == F.col("m"), 0).when(j % 2 == 0, 14).otherwise(7)
+    kept = lambda j: F.substring("seq", F.when(j == 0, 1).otherwise(500 * j - 389), F.when(j == F.col("m"), F.length("seq")).when(j == 0, 100).otherwise(490))
+    piece = lambda j: F.concat(kept(j), F.substring(F.lit("GATTACAGATTACA"), F.lit(1), put(j)))
+    at = F.explode(F.filter(F.sequence(F.lit(0), F.col("m")), lambda j: j < F.col("m"))).alias("j")
+    edits = seqs.select("chr", "m", at).select("chr", (500 * F.col("j") + 100).alias("start"), (500 * F.col("j") + 110).alias("end"), put(F.col("j")).alias("size"))
+    moved = places.replaced(places.segments(seqs), edits).withColumnRenamed("places", "moved")
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.col("m")), piece), "")
+    new = seqs.withColumn("seq", text).join(moved, "chr", "left").withColumn("places", F.coalesce("moved", "places"))
+    return kmers.graph(stored(new.select("chr", "seq", "places"), "edited"), K)[2]
+
+
 @query(
     "raw_kmer_edges",
     f"""WITH {_KMERS}, e AS (SELECT strand, kmer, lead(kmer) OVER (PARTITION BY chr, strand ORDER BY pos) AS next_kmer FROM kmers)
@@ -268,7 +304,7 @@ def bulge_winners(spark, sf):
 
 @query("bulge_collapse")
 def bulge_collapse(spark, sf):
-    done = simplify.simplify(_seqs(spark, sf), K, REACH)
+    done = places.expanded(simplify.simplify(_seqs(spark, sf), K, REACH))
     return done.select("chr", F.length("seq").alias("size"), F.size("orig").alias("n_places"), F.sha2("seq", 256).alias("seq_sha256"), F.sha2(F.array_join("orig", ","), 256).alias("orig_sha256"))
 
 

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 from helixlake.functions import sequence as S
-from helixlake.operators import align, blocks, intervals, kmers, postprocess, simplify, variants
+from helixlake.operators import align, blocks, intervals, kmers, places, postprocess, simplify, variants
 from helixlake.plans import catalog
 from helixlake.plans.pipeline import CALLER, call_variants, find_blocks
 from helixlake.sources import fasta, sinks, stages
@@ -101,7 +101,7 @@ def test_settled_blocks_are_disjoint(spark):
 def test_a_bulge_of_one_letter_is_collapsed(spark):
     left, right = letters(7, 40), letters(8, 40)
     seqs = make(spark, left + "A" + right, left + "C" + right, left + "A" + right)
-    out = simplify.simplify(seqs, 12, 40, 3).orderBy("chr").collect()
+    out = places.expanded(simplify.simplify(seqs, 12, 40, 3)).orderBy("chr").collect()
     assert len({r.seq for r in out}) == 1
     assert all(len(r.seq) == len(r.orig) and r.orig == sorted(r.orig) for r in out)
 
@@ -116,7 +116,7 @@ def test_collapse_equals_edits_made_one_by_one(spark):
     rng = random.Random(1)
     sizes = [0, 60, 200, 900] * 5
     texts = ["".join(rng.choice("ACGTN") for _ in range(n)) for n in sizes]
-    places = [sorted((rng.randrange(2 * n) for _ in range(n)), reverse=c % 3 == 0) for c, n in enumerate(sizes)]
+    origs = [sorted((rng.randrange(2 * n) for _ in range(n)), reverse=c % 3 == 0) for c, n in enumerate(sizes)]
     bulges, want = [], {}
     for c, text in enumerate(texts):
         at, own = 0, []
@@ -128,15 +128,15 @@ def test_collapse_equals_edits_made_one_by_one(spark):
             bulges.append((w, c, strand, a, b, w_strand, w_a, w_b))
             new = texts[w][w_a:w_b]
             own.append((a, b, new if strand == w_strand else rc(new)))
-        seq, orig = text, list(places[c])
+        seq, orig = text, list(origs[c])
         for a, b, new in reversed(own):
             put = plain_places(orig[a], orig[b - 1], len(new), b - a) if new else []
             seq, orig[a:b] = seq[:a] + new + seq[b:], put
         want[c] = (seq, orig)
-    seqs = spark.createDataFrame([(c, c % 2, f"d{c}", t, p) for c, (t, p) in enumerate(zip(texts, places, strict=True))], "chr int, file_idx int, description string, seq string, orig array<int>")
+    seqs = spark.createDataFrame([(c, c % 2, f"d{c}", t, [(i, 1, o, 1, 1, 1, 0, 0) for i, o in enumerate(p)]) for c, (t, p) in enumerate(zip(texts, origs, strict=True))], "chr int, file_idx int, description string, seq string, places array<struct<" + ", ".join(f"{f}: int" for f in places.FIELDS) + ">>")
     rows = spark.createDataFrame(bulges, "w_chr int, chr int, strand int, start int, end int, w_strand int, w_start int, w_end int")
-    assert {r.chr: (r.seq, list(r.orig)) for r in simplify.collapse(seqs, rows, 5).collect()} == want
-    assert {r.chr: (r.seq, list(r.orig)) for r in simplify.collapse(seqs, rows.limit(0), 5).collect()} == {c: (t, p) for c, (t, p) in enumerate(zip(texts, places, strict=True))}
+    assert {r.chr: (r.seq, list(r.orig)) for r in places.expanded(simplify.collapse(seqs, rows, 5)).collect()} == want
+    assert {r.chr: (r.seq, list(r.orig)) for r in places.expanded(simplify.collapse(seqs, rows.limit(0), 5)).collect()} == {c: (t, p) for c, (t, p) in enumerate(zip(texts, origs, strict=True))}
 
 
 def test_gluing_joins_blocks_that_always_follow_each_other(spark):
