@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import align, blocks, intervals, kmers, multiple, places, postprocess, reports, search, simplify, utilities, variants
+from ..operators import align, anchors, blocks, intervals, kmers, multiple, places, postprocess, reports, search, simplify, utilities, variants
 from ..session import stored
 from ..sources import fixtures
 from ..sources.sinks import vcf_header
@@ -941,6 +941,50 @@ def hit_merge(spark, sf):
     return multiple.merged_hits(_hits(spark, sf).drop("strand"))
 
 
+_MET = f"""{_HITS}, met AS (SELECT a.*, b.s1 AS r_s1, b.e1 AS r_e1, b.s2 AS r_s2, b.e2 AS r_e2, b.score AS r_score,
+  least(least(a.e1, b.e1) - greatest(a.s1, b.s1), least(a.e2, b.e2) - greatest(a.s2, b.s2)) AS shared,
+  greatest(greatest(a.e1, b.e1) - least(a.s1, b.s1), greatest(a.e2, b.e2) - least(a.s2, b.s2)) AS spanned
+  FROM hits a JOIN hits b ON a.pair_id = b.pair_id AND a.strand = '+' AND b.strand = '-' AND a.s1 < b.e1 AND b.s1 < a.e1 AND a.s2 < b.e2 AND b.s2 < a.e2)"""
+
+
+def _two_tables(spark, sf):
+    hits = _hits(spark, sf)
+    return hits.where("strand = '+'").drop("strand"), hits.where("strand = '-'").drop("strand")
+
+
+@query("anchor_overlap", f"WITH {_MET} SELECT pair_id, s1, e1, s2, e2, score, r_s1, r_e1, r_s2, r_e2, r_score, shared, spanned FROM met")
+def anchor_overlap(spark, sf):
+    return anchors.overlaps(*_two_tables(spark, sf))
+
+
+@query(
+    "anchor_union",
+    f"""WITH {_MET}, gain AS (SELECT *, floor((score + r_score) * shared / spanned) AS joined FROM met)
+SELECT pair_id, s1, e1, s2, e2, score FROM hits
+UNION ALL SELECT pair_id, least(s1, r_s1), greatest(e1, r_e1), least(s2, r_s2), greatest(e2, r_e2), CAST(joined AS DOUBLE) FROM gain WHERE joined >= score AND joined >= r_score""",
+)
+def anchor_union(spark, sf):
+    return anchors.united(*_two_tables(spark, sf))
+
+
+@query(
+    "anchor_columns",
+    f"""WITH {_HITS}, {_COLUMNS}, l AS (SELECT pair_id, col, row_number() OVER (PARTITION BY pair_id ORDER BY col) - 1 AS letter FROM cols WHERE y <> '-')
+SELECT h.pair_id, s1, e1, CAST(f.col AS INTEGER) AS s2, CAST(t.col + 1 AS INTEGER) AS e2, score FROM hits h
+JOIN l f ON h.pair_id = f.pair_id AND h.s2 = f.letter JOIN l t ON h.pair_id = t.pair_id AND h.e2 - 1 = t.letter WHERE t.col + 1 - f.col >= 10""",
+)
+def anchor_columns(spark, sf):
+    rows = fixtures.aligned_from_documents(spark, sf).select("pair_id", F.col("b").alias("body"))
+    return anchors.carried(_hits(spark, sf).drop("strand"), anchors.letter_columns(rows), 2)
+
+
+@query("reanchored")
+def reanchored(spark, sf):
+    two = fixtures.aligned_from_documents(spark, sf)
+    columns = [anchors.letter_columns(two, body=row) for row in "ab"]
+    return anchors.reanchored(*_two_tables(spark, sf), *columns)
+
+
 @query("hit_swap", f"WITH {_HITS} SELECT pair_id, s2 AS s1, e2 AS e1, s1 AS s2, e1 AS e2, score, strand FROM hits")
 def hit_swap(spark, sf):
     return utilities.swapped(_hits(spark, sf))
