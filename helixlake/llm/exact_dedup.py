@@ -89,7 +89,9 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs`` that stay, with their columns and each once.
 
     A row stays if it is the kept row of its group. Rows that repeat with the
-    same id and text are the same document: one of them stays.
+    same id and text are the same document: one of them stays, that whose columns
+    as JSON come first. Null texts are empty ones and a null id is an id like any
+    other; an empty table gives an empty one. Texts of any length are digested whole.
     """
     decided = exact_dedup(docs, id_col, text_col, digest_all=True)
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
@@ -109,5 +111,5 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated = lost.where("some")
     if repeated.isEmpty():
         return single
-    first = rows.join(repeated.select("key", "sha"), ["key", "sha"], "left_semi").groupBy("key", "sha").agg(F.first("row").alias("row"))
+    first = rows.join(repeated.select("key", "sha"), ["key", "sha"], "left_semi").groupBy("key", "sha").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return single.unionAll(first.select("row.*"))
