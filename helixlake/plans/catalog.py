@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import align, anchors, blocks, intervals, kmers, multiple, places, postprocess, reports, search, simplify, utilities, variants
+from ..operators import align, anchors, blocks, conserved, intervals, kmers, multiple, places, postprocess, reports, search, simplify, utilities, variants
 from ..session import stored
 from ..sources import fixtures
 from ..sources.sinks import vcf_header
@@ -744,6 +744,51 @@ def project_rows(spark, sf):
     return utilities.project_rows(three, ["b", "c"])
 
 
+_MATCH, _MISMATCH, _CHANGE = conserved.scores(70)
+_PATH = f"""{_THREE},
+rws AS (SELECT aln, 'a' AS r, a AS body FROM three UNION ALL SELECT aln, 'b', b FROM three
+  UNION ALL SELECT aln, 'c', array_to_string(list_transform(range(0, length(c)), lambda i: CASE WHEN i // 300 % 2 = 1 THEN translate(c[i + 1], 'ACGT', 'CGTA') ELSE c[i + 1] END), '') FROM three),
+prs AS (SELECT x.aln, x.r, y.r AS q, x.body AS a, y.body AS b FROM rws x JOIN rws y ON x.aln = y.aln AND x.r < y.r),
+sums AS (SELECT aln, r, q, length(a) AS size, list_filter(list_transform(range(0, length(a)), lambda i: {{'c': i,
+  'm': CASE WHEN a[i + 1] = '-' AND b[i + 1] = '-' THEN NULL WHEN a[i + 1] = '-' OR b[i + 1] = '-' THEN -50 WHEN a[i + 1] = b[i + 1] THEN {_MATCH} ELSE {_MISMATCH} END,
+  'd': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT), 'kind': -1, 'pl': CAST(0 AS BIGINT), 'k': CAST(0 AS BIGINT), 'cuts': CAST([] AS STRUCT(kind INTEGER, pl BIGINT, k BIGINT)[])}}), lambda e: e.m IS NOT NULL) AS l FROM prs),
+paths AS (SELECT *, list_reduce(l, lambda s, e: {{'c': e.c, 'm': e.m, 'd': greatest({-_CHANGE}, least({_CHANGE}, s.d)) + e.m, 'n': s.n + 1,
+  'kind': CASE WHEN s.d > {_CHANGE} THEN 1 WHEN s.d <= {-_CHANGE} THEN 0 ELSE s.kind END,
+  'pl': CASE WHEN s.d > {_CHANGE} OR s.d <= {-_CHANGE} THEN e.c ELSE s.pl END, 'k': CASE WHEN s.d > {_CHANGE} OR s.d <= {-_CHANGE} THEN s.n ELSE s.k END,
+  'cuts': CASE WHEN (s.d > {_CHANGE} AND s.kind = 0) OR (s.d <= {-_CHANGE} AND s.kind = 1) THEN list_append(s.cuts, {{'kind': s.kind, 'pl': s.pl, 'k': s.k}}) ELSE s.cuts END}},
+  {{'c': CAST(0 AS BIGINT), 'm': 0, 'd': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT), 'kind': -1, 'pl': CAST(0 AS BIGINT), 'k': CAST(0 AS BIGINT), 'cuts': CAST([] AS STRUCT(kind INTEGER, pl BIGINT, k BIGINT)[])}}) AS p FROM sums),
+events AS (SELECT aln, r, q, unnest(p.cuts, recursive := true) FROM paths UNION ALL SELECT aln, r, q, p.kind, p.pl, p.k FROM paths WHERE p.kind >= 0
+  UNION ALL SELECT aln, r, q, CASE WHEN p.d > 0 THEN 1 ELSE 0 END, size, p.n FROM paths),
+turns AS (SELECT * FROM (SELECT *, lead(kind) OVER (PARTITION BY aln, r, q ORDER BY pl) AS next_kind FROM events) WHERE next_kind IS NULL OR next_kind <> kind),
+spans AS (SELECT aln, r, q, kind, coalesce(lag(pl) OVER o, 0) AS f, pl AS t, k - coalesce(lag(k) OVER o, 0) AS n FROM turns WINDOW o AS (PARTITION BY aln, r, q ORDER BY pl)),
+regions AS (SELECT s.aln, s.r, s.q, min(e.c) AS "start", max(e.c) + 1 AS "end", count(*) AS n FROM spans s JOIN (SELECT aln, r, q, unnest(list_transform(l, lambda e: {{'c': e.c}}), recursive := true) FROM sums) e
+  ON s.aln = e.aln AND s.r = e.r AND s.q = e.q AND e.c >= s.f AND e.c < s.t WHERE s.kind = 1 AND s.n > 0 GROUP BY s.aln, s.r, s.q, s.f)"""
+
+
+def _three_rows(spark, sf):
+    """Rows a, b and c of each alignment; every other 300 columns c has other letters than a."""
+    two = fixtures.aligned_from_documents(spark, sf)
+    gapped = lambda z, i: F.when(((i + 1) % 101 == 0) | (z["y"] == "-"), "-").otherwise(z["x"])
+    other = lambda z, i: F.when(F.floor(i / 300) % 2 == 1, F.translate(gapped(z, i), "ACGT", "CGTA")).otherwise(gapped(z, i))
+    third = F.transform(F.arrays_zip(F.split("a", "").alias("x"), F.split("b", "").alias("y")), other)
+    rows = F.array(*[F.struct(F.lit(n).alias("row"), F.col(n).alias("body")) for n in "abc"])
+    return two.withColumn("c", F.array_join(third, "")).select(F.col("pair_id").alias("aln"), F.inline(rows))
+
+
+@query("conserved_regions", f"""WITH {_PATH} SELECT aln, r AS "row", q AS r_row, CAST("start" AS INTEGER) AS "start", CAST("end" AS INTEGER) AS "end", n FROM regions""")
+def conserved_regions(spark, sf):
+    return conserved.conserved_regions(stored(conserved.row_pairs(_three_rows(spark, sf)), "row-pairs"), ["aln", "row", "r_row"])
+
+
+@query(
+    "alignment_score",
+    f"""WITH {_PATH}, e AS (SELECT aln, r, q, min("start") AS s, max("end") AS t, sum(n) AS n FROM regions GROUP BY ALL), u AS (SELECT aln, sum(n) AS n, max(s) AS s, min(t) AS t FROM e GROUP BY aln)
+SELECT aln, CAST(coalesce(n, 0) AS BIGINT) AS score, CAST(coalesce(s, 0) AS INTEGER) AS "start", CAST(coalesce(t, length(a)) AS INTEGER) AS "end" FROM three LEFT JOIN u USING (aln)""",
+)
+def alignment_score(spark, sf):
+    return conserved.alignment_score(stored(_three_rows(spark, sf), "rows"), bounds="intersection")
+
+
 @query(
     "window_identity",
     f"""WITH {_COLUMNS}, w AS (SELECT pair_id, col, sum(CASE WHEN same AND x <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY col ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS hits, count(*) OVER (PARTITION BY pair_id ORDER BY col ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS n FROM cols),
