@@ -733,13 +733,6 @@ def word_pairs(spark, sf):
     return found.groupBy("pair_id", "strand").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("sum_i"), F.sum("j").alias("sum_j"))
 
 
-@query("seed_chains")
-def seed_chains(spark, sf):
-    pairs = fixtures.pairs_from_documents(spark, sf)
-    found = search.seeds(search.frames(pairs, "a", False, False), search.frames(pairs, "b", True, False), _WORD, every=True)
-    return search.chained_seeds(found, _WORD).select("pair_id", "strand", "s1", "e1", "s2", "e2", "score")
-
-
 _THREE = f"""{_ALIGNED},
 three AS (SELECT pair_id AS aln, a, b, array_to_string(list_transform(range(1, length(a) + 1), lambda i: CASE WHEN i % 101 = 0 OR substr(b, i, 1) = '-' THEN '-' ELSE substr(a, i, 1) END), '') AS c FROM aligned)"""
 
