@@ -151,7 +151,7 @@ def masked_ranges(seqs: DataFrame, ranges: DataFrame) -> DataFrame:
     """Sequences with the letters of their ranges (chr, from_, to_) as N."""
     own = ranges.groupBy("chr").agg(F.collect_list(F.struct("from_", "to_")).alias("r"))
     letters = F.transform(F.split("seq", ""), lambda c, i: F.when(F.exists("r", lambda x: (x["from_"] <= i) & (i < x["to_"])), F.lit("N")).otherwise(c))
-    return seqs.join(own, "chr", "left").withColumn("seq", F.when(F.col("r").isNull(), F.col("seq")).otherwise(F.array_join(letters, ""))).drop("r")
+    return seqs.join(own, "chr", "left").withColumn("seq", F.when(F.col("r").isNull() | (F.col("seq") == ""), F.col("seq")).otherwise(F.array_join(letters, ""))).drop("r")
 
 
 def merged_sequences(seqs: DataFrame) -> DataFrame:
