@@ -377,71 +377,95 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], names=["token", "node", "at", "grp"])
 
 
-def _alike_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (token, at, node): pairs of a token's sets, of different groups, that may
-    have similarity 4/5."""
-
-    def paired(token: np.ndarray, node: np.ndarray, at: np.ndarray, grp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n, place = at >> 32, at & 0xFFFFFFFF
-        edges = np.flatnonzero(np.diff(token)) + 1
-        ends = np.append(edges, len(token))
-        row = np.arange(len(token))
-        # Rows of a token go by n: a partner has at most 5/4 of a row's n.
-        number = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends]))) << 33
-        count = np.searchsorted(number + n, number + n * 5 // 4, "right") - row - 1
-        row, count = row[count > 0], count[count > 0]
-        sums = np.cumsum(count)
-        k = 0
-        while k < len(row):
-            to = max(k + 1, int(np.searchsorted(sums, (sums[k - 1] if k else 0) + _PAIRS, "right")))
-            left = np.repeat(row[k:to], count[k:to])
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count[k:to]) - count[k:to], count[k:to])
-            k = to
-            shared = np.minimum(n[left] - place[left], n[right] - place[right])  # at most, if this is their first common one
-            ok = (grp[left] != grp[right]) & (9 * shared >= 4 * (n[left] + n[right]))
-            a, b = node[left[ok]], node[right[ok]]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+def _partners(n: np.ndarray, place: np.ndarray, grp: np.ndarray, token: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows sorted by (token, n): runs of pairs of a token's rows, of different groups, whose
+    sizes and places in the prefix allow similarity 4/5."""
+    edges = np.flatnonzero(np.diff(token)) + 1
+    ends = np.append(edges, len(token))
+    row = np.arange(len(token))
+    # Rows of a token go by n: a partner has at most 5/4 of a row's n.
+    number = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends]))) << 33
+    count = np.searchsorted(number + n, number + n * 5 // 4, "right") - row - 1
+    row, count = row[count > 0], count[count > 0]
+    sums = np.cumsum(count)
+    k = 0
+    while k < len(row):
+        to = max(k + 1, int(np.searchsorted(sums, (sums[k - 1] if k else 0) + _PAIRS, "right")))
+        left = np.repeat(row[k:to], count[k:to])
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count[k:to]) - count[k:to], count[k:to])
+        k = to
+        shared = np.minimum(n[left] - place[left], n[right] - place[right])  # at most, if this is their first common one
+        ok = (grp[left] != grp[right]) & (9 * shared >= 4 * (n[left] + n[right]))
+        yield left[ok], right[ok]
+
+
+def _by_token(of_tokens):
+    """Rows sorted by their first column: ``of_tokens`` gets whole tokens of a few batches at once."""
 
-    held: list[tuple[np.ndarray, ...]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = tuple(c.to_numpy() for c in batch.columns)
-        if held and new[0][-1] == held[0][0][0]:  # a token that goes on
-            held.append(new)
-            continue
-        columns = [np.concatenate(x) for x in zip(*held, new, strict=True)]
-        cut = int(np.flatnonzero(np.diff(columns[0]))[-1]) + 1 if columns[0][0] != columns[0][-1] else 0
-        if cut:
-            yield from paired(*(c[:cut] for c in columns))
-        held = [tuple(c[cut:] for c in columns)]
-    if held:
-        yield from paired(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-
-def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, n_a, n_b, bits_a, bits_b): the pairs that may have similarity 4/5.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token = batch.column(0).to_numpy()
+            if held and token[-1] == held[0].column(0)[0].as_py():  # a token that goes on
+                held.append(batch)
+                continue
+            cut = int(np.searchsorted(token, token[-1]))  # the last token may go on
+            if held or cut:
+                every = pa.concat_batches([*held, batch])
+                at = every.num_rows - batch.num_rows + cut
+                yield from of_tokens(every.slice(0, at))
+                held = [every.slice(at)]
+            else:
+                held = [batch]
+        if held:
+            yield from of_tokens(pa.concat_batches(held))
+
+    return run
+
+
+def _met(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows (token, at, node, grp) sorted by these: those that have a partner."""
+    token, at, _, grp = (c.to_numpy() for c in batch.columns)
+    met = np.zeros(batch.num_rows, bool)
+    for left, right in _partners(at >> 32, at & 0xFFFFFFFF, grp, token):
+        met[left] = met[right] = True
+    yield batch.filter(pa.array(met))
+
+
+def _alike_pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows (token, at, node, grp, bits) sorted by these: pairs (a, b) of a token's sets, of different
+    groups, that may have similarity 4/5.
 
     A bucket that only one of two sets has holds a shingle that only this one has. So
     a set's buckets bound what the two share, and no pair of the similarity is lost.
     """
-    for batch in batches:
-        n = [batch.column(i).to_numpy().astype(np.int64) for i in (2, 3)]
-        bits = [batch.column(i).to_pylist() for i in (4, 5)]
-        size = np.array([[len(x) for x in own] for own in bits], np.int64).reshape(2, -1)
-        ok = np.zeros(batch.num_rows, bool)
-        for x, y in np.unique(size, axis=1).T.tolist():
-            rows = np.flatnonzero((size[0] == x) & (size[1] == y))
-            both = []
-            for own, k in zip(bits, (x, y), strict=True):
-                m = np.frombuffer(b"".join(own[r] for r in rows), "<u8").reshape(len(rows), k // 8)
-                while m.shape[1] * 8 > min(x, y):  # half as many buckets
-                    m = m[:, : m.shape[1] // 2] | m[:, m.shape[1] // 2 :]
-                both.append(m)
-            shared = [n[i][rows] - np.bitwise_count(both[i] & ~both[1 - i]).sum(axis=1, dtype=np.int64) for i in (0, 1)]
-            ok[rows] = 9 * np.minimum(*shared) >= 4 * (n[0][rows] + n[1][rows])
-        yield batch.select([0, 1]).filter(pa.array(ok))
+    token, at, node, grp = (c.to_numpy() for c in batch.columns[:4])
+    bits, n = batch.column(4), at >> 32
+    size = np.array([len(x.as_buffer()) for x in bits], np.int64)
+    first = np.cumsum(size) - size
+    words = np.frombuffer(b"".join(bits.to_pylist()), "<u8")
+    for left, right in _partners(n, at & 0xFFFFFFFF, grp, token):
+        kept = []
+        for x, y in np.unique(np.stack([size[left], size[right]]), axis=1).T.tolist():
+            mine = np.flatnonzero((size[left] == x) & (size[right] == y))
+            step = max(1, (1 << 24) // max(x, y))
+            for k in range(0, len(mine), step):
+                pair = mine[k : k + step]
+                both = []
+                for rows in (left[pair], right[pair]):
+                    m = words[(first[rows] // 8)[:, None] + np.arange(size[rows[0]] // 8)]
+                    while m.shape[1] * 8 > min(x, y):  # half as many buckets
+                        m = m[:, : m.shape[1] // 2] | m[:, m.shape[1] // 2 :]
+                    both.append(m)
+                shared = [n[rows] - np.bitwise_count(m & ~o).sum(axis=1, dtype=np.int64) for rows, m, o in ((left[pair], *both), (right[pair], *both[::-1]))]
+                kept.append(pair[9 * np.minimum(*shared) >= 4 * (n[left[pair]] + n[right[pair]])])
+        if kept:
+            own = np.concatenate(kept)
+            a, b = node[left[own]], node[right[own]]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -518,15 +542,16 @@ def alike_groups(docs: DataFrame, shingle: int = 5, seed: int = 42, radius: int
         release(pairs)
         groups = written(components(some), "alike-roots")
         rows = nodes.join(groups, "node", "left").select("node", "n", "prefix", F.coalesce("root", "node").alias("grp")).mapInArrow(_prefix_rows, "token long, node long, at long, grp long")
-        dealt = rows.repartition("token").sortWithinPartitions("token", "at", "node")
-        pairs = written(dealt.mapInArrow(_alike_pairs, "a long, b long").distinct(), "prefix-pairs")
+        order = ("token", "at", "node")
+        dealt = rows.repartition("token").sortWithinPartitions(*order).select(*order, "grp")
+        met = written(dealt.mapInArrow(_by_token(_met), "token long, at long, node long, grp long"), "prefix-rows")
         del rows, dealt
         release(groups)
-        ends = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab"]
-        bounded = pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-        every, pairs = pairs, written(bounded.mapInArrow(_possible, "a long, b long"), "possible-pairs")
-        del bounded
-        release(every)
+        # only what has a partner takes its bits along; pairs that these rule out are not written
+        bound = met.join(nodes.select("node", "bits"), "node").repartition("token").sortWithinPartitions(*order).select(*order, "grp", "bits")
+        pairs = written(bound.mapInArrow(_by_token(_alike_pairs), "a long, b long").distinct(), "possible-pairs")
+        del bound
+        release(met)
         rest = verified_links(pairs, nodes, texts, shingle, seed)
         release(pairs)
         return some.unionByName(rest)

@@ -192,3 +192,29 @@ def test_registered_ledger_equals_its_sql(spark):
     want = con.execute(queries.oracle_sql()["op11_quality_rules"])
     assert [c[0] for c in want.description] == got.columns
     assert order(tuple(r) for r in got.collect()) == order(want.fetchall())
+
+
+def test_texts_with_a_common_passage_are_not_paired(spark, monkeypatch):
+    """Texts that share too little for a similarity of 0.8 are told apart where they meet; their pairs are not written."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from helixlake.llm import simhash
+
+    rnd = random.Random(7)
+    word = lambda: f"w{rnd.randrange(10**9)}"
+    passage = [word() for _ in range(74)]
+    texts = [(i, " ".join(passage + [word() for _ in range(30)])) for i in range(150)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").where("pmod(xxhash64(text), 64) <> 0").cache()
+    sizes, write = {}, simhash.written
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    groups = simhash.alike_groups(docs)
+    assert groups.where(F.col("doc_id") != F.col("component_id")).count() == 0
+    assert sum(sizes.values()) and max(sizes.values()) <= 25 * docs.count(), sizes
