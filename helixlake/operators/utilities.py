@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,6 +172,22 @@ def overlaid(cols: DataFrame, letters: DataFrame) -> DataFrame:
     return rows.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("col", cell.alias("c")))).alias("r")).select("pair_id", F.array_join(F.col("r.c"), "").alias("row"))
 
 
+def _threaded(batches):
+    """(pair_id, a, seq) to (pair_id, row): the letters of seq one by one in the places of a's."""
+    for batch in batches:
+        rows = []
+        for a, seq in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            letters = iter(seq)
+            rows.append("".join(c if c == "-" else next(letters, "") for c in a))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.string())], names=["pair_id", "row"])
+
+
+def overlaid_rows(pairs: DataFrame, letters: DataFrame) -> DataFrame:
+    """What ``overlaid`` gives, from whole rows (pair_id, a): a row meets its letters once, and no column is a row."""
+    both = pairs.where("length(a) > 0").join(letters, "pair_id")
+    return both.select("pair_id", "a", "seq").mapInArrow(_threaded, "pair_id long, row string")
+
+
 def contig_groups(intervals: DataFrame, keys: list[str]) -> DataFrame:
     """Groups of contigs that overlap, numbered along each sequence."""
     found = islands(intervals, keys)
