@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import conventional_end, conventional_start, reverse_complement, without_gaps
+from ..session import stored
 from .intervals import complement
+from .kmers import _tiles
 from .postprocess import unique_blocks
 
 #: Fixed value: matches shorter than this between differences belong to one variant.
@@ -142,6 +144,26 @@ def uncovered(blocks: DataFrame, seqs: DataFrame, min_size: int) -> DataFrame:
     return gaps.join(seqs.select("chr", "file_idx"), "chr")
 
 
+def with_letters(rows: DataFrame, seqs: DataFrame, start: str, end: str, name: str, tile: int = 1 << 12) -> DataFrame:
+    """``rows`` (chr, ...; all different) with the letters of their sequence from ``start`` to ``end`` as ``name``.
+
+    A substring is counted from the start of its string, and a sequence that meets its rows is
+    held for each. So rows meet the tiles of a sequence that they touch; those that touch one
+    tile, mostly all, have their letters then, the others put theirs together.
+    """
+    keep = rows.columns
+    whole = seqs.where("length(seq) > 0").select("chr", F.lit(0).alias("at"), F.col("seq").alias("piece"))
+    tiles = _tiles(_tiles(whole, max(tile, 1 << 16), 0), tile, 0).select("chr", F.floor(F.col("at") / tile).alias("_tile"), F.col("at").alias("_at"), "piece")
+    first, last = F.floor(F.col(start) / tile), F.floor((F.greatest(F.col(end), F.col(start) + 1) - 1) / tile)
+    parts = rows.withColumn("_n", last - first).withColumn("_tile", F.explode(F.sequence(first, last)))
+    begin = F.greatest(F.col(start), F.col("_at"))
+    own = F.substring("piece", (begin - F.col("_at") + 1).cast("int"), F.greatest(F.least(F.col(end), F.col("_at") + tile) - begin, F.lit(0)).cast("int"))
+    met = parts.join(tiles, ["chr", "_tile"], "left").select(*keep, "_n", "_tile", F.coalesce(own, F.lit("")).alias(name))
+    one = met.where("_n = 0").select(*keep, name)
+    more = met.where("_n > 0").groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct("_tile", name))).alias("_l"))
+    return one.unionByName(more.select(*keep, F.array_join(F.col(f"_l.{name}"), "").alias(name)))
+
+
 def large_indels(blocks: DataFrame, seqs: DataFrame, min_size: int, last_stage: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(placed, unplaced): deletions and insertions from uncovered segments.
 
@@ -151,17 +173,18 @@ def large_indels(blocks: DataFrame, seqs: DataFrame, min_size: int, last_stage:
     no letter to anchor to, it stays unplaced.
     """
     main = blocks if last_stage is None else last_stage
-    gaps = uncovered(blocks, seqs, min_size).join(seqs.select("chr", "seq"), "chr")
-    gap = F.substring("seq", F.col("gap_start") + 1, F.col("gap_end") - F.col("gap_start"))
-    before = F.when(F.col("gap_start") > 0, F.substring("seq", F.col("gap_start"), F.lit(1)))
+    gaps = uncovered(blocks, seqs, min_size).withColumn("_from", F.greatest(F.col("gap_start") - 1, F.lit(0)))
+    gaps = stored(with_letters(gaps, seqs, "_from", "gap_end", "letters"), "gaps")
+    gap = F.when(F.col("gap_start") > 0, F.substring("letters", 2, (1 << 31) - 1)).otherwise(F.col("letters"))
+    before = F.when(F.col("gap_start") > 0, F.substring("letters", 1, 1))
     none = F.lit(None).cast("int")
-    deletion = gaps.where("file_idx = 0").select("chr", F.col("gap_start").cast("int").alias("pos"), none.alias("contig"), none.alias("assembly_pos"), F.concat(F.coalesce(before, F.lit("")), gap).alias("ref"), before.alias("alt"), none.alias("block_id"))
+    deletion = gaps.where("file_idx = 0").select("chr", F.col("gap_start").cast("int").alias("pos"), none.alias("contig"), none.alias("assembly_pos"), F.col("letters").alias("ref"), before.alias("alt"), none.alias("block_id"))
     unique = unique_blocks(main, seqs, min_size)
     anchor = unique.select(F.col("a_chr").alias("chr"), F.col("a_end").cast("long").alias("gap_start"), "r_chr", F.when(F.col("a_sign") > 0, F.col("r_end")).otherwise(F.col("r_start")).alias("r_pos"))
     here = gaps.where("file_idx <> 0").select("chr", "gap_start", gap.alias("inserted")).join(anchor, ["chr", "gap_start"], "left")
-    placed = here.where("r_pos > 0").join(seqs.select(F.col("chr").alias("r_chr"), F.col("seq").alias("r_seq")), "r_chr")
-    letter = F.substring("r_seq", F.col("r_pos"), F.lit(1))
-    insertion = placed.select(F.col("r_chr").alias("chr"), F.col("r_pos").cast("int").alias("pos"), F.col("chr").alias("contig"), F.col("gap_start").cast("int").alias("assembly_pos"), letter.alias("ref"), F.concat(letter, "inserted").alias("alt"), none.alias("block_id"))
+    spot = here.where("r_pos > 0").select(F.col("r_chr").alias("chr"), "r_pos", (F.col("r_pos") - 1).alias("_before"), F.col("chr").alias("contig"), "gap_start", "inserted")
+    letter = F.col("_letter")
+    insertion = with_letters(spot, seqs, "_before", "r_pos", "_letter").select("chr", F.col("r_pos").cast("int").alias("pos"), "contig", F.col("gap_start").cast("int").alias("assembly_pos"), letter.alias("ref"), F.concat(letter, "inserted").alias("alt"), none.alias("block_id"))
     unplaced = here.where("r_pos is null or r_pos <= 0").select(F.col("chr").alias("contig"), F.col("gap_start").cast("int").alias("assembly_pos"), F.col("inserted").alias("alt"))
     return deletion.unionByName(insertion), unplaced
 
