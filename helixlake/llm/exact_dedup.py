@@ -105,9 +105,9 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     # The row goes through as a struct, so no column of it can clash with these.
     rows = docs.select(F.struct("*").alias("row"), key(id_col).alias("key"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha"))
-    # Only the keys of the rows that go are met, not every text: while they are few, the
-    # table's size lets Spark broadcast them and no text is moved.
-    single = rows.join(lost.select("key", "sha"), ["key", "sha"], "left_anti").select("row.*")
+    # The keys of the rows that go follow the input. A merge join keeps one plan at every size:
+    # each text is moved once, where a broadcast would give way to this at some size anyway.
+    single = rows.join(lost.select("key", "sha").hint("merge"), ["key", "sha"], "left_anti").select("row.*")
     repeated = lost.where("some")
     if repeated.isEmpty():
         return single

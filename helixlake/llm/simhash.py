@@ -434,9 +434,9 @@ def _met(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield batch.filter(pa.array(met))
 
 
-def _alike_pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _alike_pairs(batch: pa.RecordBatch, first_only: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows (token, at, node, grp, bits) sorted by these: pairs (a, b) of a token's sets, of different
-    groups, that may have similarity 4/5.
+    groups, that may have similarity 4/5. ``first_only``: of each row the pair with the first partner.
 
     A bucket that only one of two sets has holds a shingle that only this one has. So
     a set's buckets bound what the two share, and no pair of the similarity is lost.
@@ -446,6 +446,7 @@ def _alike_pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     size = np.array([len(x.as_buffer()) for x in bits], np.int64)
     first = np.cumsum(size) - size
     words = np.frombuffer(b"".join(bits.to_pylist()), "<u8")
+    partner = np.full(batch.num_rows, batch.num_rows)
     for left, right in _partners(n, at & 0xFFFFFFFF, grp, token):
         kept = []
         for x, y in np.unique(np.stack([size[left], size[right]]), axis=1).T.tolist():
@@ -463,9 +464,21 @@ def _alike_pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
                 kept.append(pair[9 * np.minimum(*shared) >= 4 * (n[left[pair]] + n[right[pair]])])
         if kept:
             own = np.concatenate(kept)
+            if first_only:
+                np.minimum.at(partner, right[own], left[own])
+                continue
             a, b = node[left[own]], node[right[own]]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+    if first_only:
+        own = np.flatnonzero(partner < batch.num_rows)
+        a, b = node[partner[own]], node[own]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+
+def _first_pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return _alike_pairs(batch, first_only=True)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -547,11 +560,22 @@ def alike_groups(docs: DataFrame, shingle: int = 5, seed: int = 42, radius: int
         met = written(dealt.mapInArrow(_by_token(_met), "token long, at long, node long, grp long"), "prefix-rows")
         del rows, dealt
         release(groups)
-        # only what has a partner takes its bits along; pairs that these rule out are not written
-        bound = met.join(nodes.select("node", "bits"), "node").repartition("token").sortWithinPartitions(*order).select(*order, "grp", "bits")
-        pairs = written(bound.mapInArrow(_by_token(_alike_pairs), "a long, b long").distinct(), "possible-pairs")
-        del bound
-        release(met)
+
+        def possible(of_tokens) -> DataFrame:
+            """The pairs of ``met`` between groups: only what has a partner takes its bits along, and what these rule out is not written."""
+            rows = met.drop("grp").join(grouped, "node", "left").withColumn("grp", F.coalesce("grp", "node")) if grouped is not None else met
+            bound = rows.join(nodes.select("node", "bits"), "node").repartition("token").sortWithinPartitions(*order).select(*order, "grp", "bits")
+            return written(bound.mapInArrow(_by_token(of_tokens), "a long, b long").distinct(), "possible-pairs")
+
+        # First each row's first partner, so that a group of copies that the fingerprints left in parts is one before all its pairs are taken.
+        grouped = None
+        pairs = possible(_first_pairs)
+        more = verified_links(pairs, nodes, texts, shingle, seed)
+        release(pairs)
+        some = some.unionByName(more)
+        grouped = written(components(some).select("node", F.col("root").alias("grp")), "alike-roots")
+        pairs = possible(_alike_pairs)
+        release(met, grouped)
         rest = verified_links(pairs, nodes, texts, shingle, seed)
         release(pairs)
         return some.unionByName(rest)

@@ -218,3 +218,30 @@ def test_texts_with_a_common_passage_are_not_paired(spark, monkeypatch):
     groups = simhash.alike_groups(docs)
     assert groups.where(F.col("doc_id") != F.col("component_id")).count() == 0
     assert sum(sizes.values()) and max(sizes.values()) <= 25 * docs.count(), sizes
+
+
+def test_parts_of_a_group_of_copies_meet_before_all_pairs_are_taken(spark, monkeypatch):
+    """The fingerprints find nothing (radius 0): 60 near copies are left, and their pairs were all written."""
+    from helixlake.llm import simhash
+
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        own[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, " ".join(f"{c}{i}" for c in "abcdefgh")) for i in range(40)]
+    sizes, written = [], simhash.written
+
+    def seen(df, name):
+        out = written(df, name)
+        if name == "possible-pairs":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", seen)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.alike_groups(docs, radius=0, segments=4).collect()}
+    assert got == {i: 0 if i < 60 else i for i, _ in rows}
+    assert sum(sizes) < 60 * 59 // 4
