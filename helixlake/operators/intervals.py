@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,39 +59,106 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], width: int) -
     return joined.where(F.floor(F.greatest("start", "r_start") / width) == F.col("_bin")).drop("_bin")
 
 
-def _whole_blocks(levels: int):
-    """The largest aligned blocks of 2^level places that make up [start, end), as (level, block)."""
-    two = []
-    for level in range(levels + 1):
-        first = F.shiftright(F.col("start").cast("long") + (1 << level) - 1, level)
-        end = F.shiftright(F.col("end").cast("long"), level)
-        odd = lambda c: c.bitwiseAND(F.lit(1).cast("long")) == 1
-        row = lambda b: F.struct(F.lit(level).alias("_level"), b.alias("_block"))
-        two += [F.when((first < end) & odd(first), row(first)), F.when((first < end) & odd(end) & ((end - 1 != first) | ~odd(first)), row(end - 1))]
-    return F.inline(F.filter(F.array(*two), lambda x: x.isNotNull()))
-
-
-def _blocks_around(levels: int):
-    """The aligned blocks of 2^level places that hold ``start``, as (level, block)."""
-    return F.inline(F.array(*[F.struct(F.lit(level).alias("_level"), F.shiftright(F.col("start").cast("long"), level).alias("_block")) for level in range(levels + 1)]))
+def _least_in_tiles(keys: int):
+    """(keys, tile, start, end, asked, value), sorted by keys and tile, whole tiles in a task, to (keys, start, end, value)."""
+
+    def of_tiles(rows: pa.Table) -> pa.Table | None:
+        start, end = (rows.column(keys + i).to_numpy().astype(np.int64) for i in (1, 2))
+        asked = rows.column(keys + 3).to_numpy()
+        turn = np.zeros(len(start), bool)
+        turn[0] = True
+        for c in rows.columns[: keys + 1]:
+            c = c.combine_chunks()
+            turn[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        # tiles side by side on one line
+        first, group = np.flatnonzero(turn), np.cumsum(turn) - 1
+        low, high = np.minimum.reduceat(start, first), np.maximum.reduceat(end, first)
+        shift = np.concatenate([[0], np.cumsum(high - low)])
+        a, b = start - low[group] + shift[group], end - low[group] + shift[group]
+        of, by = np.flatnonzero(asked), np.flatnonzero(~asked)
+        if not len(of) or not len(by):
+            return None
+        of = of[np.unique(a[of] * (shift[-1] + 1) + b[of], return_index=True)[1]]
+        value = rows.column(keys + 4).combine_chunks().take(pa.array(by))
+        fields = value.flatten() if pa.types.is_struct(value.type) else [value]
+        order = np.lexsort([f.to_numpy(zero_copy_only=False) for f in fields[::-1]])
+        rank = np.empty(len(by), np.int64)
+        rank[order] = np.arange(len(by))
+        none = len(by)
+        level = lambda n: np.frexp(n.astype(float))[1] - 1
+        # the least that holds each place: two stretches of 2^n places a span, handed down to places
+        size, s, e = level(b[by] - a[by]), a[by], b[by]
+        held = np.full(shift[-1], none)
+        for n in range(int(size.max()), -1, -1):
+            own = size == n
+            np.minimum.at(held, s[own], rank[own])
+            np.minimum.at(held, e[own] - (1 << n), rank[own])
+            if n:
+                half, later = 1 << n - 1, held.copy()
+                later[half:] = np.minimum(held[half:], held[:-half])
+                held = later
+        best = held[a[of]]
+        # and the least that begins in each stretch of 2^n places
+        begun, size = np.full(shift[-1], none), level(b[of] - a[of])
+        np.minimum.at(begun, s, rank)
+        for n in range(int(size.max()) + 1):
+            own = np.flatnonzero(size == n)
+            best[own] = np.minimum(best[own], np.minimum(begun[a[of[own]]], begun[b[of[own]] - (1 << n)]))
+            further = begun.copy()
+            further[: -(1 << n)] = np.minimum(begun[: -(1 << n)], begun[1 << n :])
+            begun = further
+        met = best < none
+        found = rows.take(pa.array(of[met]))
+        return pa.table([*found.columns[:keys], *found.columns[keys + 1 : keys + 3], value.take(pa.array(order[best[met]]))], names=[*rows.column_names[:keys], "start", "end", rows.column_names[-1]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        place = lambda batch, i: [batch.column(c)[i].as_py() for c in range(keys + 1)]
+
+        def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if parts:
+                found = of_tiles(pa.Table.from_batches(parts))
+                yield from found.to_batches(1 << 16) if found is not None else ()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held and place(held[-1], -1) != place(batch, 0):
+                yield from done(held)
+                held = []
+            if place(batch, 0) == place(batch, -1):
+                held.append(batch)
+                continue
+            same = np.logical_and.reduce([pc.equal(c, c[-1]).to_numpy(zero_copy_only=False) for c in batch.columns[: keys + 1]])
+            cut = int(same.argmax())  # the last tile may go on
+            yield from done([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        yield from done(held)
+
+    return run
 
 
 def least_overlapping(targets: DataFrame, spans: DataFrame, keys: list[str], value: str, longest: int) -> DataFrame:
     """Distinct (keys, start, end) of ``targets`` with the least ``value`` of the spans that overlap each.
 
-    No pairs are made. A span overlaps a target if it starts inside it or holds its start;
-    both are looked up in aligned blocks of 2, 4, 8, ... places, so a row becomes at most
-    some 3 log2(longest) keys, whose minima are combined before the shuffle. Intervals are not
-    empty and none may be longer than ``longest``; targets that nothing overlaps are left out.
+    No pairs are made, and a row crosses the shuffle once: to the tile of places that its target starts
+    in, or whose targets its span may overlap. A span overlaps a target if it starts inside it or holds
+    its start; both are looked up in stretches of 1, 2, 4, ... places of the tile. Intervals are not empty and
+    none may be longer than ``longest``; targets that nothing overlaps are left out. ``value`` is a number or a struct of numbers.
     """
-    levels = max(1, int(longest).bit_length())
-    block = [*keys, "_level", "_block"]
-    target = targets.select(*keys, "start", "end").distinct()
-    least = lambda df: df.groupBy(*block).agg(F.min(value).alias(value))
-    begun = least(spans.select(*keys, value, _blocks_around(levels)))
-    held = least(spans.select(*keys, value, _whole_blocks(levels)))
-    found = [target.select("*", asked).join(table, block).select(*keys, "start", "end", value) for asked, table in ((_whole_blocks(levels), begun), (_blocks_around(levels), held))]
-    return found[0].unionAll(found[1]).groupBy(*keys, "start", "end").agg(F.min(value).alias(value))
+    longest = max(1, int(longest))
+    tile = max(1 << 13, 16 * longest)
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    at = lambda place: F.floor(place / tile).cast("long")
+    none = F.lit(None).cast(spans.schema[value].dataType).alias(value)
+    asked = targets.where(known).select(*keys, at(F.col("start")).alias("_tile"), "start", "end", F.lit(True).alias("_asked"), none)
+    tiles = F.explode(F.sequence(at(F.col("start") - longest + 1), at(F.col("end") - 1)))
+    given = spans.where(known & F.col(value).isNotNull()).select(*keys, tiles.alias("_tile"), "start", "end", F.lit(False).alias("_asked"), value)
+    rows = asked.unionByName(given)
+    schema = rows.select(*keys, "start", "end", value).schema
+    return rows.repartition(*keys, "_tile").sortWithinPartitions(*keys, "_tile").mapInArrow(_least_in_tiles(len(keys)), schema)
 
 
 def coverage_by_degree(blocks: DataFrame, extents: DataFrame) -> DataFrame:

@@ -139,3 +139,24 @@ def test_simplify_equals_a_plain_version(spark, one_task):
     assert sum(t != w for t, (w, _) in zip(texts, want, strict=True)) > 1
     pairs, _ = plain_pairs([t for t, _ in want], 11, 40, None)
     assert len(pairs) < len(plain_pairs(texts, 11, 40, None)[0]) / 3
+
+
+def test_least_overlapping_moves_each_row_once(spark):
+    rnd = random.Random(11)
+    tile = 1 << 13
+    at = [0, tile - 3, tile - 1, tile, tile + 1, 2 * tile - 2, 5 * tile]
+    spans = [(c, p, p + rnd.randint(1, 40), (rnd.randint(0, 9), i)) for i, (c, p) in enumerate((rnd.choice([None, 1, 2, 3]), rnd.choice(at) + rnd.randint(0, 30)) for _ in range(300))]
+    targets = [(c, p, p + rnd.randint(1, 40)) for c, p in ((rnd.choice([None, 1, 2]), rnd.choice(at) + rnd.randint(0, 30)) for _ in range(120))]
+    df = intervals.least_overlapping(
+        spark.createDataFrame(targets, "chr int, start int, end int"), spark.createDataFrame(spans, "chr int, start int, end int, v struct<a: int, b: long>"), ["chr"], "v", 40
+    )
+    expected = {}
+    for c, s, e in targets:
+        met = [v for d, a, b, v in spans if c is not None and c == d and a < e and s < b]
+        if met:
+            expected[c, s, e] = min(met)
+    found = [((r.chr, r.start, r.end), tuple(r.v)) for r in df.collect()]
+    assert len(found) == len(expected) and dict(found) == expected
+    assert df._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
