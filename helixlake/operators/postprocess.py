@@ -202,7 +202,10 @@ def correct_boundaries(blocks: DataFrame, seqs: DataFrame, min_block_size: int)
     side = rows.join(seqs.select("chr", "file_idx"), "chr")
     ref = side.where("file_idx = 0").select("block_id", F.col("head").alias("rh"), F.col("tail").alias("rt"))
     asm = side.where("file_idx <> 0").select("block_id", F.col("head").alias("ah"), F.col("tail").alias("at"))
-    ends = stored(ref.join(asm, "block_id").select("block_id", local_ends_udf("rh", "ah").alias("h"), local_ends_udf("rt", "at").alias("t")), "ends")
+    # Few bytes, but much work a row: as many partitions as there are, or a small table would be one task.
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = ref.join(asm, "block_id").repartition(parts)
+    ends = stored(both.select("block_id", local_ends_udf("rh", "ah").alias("h"), local_ends_udf("rt", "at").alias("t")), "ends")
     moved = side.join(ends, "block_id")
     own = lambda c, f: F.when(F.col("file_idx") == 0, F.col(f"{c}.{f}1")).otherwise(F.col(f"{c}.{f}2"))
     start = F.when(F.col("sign") > 0, F.col("left_from") + own("h", "begin")).otherwise(F.col("left_to") - own("t", "end"))
