@@ -160,3 +160,33 @@ def test_least_overlapping_moves_each_row_once(spark):
     assert df._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
     assert df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
     assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_in_rounds_are_not_broadcast(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for i in range(240):
+        a, b = rng.randrange(900), rng.randrange(900)
+        rows.append((rng.randrange(60), i, rng.randrange(2), 0, a, a, a + rng.randint(5, 40), 2 + rng.randrange(2), b, b + 30, i))
+    pairs = spark.createDataFrame(rows, "vertex long, meet long, chr int, strand int, pos int, start int, end int, w_chr int, w_start int, w_end int, i int")
+    pairs = pairs.withColumn("order", F.struct(F.xxhash64("vertex", "meet").alias("h"), "vertex", "meet", "chr", "strand", "pos")).localCheckpoint()
+    listed = pairs.orderBy("order").collect()
+    want = {listed[j].i for j in plain_greedy([((r.chr, r.start, r.end), (r.w_chr, r.w_start, r.w_end)) for r in listed])}
+    plans, names = [], []
+
+    def stored(df, name="table", plain=simplify.stored):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        names.append(name)
+        return plain(df, name)
+
+    monkeypatch.setattr(simplify, "stored", stored)
+    rounds = []
+    for one_task in (0, 150):
+        names.clear()
+        out = simplify.chosen_bulges(pairs, 41, one_task)
+        assert {r.i for r in out.collect()} == want and out.columns == [c for c in pairs.columns if c != "order"]
+        plans.append(out._jdf.queryExecution().sparkPlan().toString())
+        rounds.append(names.count("taken-pairs"))
+    # few that are left are settled in one task, and no table of pairs goes through the driver
+    assert rounds[1] < rounds[0]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
