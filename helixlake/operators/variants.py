@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import conventional_end, conventional_start, reverse_complement, without_gaps
-from ..session import stored
+from ..session import stored, unsent
 from .intervals import complement
 from .kmers import _tiles
 from .postprocess import unique_blocks
@@ -118,7 +118,7 @@ def two_sided(blocks: DataFrame, seqs: DataFrame) -> DataFrame:
     """Instances of blocks that occur on the reference and on the assembly side."""
     sided = blocks.join(seqs.select("chr", "file_idx"), "chr")
     both = sided.groupBy("block_id").agg(F.countDistinct(F.col("file_idx") == 0).alias("n")).where("n = 2").select("block_id")
-    return sided.join(both, "block_id")
+    return sided.join(unsent(both), "block_id")
 
 
 def last_cover(blocks: DataFrame, seqs: DataFrame) -> DataFrame:
@@ -144,24 +144,28 @@ def uncovered(blocks: DataFrame, seqs: DataFrame, min_size: int) -> DataFrame:
     return gaps.join(seqs.select("chr", "file_idx"), "chr")
 
 
-def with_letters(rows: DataFrame, seqs: DataFrame, start: str, end: str, name: str, tile: int = 1 << 12) -> DataFrame:
+def with_letters(rows: DataFrame, seqs: DataFrame, start: str, end: str, name: str, tile: int = 1 << 24) -> DataFrame:
     """``rows`` (chr, ...; all different) with the letters of their sequence from ``start`` to ``end`` as ``name``.
 
-    A substring is counted from the start of its string, and a sequence that meets its rows is
-    held for each. So rows meet the tiles of a sequence that they touch; those that touch one
-    tile, mostly all, have their letters then, the others put theirs together.
+    Rows that start in one stretch of ``tile`` letters are one row when they meet their sequence, so
+    that it is held once for them and not for each; no other column should be wide. Sequences are shuffled, to as
+    many partitions as there are: Spark judges them by what they were made from, or by how well they compress.
     """
     keep = rows.columns
-    whole = seqs.where("length(seq) > 0").select("chr", F.lit(0).alias("at"), F.col("seq").alias("piece"))
-    tiles = _tiles(_tiles(whole, max(tile, 1 << 16), 0), tile, 0).select("chr", F.floor(F.col("at") / tile).alias("_tile"), F.col("at").alias("_at"), "piece")
-    first, last = F.floor(F.col(start) / tile), F.floor((F.greatest(F.col(end), F.col(start) + 1) - 1) / tile)
-    parts = rows.withColumn("_n", last - first).withColumn("_tile", F.explode(F.sequence(first, last)))
-    begin = F.greatest(F.col(start), F.col("_at"))
-    own = F.substring("piece", (begin - F.col("_at") + 1).cast("int"), F.greatest(F.least(F.col(end), F.col("_at") + tile) - begin, F.lit(0)).cast("int"))
-    met = parts.join(tiles, ["chr", "_tile"], "left").select(*keep, "_n", "_tile", F.coalesce(own, F.lit("")).alias(name))
-    one = met.where("_n = 0").select(*keep, name)
-    more = met.where("_n > 0").groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct("_tile", name))).alias("_l"))
-    return one.unionByName(more.select(*keep, F.array_join(F.col(f"_l.{name}"), "").alias(name)))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = seqs.select("chr", F.col("seq").alias("_seq")).repartition(parts, "chr")
+    many = rows.groupBy("chr", F.floor(F.col(start) / tile).alias("_tile")).agg(F.collect_list(F.struct(*keep)).alias("_rows"))
+    met = many.repartition(parts, "chr").join(unsent(whole), "chr", "left")
+    # A character of a string is counted for from its start, a byte is not.
+    met = met.select("_rows", "_seq", F.col("_seq").cast("binary").alias("_raw"), (F.octet_length("_seq") == F.length("_seq")).alias("_ascii"))
+
+    def cut(row):
+        begin = F.greatest(row[start], F.lit(0))
+        at, n = (begin + 1).cast("int"), F.greatest(row[end] - begin, F.lit(0)).cast("int")
+        own = F.when(F.col("_ascii"), F.substring("_raw", at, n).cast("string")).otherwise(F.substring("_seq", at, n))
+        return row.withField(name, F.coalesce(own, F.lit("")))
+
+    return met.select(F.explode(F.transform("_rows", cut)).alias("_row")).select("_row.*").select(*keep, name)
 
 
 def large_indels(blocks: DataFrame, seqs: DataFrame, min_size: int, last_stage: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -181,10 +185,11 @@ def large_indels(blocks: DataFrame, seqs: DataFrame, min_size: int, last_stage:
     deletion = gaps.where("file_idx = 0").select("chr", F.col("gap_start").cast("int").alias("pos"), none.alias("contig"), none.alias("assembly_pos"), F.col("letters").alias("ref"), before.alias("alt"), none.alias("block_id"))
     unique = unique_blocks(main, seqs, min_size)
     anchor = unique.select(F.col("a_chr").alias("chr"), F.col("a_end").cast("long").alias("gap_start"), "r_chr", F.when(F.col("a_sign") > 0, F.col("r_end")).otherwise(F.col("r_start")).alias("r_pos"))
-    here = gaps.where("file_idx <> 0").select("chr", "gap_start", gap.alias("inserted")).join(anchor, ["chr", "gap_start"], "left")
-    spot = here.where("r_pos > 0").select(F.col("r_chr").alias("chr"), "r_pos", (F.col("r_pos") - 1).alias("_before"), F.col("chr").alias("contig"), "gap_start", "inserted")
+    here = gaps.where("file_idx <> 0").select("chr", "gap_start", gap.alias("inserted")).join(unsent(anchor), ["chr", "gap_start"], "left")
+    spot = here.where("r_pos > 0").select(F.col("r_chr").alias("chr"), "r_pos", F.col("chr").alias("contig"), "gap_start", "inserted")
+    asked = anchor.where("r_pos > 0").select(F.col("r_chr").alias("chr"), "r_pos", (F.col("r_pos") - 1).alias("_before")).distinct()
     letter = F.col("_letter")
-    insertion = with_letters(spot, seqs, "_before", "r_pos", "_letter").select("chr", F.col("r_pos").cast("int").alias("pos"), "contig", F.col("gap_start").cast("int").alias("assembly_pos"), letter.alias("ref"), F.concat(letter, "inserted").alias("alt"), none.alias("block_id"))
+    insertion = spot.join(unsent(with_letters(asked, seqs, "_before", "r_pos", "_letter")), ["chr", "r_pos"]).select("chr", F.col("r_pos").cast("int").alias("pos"), "contig", F.col("gap_start").cast("int").alias("assembly_pos"), letter.alias("ref"), F.concat(letter, "inserted").alias("alt"), none.alias("block_id"))
     unplaced = here.where("r_pos is null or r_pos <= 0").select(F.col("chr").alias("contig"), F.col("gap_start").cast("int").alias("assembly_pos"), F.col("inserted").alias("alt"))
     return deletion.unionByName(insertion), unplaced
 

@@ -79,3 +79,16 @@ def test_letters_of_rows_in_tiles(spark):
     rows = spark.createDataFrame(spans, "chr int, a long, b long")
     found = {(r.chr, r.a, r.b): r.w for r in variants.with_letters(rows, seqs, "a", "b", "w", tile=16).collect()}
     assert found == {(c, a, b): (text, "", "ACG")[c][a:b] for c, a, b in spans}
+
+
+def test_sequences_are_not_sent_through_the_driver(spark):
+    from pyspark.sql import functions as F
+
+    from helixlake.operators import variants
+
+    # Judged by its rows, a table of made-up sequences is small; its letters are 30 MB.
+    seqs = spark.range(300).select(F.col("id").cast("int").alias("chr"), F.repeat(F.lit("ACGTTGCA"), F.lit(12513)).alias("seq"))
+    rows = spark.range(300).select(F.col("id").cast("int").alias("chr"), F.lit(4090).cast("long").alias("a"), (F.col("id") + 4100).alias("b"))
+    found = variants.with_letters(rows, seqs, "a", "b", "w")
+    assert {r.chr: r.w for r in found.collect()} == {c: ("ACGTTGCA" * 600)[4090 : 4100 + c] for c in range(300)}
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
